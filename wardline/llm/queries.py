@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import directcodes, secrets, sentencepieces
+from wardline.llm import directcodes, secrets, sentencepieces, simhash
 from wardline.llm.common import ship
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -30,8 +30,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(_documents(spark, sf_dir))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sentencepiece": op7_sentencepiece, "op8_direct_codes": op8_direct_codes, "op9_secrets": op9_secrets}
+    return {"op7_sentencepiece": op7_sentencepiece, "op8_direct_codes": op8_direct_codes, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
