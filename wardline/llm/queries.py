@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import directcodes, kneserney, langid, passages, secrets, sentencepieces, simhash
+from wardline.llm import directcodes, kneserney, langid, passages, postings, secrets, sentencepieces, simhash
 from wardline.llm.common import ship
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -22,6 +22,11 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneserney.language_model_scores(_documents(spark, sf_dir))
 
 
+def op2_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return postings.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.substring_dedup(_documents(spark, sf_dir))
 
@@ -47,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kneser_ney": op1_kneser_ney, "op3_passages": op3_passages, "op5_langid": op5_langid, "op7_sentencepiece": op7_sentencepiece, "op8_direct_codes": op8_direct_codes, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash}
+    return {"op1_kneser_ney": op1_kneser_ney, "op2_postings": op2_postings, "op3_passages": op3_passages, "op5_langid": op5_langid, "op7_sentencepiece": op7_sentencepiece, "op8_direct_codes": op8_direct_codes, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
