@@ -157,6 +157,26 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double")
 
 
+def accepted(docs: DataFrame, filters: Filters, least_coverage: float = 0.2, least_grams: int = 20) -> DataFrame:
+    """The rows and columns of ``docs`` whose language is known.
+
+    Rejected: ``und``, and texts of ``least_grams`` n-grams or more of which the best language covers less
+    than ``least_coverage``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = sent.value
+        for batch, texts in doc_chunks(batches, limit=1 << 20):
+            keep = np.array([bool(t) and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()])
+            if f.languages:
+                c, n = f.hits(texts)
+                keep &= (n < least_grams) | (c.max(1) >= least_coverage * n)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(docs: DataFrame) -> Filters:
     """Filters from the rows that are not held out."""
     return fit(docs.where(~held_out(of=5)).select("text", "lang"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import directcodes, kneserney, langid, passages, postings, secrets, sentencepieces, simhash
+from wardline.llm import directcodes, kneserney, langid, lineruns, passages, postings, secrets, sentencepieces, simhash, templates
 from wardline.llm.common import ship
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -31,10 +31,18 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.substring_dedup(_documents(spark, sf_dir))
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineruns.line_digest(_documents(spark, sf_dir))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(_documents(spark, sf_dir))
 
 
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.sentencepiece_digest(_documents(spark, sf_dir), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -51,8 +59,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_documents(spark, sf_dir))
 
 
+_ALL = (op1_kneser_ney, op2_postings, op3_passages, op4_line_runs, op5_langid, op6_templates, op7_sentencepiece, op8_direct_codes, op9_secrets, op10_simhash)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kneser_ney": op1_kneser_ney, "op2_postings": op2_postings, "op3_passages": op3_passages, "op5_langid": op5_langid, "op7_sentencepiece": op7_sentencepiece, "op8_direct_codes": op8_direct_codes, "op9_secrets": op9_secrets, "op10_simhash": op10_simhash}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

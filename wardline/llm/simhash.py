@@ -227,3 +227,14 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
     known = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = prints.join(known, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, max_bits: int = 3) -> DataFrame:
+    """The rows and columns of ``docs`` without those linked to a smaller doc_id; repeated rows stay once."""
+    prints = simhash_components(docs.select("doc_id", "text"), shingle, max_bits)
+    found = table(prints, "components")
+    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
