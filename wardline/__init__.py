@@ -1,0 +1 @@
+"""Spark-native evaluation, cleaning and auditing of what automated agents read and do."""
