@@ -1,19 +1,28 @@
 """Operator 8. Token ids as directly addressable codes.
 
-A file holds whole documents in ascending doc_id order. Ids are cut into bytes: level 0 has the low
-byte of each id; a continuation bitmap marks the ids with more, whose next byte lies in level 1, and so
-on. A rank directory (ones before each block of 512 bits) turns a position on one level into the position
-on the next, so any token is read with a few look-ups and without decoding its neighbours.
-
-Layout (little-endian): magic, documents, tokens, levels as u64; doc_ids as i64; each document's first
-token as u64 (one more: the end); for each level its length as u64, its bytes, its bitmap as u64 words and
-its directory as u64 (lengths follow from the level's). A null doc_id is not stored: such rows are left out.
+A file holds whole documents in ascending doc_id order. A code is an id's place among the file's ids by
+falling frequency; codes are cut into bytes: level 0 has the low byte of each; a continuation bitmap marks
+the codes with more, whose next byte lies in level 1, and so on. A rank directory (ones before each block
+of 512 bits) turns a position on one level into the position on the next, so any token is read with a few
+look-ups and without decoding its neighbours.
+
+Layout (little-endian): magic, documents, tokens, levels, distinct ids as u64; the distinct ids as u32 in the
+order of their codes; doc_ids as i64; each document's first token as u64 (one more: the end); for each level
+its length as u64, its bytes, its bitmap as u64 words and its directory as u64 (lengths follow from the
+level's). A null doc_id is not stored: such rows are left out.
+
+The tokenizer is the tokenizers library's. Where its specification is byte-level BPE whose merges are in id
+order, texts of common characters go through tiktoken with the vocabulary and merges of that same file, which
+gives the same ids several times faster; each task compares its first texts under both libraries and fails
+if they differ, and all other texts (special tokens, rarer characters, very long words) go to tokenizers.
 
 Null text: empty, so the end id alone. Rows of one doc_id follow each other by the hash of their text.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import struct
 import zlib
@@ -26,20 +35,26 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import new_path, raw_files
 
-MAGIC = 0x3143414457  # "WDAC1"
+MAGIC = 0x3243414457  # "WDAC2"
 #: Characters of text that go to one range of doc_ids, and tokens after which a range starts another file.
 RANGE_CHARS, FILE_TOKENS = 16 << 20, 8 << 20
-#: Rows that a worker's chunk table holds at most; beyond it starts anew, which changes no result.
-TABLE_ROWS = 250_000
 _BLOCK = 512
-#: Byte-level pre-tokens never hold a space behind another character, so a text may be cut there.
-_CUT = re.compile(r"(?<=\S)(?= )")
-_BLANK_BEFORE = re.compile(r"\s ")
+#: Characters on whose classes all regular expression engines agree, and the longest word for tiktoken.
+_RARE = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]")
+_LONG_WORD = 1_000
+#: Texts of a task that both libraries encode.
+COMPARED = 16
+#: How byte-level vocabularies write bytes that are no visible character: from U+0100 on, in order. Fixed values.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
 def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
     """The file of ``ids``; document k has ``ids[starts[k]:starts[k + 1]]``."""
-    levels, rest = [], ids.astype(np.uint64)
+    names, back, count = np.unique(ids, return_inverse=True, return_counts=True)
+    by_count = np.argsort(-count, kind="stable")
+    code = np.empty(len(names), np.uint64)
+    code[by_count] = np.arange(len(names), dtype=np.uint64)
+    levels, rest = [], code[back]
     while True:
         more = rest >= 256
         words = -(-len(rest) // _BLOCK) * (_BLOCK // 8)
@@ -52,18 +67,19 @@ def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> byt
         if not more.any():
             break
         rest = rest[more] >> np.uint64(8)
-    head = struct.pack("<4Q", MAGIC, len(doc_ids), len(ids), len(levels))
-    return head + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes() + b"".join(levels)
+    head = struct.pack("<5Q", MAGIC, len(doc_ids), len(ids), len(levels), len(names))
+    return head + names[by_count].astype("<u4").tobytes() + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes() + b"".join(levels)
 
 
 class CodeFile:
     """Reads a file's bytes; ``file[i]`` is token i of the file."""
 
     def __init__(self, data: bytes):
-        magic, docs, self.n, levels = struct.unpack_from("<4Q", data)
+        magic, docs, self.n, levels, names = struct.unpack_from("<5Q", data)
         if magic != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        at = 32
+        self.names = np.frombuffer(data, "<u4", names, 40)
+        at = 40 + 4 * names
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.starts = np.frombuffer(data, "<u8", docs + 1, at + 8 * docs).astype(np.int64)
         at += 16 * docs + 8
@@ -92,7 +108,7 @@ class CodeFile:
             before = bits[block * (_BLOCK // 8) : i >> 3]
             i = int(directory[block]) + int(np.bitwise_count(before).sum()) + (int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
             shift += 8
-        return value
+        return int(self.names[value])
 
     def ids(self) -> np.ndarray:
         """All tokens of the file."""
@@ -101,7 +117,7 @@ class CodeFile:
         for k, (codes, bits, _) in enumerate(self.levels):
             out[where] |= codes.astype(np.uint64) << np.uint64(8 * k)
             where = where[np.unpackbits(bits, count=len(codes), bitorder="little").astype(bool)]
-        return out
+        return self.names[out]
 
     def document(self, k: int) -> np.ndarray:
         """The tokens of document k of the file, by look-ups."""
@@ -109,45 +125,55 @@ class CodeFile:
 
 
 class Encoder:
-    """A byte-level tokenizer with a table of distinct chunks (spaces and what follows up to the next)."""
+    """A tokenizer, with a faster engine of the same vocabulary where one is known to agree."""
 
     def __init__(self, spec: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        import json
-
         parts = json.loads(spec)
-        # chunks are independent only for this kind of tokenizer; others encode whole texts
-        self.apart = parts["normalizer"] is None and parts["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not any(any(c.isspace() for c in a["content"]) or a["lstrip"] or a["rstrip"] or a["single_word"] for a in parts["added_tokens"])
-        self.table: dict[str, bytes] = {}
+        self.special = [a["content"] for a in parts["added_tokens"]]
+        self.fast = self._engine(parts)
+        self.left = COMPARED
 
     @staticmethod
-    def chunks(text: str) -> list[str]:
-        if not text:
-            return []
-        if text[0] != " " and _BLANK_BEFORE.search(text) is None:
-            first, *rest = text.split(" ")
-            return [first, *[" " + w for w in rest]]
-        return _CUT.split(text)
+    def _engine(parts: dict):
+        """The tiktoken engine of a byte-level BPE without options whose merges are in id order, else None."""
+        model, split = parts["model"], {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+        if model["type"] != "BPE" or parts["normalizer"] is not None or parts["pre_tokenizer"] != split or any(model.get(k) for k in options):
+            return None
+        import tiktoken
+
+        byte_of = {chr(b): b for b in _VISIBLE} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+        special = {a["content"] for a in parts["added_tokens"]}
+        vocabulary = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"]["".join(m)] for m in merges]
+        if order != sorted(set(order)) or len(vocabulary) != 256 + len(merges) or max(vocabulary[bytes([b])] for b in range(256)) > order[0]:
+            return None
+        # the pattern of byte-level pre-tokens, a fixed value
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
+
+    def common(self, text: str) -> bool:
+        """True if the faster engine is sure to agree on the text."""
+        return _RARE.search(text) is None and not any(s in text for s in self.special) and max(map(len, text.split()), default=0) <= _LONG_WORD
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.apart:
-            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        if len(self.table) > TABLE_ROWS:
-            self.table.clear()
-        split = [self.chunks(t) for t in texts]
-        new = list({c for t in split for c in t}.difference(self.table))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for key, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = e.ids
-                self.table[key] = struct.pack(f"<{len(ids)}I", *ids)
-        get = self.table.__getitem__
-        return [np.frombuffer(b"".join(map(get, t)), "<u4") for t in split]
+        whole = lambda some: [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+        if self.fast is None:
+            return whole(texts)
+        plain = [self.common(t) for t in texts]
+        others = iter(whole([t for t, ok in zip(texts, plain) if not ok]))
+        out = [self.fast.encode_to_numpy(t, disallowed_special=()) if ok else next(others) for t, ok in zip(texts, plain)]
+        if self.left:
+            for t, ids, same in zip(texts[: self.left], out, whole(texts[: self.left])):
+                if not np.array_equal(ids, same):
+                    raise ValueError(f"the engines differ on {t[:200]!r}")
+            self.left = max(0, self.left - len(texts))
+        return out
 
 
 def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
