@@ -157,7 +157,7 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -
     return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, coverage double")
 
 
-def accepted(docs: DataFrame, filters: Filters, least_coverage: float = 0.2, least_grams: int = 20) -> DataFrame:
+def accepted(docs: DataFrame, filters: Filters, least_coverage: float = 0.05, least_grams: int = 20) -> DataFrame:
     """The rows and columns of ``docs`` whose language is known.
 
     Rejected: ``und``, and texts of ``least_grams`` n-grams or more of which the best language covers less

@@ -1,6 +1,6 @@
 """Operator 6. Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits in lower case; punctuation only ends sentences. A word with a digit, a
+Words are runs of letters and digits in lower case; punctuation only ends sentences. A word that begins with a digit, a
 unit of measure, or a capitalised word inside a sentence becomes a typed placeholder: number, unit or name.
 Windows of WINDOW canonical words of the benchmark, with LITERALS words that are no placeholder at least, are
 hashed; documents' windows are joined with them by hash. Windows that follow each other on one diagonal make
@@ -68,7 +68,6 @@ class Canonical:
         code = self.literal.copy()
         self.first = np.searchsorted(self.starts, at)
         if len(code):
-            digits = np.concatenate([[0], np.cumsum(digit)])
             stops = np.concatenate([[0], np.cumsum(_STOP[a] & (word[1:-1] == 0))])
             changed = low[self.starts] != a[self.starts]
             if len(a) > 1:
@@ -78,7 +77,7 @@ class Canonical:
             inside[1:] = stops[self.starts[1:]] == stops[self.ends[:-1]]
             code[changed & inside] = NAME
             code[np.isin(self.literal, _UNIT_HASHES)] = UNIT
-            code[digits[self.ends] > digits[self.starts]] = NUMBER
+            code[digit[self.starts]] = NUMBER
         self.code = code
         self.is_literal = code > UNIT
 
