@@ -45,8 +45,9 @@ def entries_from(rows: DataFrame, preset: str = "general", content: tuple[Column
     ``content``: texts before and after a write, of which the log keeps the hashes. Without it the slots
     are there, as nulls, for presets that always have them.
     """
-    defaults = {"actor": F.lit("agent"), "role": F.lit("unknown"), "session": F.lit(""), "machine": F.lit(""), "details": F.lit("{}")}
-    pick = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), defaults[c]) if c in rows.columns and c in defaults else F.col(c) if c in rows.columns else defaults[c]
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    defaults = {"ts": now, "action": F.lit(""), "target": F.lit(""), "outcome": F.lit(""), "actor": F.lit("agent"), "role": F.lit("unknown"), "session": F.lit(""), "machine": F.lit(""), "details": F.lit("{}")}
+    pick = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), defaults[c]) if c in rows.columns else defaults[c]
     fields = {c: pick(c) for c in BASE_FIELDS}
     parts = [F.struct(F.lit(c).alias("k"), F.when(F.lit(c == "details"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)).alias("v")) for c, v in fields.items()]
     if content or PRESETS[preset]["content_fields_always"]:
