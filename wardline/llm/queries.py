@@ -66,5 +66,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _ALL}
 
 
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 12), ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS home FROM h GROUP BY k),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM h JOIN f USING (k) WHERE home < doc_id),
+r AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
+_OP4_SQL = """
+WITH s AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
+t AS (SELECT doc_id, n, x, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS y FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS n FROM s)),
+b AS (SELECT doc_id, n, y, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS a, lead(y) OVER (PARTITION BY doc_id ORDER BY n) AS z FROM t WHERE y <> ''),
+w AS (SELECT doc_id, a, row_number() OVER (PARTITION BY y, z ORDER BY doc_id, a) > 1 AS late FROM b WHERE z IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, a + o AS a FROM w, (VALUES (0), (1)) v(o) WHERE late),
+r AS (SELECT b.doc_id, b.n, length(b.y) AS chars, b.a - row_number() OVER (PARTITION BY b.doc_id ORDER BY b.a) AS g FROM b JOIN c USING (doc_id, a)),
+u AS (SELECT doc_id, min(n) AS p, max(n) AS q, count(*) AS k FROM r GROUP BY doc_id, g HAVING sum(chars) >= 20),
+e AS (SELECT doc_id, count(*) AS n_runs, sum(k) AS n_deleted, max(k) AS longest_run FROM u GROUP BY doc_id),
+o AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = t.doc_id AND t.n BETWEEN p AND q) GROUP BY doc_id)
+SELECT s.doc_id, len(l) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
+FROM s LEFT JOIN e ON s.doc_id = e.doc_id LEFT JOIN o ON s.doc_id = o.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express; tests hold the others against brute-force versions."""
+    return {"op3_passages": _OP3_SQL, "op4_line_runs": _OP4_SQL}
