@@ -338,3 +338,18 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(20, [1.0, 0.0]), (21, [1.0, 0.0]), (22, [2.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert [tuple(r) for r in postings.nearest_neighbours(few).orderBy("rank").collect()] == [(20, 1, 22, 2.0), (20, 2, 21, 1.0)]
     assert postings.nearest_neighbours(few.limit(0)).count() == 0
+
+
+def test_near_dedup_joins_links(spark):
+    rows = [(i, prose(120)) for i in range(20)]
+    rows += [(100 + i, t.upper()) for i, t in rows[:10]] + [(200 + i, t.replace(" ", "  \n")) for i, t in rows[5:15]] + [(300, rows[3][1].rsplit(" ", 1)[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    root = {i: i for i, _ in rows}
+    for k, bits in ((3, 2), (5, 3)):
+        f = {i: fingerprint(t, k) for i, t in rows}
+        for a in sorted(root):
+            for b in sorted(root):
+                if (f[a] ^ f[b]).bit_count() <= bits:
+                    least, most = sorted((root[a], root[b]))
+                    root = {i: least if r == most else r for i, r in root.items()}
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(i for i, r in root.items() if i == r)

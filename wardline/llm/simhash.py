@@ -209,32 +209,56 @@ def components(links: DataFrame) -> DataFrame:
         edges = table(edges.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(own).distinct(), "links")
 
 
-def simhash_table(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` for each row of ``docs(doc_id, text)``, written to the shared folder."""
+def simhash_table(docs: DataFrame, *shingles: int) -> DataFrame:
+    """``doc_id`` and for each shingle length k a fingerprint ``fp<k>`` of each row of ``docs(doc_id, text)``, written to the shared folder."""
+    names = [f"fp{k}" for k in shingles]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in doc_chunks(batches, limit=1 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(texts, shingle).view(np.int64))], ["doc_id", "fp"])
+            prints = [pa.array(fingerprints(texts, k).view(np.int64)) for k in shingles]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *prints], ["doc_id", *names])
 
-    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, fp bigint"), "fingerprints")
+    schema = ", ".join(["doc_id bigint", *[f"{c} bigint" for c in names]])
+    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema), "fingerprints")
+
+
+def _nodes(prints: DataFrame, name: str) -> DataFrame:
+    """The distinct fingerprints of a column with their smallest doc_id."""
+    return table(prints.where("doc_id is not null").groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("node")), "nodes")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for each row of ``docs``."""
-    prints = simhash_table(docs, shingle)
-    nodes = table(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    prints = simhash_table(docs, shingle).withColumnRenamed(f"fp{shingle}", "fp")
+    nodes = _nodes(prints, "fp")
     roots = components(link_forest(nodes, max_bits))
     known = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = prints.join(known, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, max_bits: int = 3) -> DataFrame:
-    """The rows and columns of ``docs`` without those linked to a smaller doc_id; repeated rows stay once."""
-    prints = simhash_components(docs.select("doc_id", "text"), shingle, max_bits)
-    found = table(prints, "components")
+def near_dedup(docs: DataFrame, links: dict[int, int] | None = None) -> DataFrame:
+    """The rows and columns of ``docs`` without those linked to a smaller doc_id; repeated rows stay once.
+
+    ``links``: words of a shingle and the bits that may differ; a link by any of them counts. The default joins
+    the links of three words and two bits to those of five words and three bits. 64 bits tell copies with few
+    changes; of copies at a similarity of 0.8 many differ in more bits than that.
+    """
+    links = links or {3: 2, 5: 3}
+    prints = simhash_table(docs.select("doc_id", "text"), *links)
+    first, *more = links
+    groups = {k: _nodes(prints, f"fp{k}") for k in links}
+    edges = link_forest(groups[first], links[first])
+    for k in more:
+        # a fingerprint of one kind goes with those of the other that its documents have
+        pairs = prints.where("doc_id is not null").groupBy(f"fp{first}", f"fp{k}").agg(F.min("doc_id").alias("doc_id"))
+        ends = [pairs.join(groups[j].withColumnRenamed("fp", f"fp{j}"), f"fp{j}").select("doc_id", "node").where("doc_id != node") for j in (first, k)]
+        edges = edges.unionByName(link_forest(groups[k], links[k])).union(ends[0]).union(ends[1])
+    roots = components(edges)
+    known = groups[first].join(roots, "node", "left").select(F.col("fp").alias(f"fp{first}"), F.coalesce("root", "node").alias("component_id"))
+    found = table(prints.where("doc_id is not null").join(known, f"fp{first}"), "components")
     gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id", "fingerprint").count().where("count > 1").isEmpty():
+    if found.groupBy("doc_id", f"fp{first}").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
