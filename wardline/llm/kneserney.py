@@ -275,7 +275,7 @@ def _count_grams(grams: DataFrame, order: int, ranges: int, path: str) -> None:
         u, first, back = np.unique(gram_hashes(columns), return_index=True, return_inverse=True)
         c = np.bincount(back, c)
         columns = [x[first] for x in columns]
-        stat = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), int(c.sum()), len(c)]
+        stat = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), int(c.sum())]
         out = [("counts", array_file(u, [c.astype("<u8")])), ("stats", json.dumps(stat).encode())]
         if order > 1:
             prefix, at = np.unique(gram_hashes(columns[:-1]), return_inverse=True)
@@ -338,8 +338,8 @@ def fit(training: DataFrame, order: int = 2) -> Model:
     grams = _grams(training, f"{path}-words", word_ranges, ranges, order)
     for k in range(order, 0, -1):
         _count_grams(grams, k, ranges, f"{path}-order{k}")
-        stat = [json.loads(x.value) for x in spark.read.text(f"{path}-order{k}/kind=stats/*/*.txt").where("value != ''").collect()]  # one line a range
-        n1, n2, n3, n4, more, total, _ = (sum(x) for x in zip(*stat))
+        stat = spark.read.text(f"{path}-order{k}/kind=stats/*/*.txt").where("value != ''").select(F.from_json("value", "array<bigint>").alias("s"))  # one line a range
+        n1, n2, n3, n4, more, total = stat.agg(*[F.sum(F.col("s")[i]) for i in range(6)]).first()
         found[k] = discounts_of([n1, n2, n3, n4])
         if k > 1:
             _count_contexts(spark, f"{path}-order{k}", f"{path}-contexts{k}", found[k])
