@@ -50,11 +50,12 @@ _VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
     """The file of ``ids``; document k has ``ids[starts[k]:starts[k + 1]]``."""
-    names, back, count = np.unique(ids, return_inverse=True, return_counts=True)
-    by_count = np.argsort(-count, kind="stable")
-    code = np.empty(len(names), np.uint64)
-    code[by_count] = np.arange(len(names), dtype=np.uint64)
-    levels, rest = [], code[back]
+    count = np.bincount(ids)  # as long as the vocabulary
+    names = np.flatnonzero(count)
+    by_count = np.argsort(-count[names], kind="stable")
+    code = np.zeros(len(count), np.uint32)
+    code[names[by_count]] = np.arange(len(names), dtype=np.uint32)
+    levels, rest = [], code[ids]
     while True:
         more = rest >= 256
         words = -(-len(rest) // _BLOCK) * (_BLOCK // 8)
@@ -63,10 +64,10 @@ def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> byt
         bits[: len(packed)] = packed
         ones = np.bitwise_count(bits.view(np.uint64)).reshape(-1, _BLOCK // 64).sum(1, dtype=np.uint64)
         directory = np.concatenate([[0], np.cumsum(ones)]).astype("<u8")
-        levels.append(struct.pack("<Q", len(rest)) + (rest & np.uint64(255)).astype(np.uint8).tobytes() + bits.tobytes() + directory.tobytes())
+        levels.append(struct.pack("<Q", len(rest)) + (rest & np.uint32(255)).astype(np.uint8).tobytes() + bits.tobytes() + directory.tobytes())
         if not more.any():
             break
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> np.uint32(8)
     head = struct.pack("<5Q", MAGIC, len(doc_ids), len(ids), len(levels), len(names))
     return head + names[by_count].astype("<u4").tobytes() + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes() + b"".join(levels)
 
@@ -112,11 +113,13 @@ class CodeFile:
 
     def ids(self) -> np.ndarray:
         """All tokens of the file."""
-        out = np.zeros(self.n, np.uint64)
-        where = np.arange(self.n)
+        out = self.levels[0][0].astype(np.uint32)
+        where = None
         for k, (codes, bits, _) in enumerate(self.levels):
-            out[where] |= codes.astype(np.uint64) << np.uint64(8 * k)
-            where = where[np.unpackbits(bits, count=len(codes), bitorder="little").astype(bool)]
+            if k:
+                out[where] |= codes.astype(np.uint32) << np.uint32(8 * k)
+            more = np.unpackbits(bits, count=len(codes), bitorder="little").view(bool)
+            where = np.flatnonzero(more) if where is None else where[more]
         return self.names[out]
 
     def document(self, k: int) -> np.ndarray:
@@ -124,6 +127,9 @@ class CodeFile:
         return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint64)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 class Encoder:
     """A tokenizer, with a faster engine of the same vocabulary where one is known to agree."""
 
@@ -137,6 +143,15 @@ class Encoder:
         self.fast = self._engine(parts)
         self.left = COMPARED
 
+    @classmethod
+    def of(cls, spec: str) -> Encoder:
+        """The worker's encoder of this specification, made once."""
+        if spec not in _encoders:
+            _encoders.clear()
+            _encoders[spec] = cls(spec)
+        _encoders[spec].left = COMPARED
+        return _encoders[spec]
+
     @staticmethod
     def _engine(parts: dict):
         """The tiktoken engine of a byte-level BPE without options whose merges are in id order, else None."""
@@ -189,7 +204,7 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard = Encoder(spec.value), TaskContext.get().partitionId() << 24
+        encoder, shard = Encoder.of(spec.value), TaskContext.get().partitionId() << 24
         doc_ids: list[int] = []
         parts: list[np.ndarray] = []
         tokens = 0
