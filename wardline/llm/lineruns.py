@@ -10,8 +10,8 @@ A run of ``min_lines`` lines that occurs before (smaller doc_id, or an earlier l
 later copy. Later copies that overlap or touch in a document are one maximal run. Its lines are deleted, with
 blank lines between them, if they have ``min_chars`` characters together; the first copy always stays.
 
-Classes are counted with partial sums and joined back; no class is ever gathered, but the rows of a very frequent
-line or run meet in one task of that join. Null or empty text has no lines. Rows with a null doc_id stay as they are and count
+Classes are counted with partial sums and joined back, a join that Spark divides where a class is frequent; no
+class is ever gathered. Null or empty text has no lines. Rows with a null doc_id stay as they are and count
 for no other row. Rows with the same doc_id and text are one document; rows with the same doc_id and other
 texts follow each other by their texts' hashes.
 """
@@ -43,7 +43,8 @@ def line_places(docs: DataFrame) -> DataFrame:
 def _several(places: DataFrame) -> DataFrame:
     """The places whose class has several members, with ``first``, the class's first place."""
     at = F.struct(*_KEY, "at")
-    classes = places.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("members")).where("members > 1").select("class", "first")
+    # written, so that both sides of the join are dealt out for it and Spark can divide a frequent class
+    classes = table(places.groupBy("class").agg(F.min(at).alias("first"), F.count("*").alias("members")).where("members > 1").select("class", "first"), "classes")
     return places.join(classes, "class").withColumn("later", at > F.col("first")).drop("first")
 
 
