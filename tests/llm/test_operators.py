@@ -353,3 +353,27 @@ def test_near_dedup_joins_links(spark):
                     least, most = sorted((root[a], root[b]))
                     root = {i: least if r == most else r for i, r in root.items()}
     assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == sorted(i for i, r in root.items() if i == r)
+
+
+def test_near_dedup_against_brute_force(spark):
+    g = random.Random(11)
+    rows, k = [], 0
+    for _ in range(25):
+        base = [f"w{g.randrange(500)}" for _ in range(120)]
+        for changes in (0, 1, 2, 2, 3, 4):
+            w = list(base)
+            for _ in range(changes):
+                w[g.randrange(len(w))] = f"new{g.randrange(10**6)}"
+            rows.append((k, " ".join(w)))
+            k += 1
+    parts = {i: {tuple(t.split()[j : j + 5]) for j in range(116)} for i, t in rows}
+    root, near = {i: i for i, _ in rows}, 0
+    for a in parts:
+        for b in parts:
+            if a < b and len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b]):
+                near += 1
+                least, most = sorted((root[a], root[b]))
+                root = {i: least if r == most else r for i, r in root.items()}
+    assert near > 80
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in root.items() if i == r)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import doc_chunks, joined, table, word_spans
+from wardline.llm.common import doc_chunks, hashed_words, joined, mix, table, window_hashes, word_spans
 
 #: Distinct fingerprints of one pattern beyond which its group is divided by the parts of its other bits.
 GROUP_ROWS = 20_000
@@ -34,6 +34,8 @@ LEAF, FANOUT = 16, 8
 #: Pairs of nodes that are opened at a time.
 OPEN = 8_192
 _SEED = 42
+#: near_dedup()'s MinHash keys of a text, and the smallest shingles that make one.
+BANDS, ROWS = 24, 4
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -237,28 +239,120 @@ def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) ->
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, links: dict[int, int] | None = None) -> DataFrame:
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each text's shingles, where each text's begin (one more entry: the end), and a hash of its words in order.
+
+    Words as in fingerprints(). A text of fewer words than a shingle has one, of all its words; one without words has none.
+    """
+    h, first = hashed_words([t.lower() for t in texts])
+    words = np.diff(first)
+    count = np.where(words >= shingle, words - shingle + 1, np.minimum(words, 1))
+    offset = np.concatenate([[0], np.cumsum(count)])
+    doc = np.repeat(np.arange(len(texts)), count)
+    at = first[doc] + np.arange(offset[-1]) - offset[doc]
+    out = np.empty(offset[-1], np.uint64)
+    for n in range(1, shingle + 1):
+        some = np.flatnonzero(np.minimum(words, shingle)[doc] == n)
+        if len(some):
+            out[some] = mix(window_hashes(h, n)[at[some]] + np.uint64(n))
+    place = np.arange(len(h)) - np.repeat(first[:-1], words)
+    whole = mix(words.astype(np.uint64))
+    if len(h):
+        whole[words > 0] += np.add.reduceat(mix(h ^ mix(place.astype(np.uint64))), first[:-1][words > 0])
+    return out, offset, whole
+
+
+def min_hashes(h: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
+    """For each text with shingles BANDS keys: equal if ROWS smallest shingles, each in an order of its own, are equal."""
+    begin = offset[:-1][np.diff(offset) > 0]
+    odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    keys = []
+    for band in range(BANDS):
+        key = np.full(len(begin), band + 1, np.uint64)
+        for a in odd[band * ROWS : (band + 1) * ROWS]:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * a, begin))
+        keys.append(key)
+    return keys
+
+
+def _signed_prints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id``, ``whole`` (a hash of the words) and ``bands`` (the keys, none without words) of each row, written."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in doc_chunks(batches, limit=1 << 20):
+            h, offset, whole = shingle_hashes(texts, shingle)
+            some = np.diff(offset) > 0
+            keys = np.stack(min_hashes(h, offset), axis=1).reshape(-1) if some.any() else np.empty(0, np.uint64)
+            at = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["doc_id", "whole", "bands"])
+
+    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, whole bigint, bands array<bigint>"), "prints")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``a``, ``b`` of the ``pairs(a, aw, b, bw)`` (doc_ids and hashes of the words) whose texts' sets of shingles have that Jaccard similarity, written."""
+    pairs = table(pairs, "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in doc_chunks(batches, limit=1 << 20):
+            h, offset, whole = shingle_hashes(texts, shingle)
+            found = [np.unique(h[a:b]).tobytes() for a, b in zip(offset[:-1], offset[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(found, pa.binary())], ["w", "s"])
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").select("id", "text")
+    of = table(of.mapInArrow(sets, "w bigint, s binary").dropDuplicates(["w"]), "sets")
+    both = pairs.join(of.toDF("bw", "y"), "bw").join(of.toDF("aw", "x"), "aw").select("a", "b", "x", "y")
+    return table(both.mapInArrow(near, "a bigint, b bigint"), "links")
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links ``a``, ``b`` that connect the same nodes as all pairs that share a key and have the similarity do.
+
+    ``nodes``: ``whole``, its ``node`` and ``bands``. Each node is first held against the smallest of those that
+    share a key; then, of those that share a key, all pairs that are not yet connected.
+    """
+    keyed = table(nodes.select("node", "whole", F.explode("bands").alias("key")), "keyed")
+    # written, so that Spark can divide a frequent key
+    leads = table(keyed.groupBy("key").agg(F.min(F.struct("node", "whole")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", F.col("lead.node").alias("b"), F.col("lead.whole").alias("bw")), "leads")
+    rest = table(keyed.join(leads, "key").where("whole != bw").select("key", F.col("node").alias("a"), F.col("whole").alias("aw"), "b", "bw"), "rest")
+    links = _confirmed(docs, rest.select("a", "aw", "b", "bw").distinct(), similarity, shingle)
+    roots = components(links)
+    rooted = rest.select("key", "a", "aw").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    apart = table(rooted.join(several, "key"), "apart")
+    if apart.isEmpty():
+        return links
+    groups = apart.select("key", "root").distinct()
+    of = groups.withColumnRenamed("root", "r").join(groups, "key").where("r < root").withColumnRenamed("root", "s")
+    pairs = of.join(apart.select("key", F.col("root").alias("r"), "a", "aw"), ["key", "r"]).join(apart.select("key", F.col("root").alias("s"), F.col("a").alias("b"), F.col("aw").alias("bw")), ["key", "s"])
+    return links.union(_confirmed(docs, pairs.select("a", "aw", "b", "bw").distinct(), similarity, shingle))
+
+
+def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """The rows and columns of ``docs`` without those linked to a smaller doc_id; repeated rows stay once.
 
-    ``links``: words of a shingle and the bits that may differ; a link by any of them counts. The default joins
-    the links of three words and two bits to those of five words and three bits. 64 bits tell copies with few
-    changes; of copies at a similarity of 0.8 many differ in more bits than that.
+    A link: texts whose sets of shingles have the Jaccard ``similarity``, or that have the same words in lower case
+    (so all texts without words are one group). 64 bits of SimHash do not tell that similarity (copies at 0.8 differ
+    in 5 to 14 bits), so candidates come from MinHash keys and are confirmed by their exact sets. A pair at 0.8
+    shares a key with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997.
     """
-    links = links or {3: 2, 5: 3}
-    prints = simhash_table(docs.select("doc_id", "text"), *links)
-    first, *more = links
-    groups = {k: _nodes(prints, f"fp{k}") for k in links}
-    edges = link_forest(groups[first], links[first])
-    for k in more:
-        # a fingerprint of one kind goes with those of the other that its documents have
-        pairs = prints.where("doc_id is not null").groupBy(f"fp{first}", f"fp{k}").agg(F.min("doc_id").alias("doc_id"))
-        ends = [pairs.join(groups[j].withColumnRenamed("fp", f"fp{j}"), f"fp{j}").select("doc_id", "node").where("doc_id != node") for j in (first, k)]
-        edges = edges.unionByName(link_forest(groups[k], links[k])).union(ends[0]).union(ends[1])
-    roots = components(edges)
-    known = groups[first].join(roots, "node", "left").select(F.col("fp").alias(f"fp{first}"), F.coalesce("root", "node").alias("component_id"))
-    found = table(prints.where("doc_id is not null").join(known, f"fp{first}"), "components")
+    prints = _signed_prints(docs, shingle)
+    nodes = table(prints.where("doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    roots = components(near_links(docs, nodes, similarity, shingle))
+    known = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
+    found = table(prints.where("doc_id is not null").select("doc_id", "whole").join(known, "whole"), "components")
     gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
-    if found.groupBy("doc_id", f"fp{first}").count().where("count > 1").isEmpty():
+    if found.groupBy("doc_id", "whole").count().where("count > 1").isEmpty():
         return kept
     return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
