@@ -377,3 +377,16 @@ def test_near_dedup_against_brute_force(spark):
     assert near > 80
     kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in root.items() if i == r)
+
+
+def test_templates_of_any_case():
+    item = "a train leaves Paris at 9 and drives 120 km in 2 hours so how fast does the train from Paris go"
+    numbers = "7 19 23 4 88 61 5 301 42 96 13 77 250 8 64 31"
+    titled = "Say That Every Single Word Of This Whole Question Begins With One Capital Letter Here"
+    block = templates.Benchmark([(0, item), (1, numbers), (2, titled)])
+    copies = {item.upper(): 0, item.lower(): 0, item.title(): 0, item.upper().replace("PARIS", "BERLIN").replace("120", "340"): 0, numbers: 1, titled.lower(): 2, titled.upper(): 2}
+    for text, k in copies.items():
+        (found,) = templates.leaks_of(block, [f"some words before it {text} and some words after it".encode()])
+        # in capitals nothing tells Berlin from other words, so the stretch is what follows it
+        assert found[1] == k and found[2] >= (templates.LONG if "BERLIN" not in text else templates.SHARE * block.words[k]), text
+    assert templates.leaks_of(block, [b"one two 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]) == []

@@ -1,16 +1,18 @@
 """Operator 6. Benchmark decontamination by template canonicalisation.
 
 Words are runs of letters and digits in lower case; punctuation only ends sentences. A word that begins with a digit, a
-unit of measure, or a capitalised word inside a sentence becomes a typed placeholder: number, unit or name.
+unit of measure, or a capitalised word inside a sentence becomes a typed placeholder: number, unit or name. A word
+all in capitals is no name where most words from AROUND before to AROUND after it are in capitals too.
 Windows of WINDOW canonical words of the benchmark, with LITERALS words that are no placeholder at least, are
-hashed; documents' windows are joined with them by hash. Windows that follow each other on one diagonal make
+hashed, and beside them all windows of WINDOW words as they are in lower case, so that a copy is found whatever its case and
+however many numbers or names it holds; documents' windows are joined with both by hash. Windows that follow each other on one diagonal make
 an aligned stretch. Its slots must be consistent: a value of the item stands for one value of the document
 throughout; where that breaks, the stretch ends and another begins. A document is contaminated by an item
 that it shares a consistent stretch of LONG words with, or of SHARE of the item's words. ``exact`` tells a copy
 from a re-parameterised one.
 
 The benchmark is read in blocks of BLOCK_CHARS characters, each against all documents, so what is broadcast has
-a fixed size. An item of fewer words than WINDOW is one window; fewer than LITERALS literal words match nothing.
+a fixed size. An item of fewer words than WINDOW is one window; items of fewer than LITERALS words match nothing.
 Null or empty texts on either side match nothing; a null doc_id or item_id is returned as such. Repeated items
 count once. Repeated documents give repeated rows.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import doc_chunks, window_hashes, word_hashes
 
-WINDOW, LITERALS = 8, 4
+WINDOW, LITERALS, AROUND = 8, 4, 4
 LONG, SHARE = 13, 0.5
 BLOCK_CHARS = 16 << 20
 NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -75,22 +77,37 @@ class Canonical:
                 changed |= (a[self.starts] == 0xC3) & (low[after] != a[after])
             inside = np.zeros(len(code), bool)
             inside[1:] = stops[self.starts[1:]] == stops[self.ends[:-1]]
-            code[changed & inside] = NAME
+            code[changed & inside & ~self._shouted(a, low)] = NAME
             code[np.isin(self.literal, _UNIT_HASHES)] = UNIT
             code[digit[self.starts]] = NUMBER
         self.code = code
         self.is_literal = code > UNIT
 
-    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows of n words in one text with LITERALS literal words, and where they start."""
-        h = window_hashes(self.code, n)
+    def _shouted(self, a: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Whether each word is all in capitals, as are most words around it in its text."""
+        sums = lambda x: np.concatenate([[0], np.cumsum(x)])
+        capital, small = sums(low != a), sums((a >= ord("a")) & (a <= ord("z")))
+        capital, small = (x[self.ends] - x[self.starts] for x in (capital, small))
+        upper = (capital > 0) & (small == 0)
+        words = np.diff(self.first)
+        at = np.arange(len(upper))
+        low_end = np.maximum(at - AROUND, np.repeat(self.first[:-1], words))
+        high_end = np.minimum(at + AROUND + 1, np.repeat(self.first[1:], words))
+        uppers, lettered = sums(upper), sums(capital + small > 0)
+        return upper & (2 * (uppers[high_end] - uppers[low_end]) > lettered[high_end] - lettered[low_end])
+
+    def windows(self, n: int, literal_words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows of n words in one text, and where they start: canonical words with LITERALS literal ones, or all words as they are."""
+        h = window_hashes(self.literal if literal_words else self.code, n)
         if not len(h):
             return h, np.empty(0, np.int64)
         words = np.diff(self.first)
         doc = np.repeat(np.arange(len(words)), words)[: len(h)]
         literal = np.concatenate([[0], np.cumsum(self.is_literal)])
         at = np.arange(len(h))
-        ok = (at + n <= self.first[doc + 1]) & (literal[n : n + len(h)] - literal[: len(h)] >= min(LITERALS, n))
+        ok = at + n <= self.first[doc + 1]
+        if not literal_words:
+            ok &= literal[n : n + len(h)] - literal[: len(h)] >= min(LITERALS, n)
         return h[ok], at[ok]
 
 
@@ -105,19 +122,20 @@ class Benchmark:
         self.ids = [i for i, _ in items]
         self.text = Canonical([t.encode() for _, t in items])
         self.words = np.diff(self.text.first)
-        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, bool, np.ndarray, np.ndarray]] = []
         for n in sorted({int(min(w, WINDOW)) for w in self.words if w >= LITERALS}):
-            h, at = self.text.windows(n)
-            item = np.searchsorted(self.text.first, at, side="right") - 1
-            fits = (self.words[item] == n) | (n == WINDOW)
-            order = np.argsort(h[fits], kind="stable")
-            self.tables.append((n, h[fits][order], at[fits][order]))
+            for literal_words in (False, True):
+                h, at = self.text.windows(n, literal_words)
+                item = np.searchsorted(self.text.first, at, side="right") - 1
+                fits = (self.words[item] == n) | (n == WINDOW)
+                order = np.argsort(h[fits], kind="stable")
+                self.tables.append((n, literal_words, h[fits][order], at[fits][order]))
 
     def stretches(self, c: Canonical) -> dict[tuple[int, int], tuple[int, int, bool]]:
         """For each (text, item) with a consistent stretch: words of the longest, words in all, whether all are exact."""
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
-        for n, keys, places in self.tables:
-            h, at = c.windows(n)
+        for n, literal_words, keys, places in self.tables:
+            h, at = c.windows(n, literal_words)
             low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
             hit = np.flatnonzero(high > low)
             count = (high - low)[hit]
