@@ -390,3 +390,12 @@ def test_templates_of_any_case():
         # in capitals nothing tells Berlin from other words, so the stretch is what follows it
         assert found[1] == k and found[2] >= (templates.LONG if "BERLIN" not in text else templates.SHARE * block.words[k]), text
     assert templates.leaks_of(block, [b"one two 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]) == []
+
+
+def test_single_lines_that_are_passages(spark):
+    long = " ".join(f"word{k}" for k in range(51))
+    fifty = long.rpartition(" ")[0]
+    rows = [(1, long), (2, " " + long + "\t"), (3, "its own line\n" + long + "\nanother line"), (4, fifty), (5, fifty), (6, "x\n" + long + "\n\n" + long)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in lineruns.without_copies(docs, alone=lineruns.PASSAGE_WORDS).collect()}
+    assert got == {1: long, 2: "", 3: "its own line\nanother line", 4: fifty, 5: fifty, 6: "x"}

@@ -8,7 +8,9 @@ lines or more, and places that occur once leave it, so each round is smaller; th
 
 A run of ``min_lines`` lines that occurs before (smaller doc_id, or an earlier line of the same document) is a
 later copy. Later copies that overlap or touch in a document are one maximal run. Its lines are deleted, with
-blank lines between them, if they have ``min_chars`` characters together; the first copy always stays.
+blank lines between them, if they have ``min_chars`` characters together; the first copy always stays. With
+``alone``, a single line of more than so many words that occurs before is a later copy too, however few lines
+a run has; op4_line_runs, whose SQL has runs of two lines, leaves it out, the pipeline has PASSAGE_WORDS.
 
 Classes are counted with partial sums and joined back, a join that Spark divides where a class is frequent; no
 class is ever gathered. Null or empty text has no lines. Rows with a null doc_id stay as they are and count
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import table
 
 MIN_LINES, MIN_CHARS = 2, 20
+#: Words beyond which a line is a passage by itself.
+PASSAGE_WORDS = 50
 _KEY = ["doc_id", "tie"]
 
 
@@ -31,13 +35,13 @@ def _lines(text: str) -> Column:
     return F.when(F.length(text) > 0, F.split(F.col(text), "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
-def line_places(docs: DataFrame) -> DataFrame:
-    """A row a line that is not blank: ``doc_id``, ``tie`` (the text's hash), ``at`` (its place), ``n`` (its number), ``class`` and ``size``."""
+def line_places(docs: DataFrame, words: bool = False) -> DataFrame:
+    """A row a line that is not blank: ``doc_id``, ``tie`` (the text's hash), ``at`` (its place), ``n`` (its number), ``class``, ``size`` and, if asked for, ``words``."""
     trimmed = F.transform(_lines("text"), lambda x, i: F.struct(i.alias("n"), F.btrim(x, F.lit(" \t\r\x0b\x0c")).alias("t")))
     full = F.filter(trimmed, lambda x: F.length(x["t"]) > 0)
-    ids = F.transform(full, lambda x: F.struct(x["n"].alias("n"), F.xxhash64(x["t"]).alias("class"), F.length(x["t"]).alias("size")))
+    ids = F.transform(full, lambda x: F.struct(x["n"].alias("n"), F.xxhash64(x["t"]).alias("class"), F.length(x["t"]).alias("size"), *([F.size(F.split(x["t"], "[ \t\r\x0b\x0c]+")).alias("words")] if words else [])))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), ids.alias("ids")).where(F.size("ids") > 0)
-    return rows.dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("at", "x")).select(*_KEY, "at", "x.n", "x.class", "x.size")
+    return rows.dropDuplicates(_KEY).select(*_KEY, F.posexplode("ids").alias("at", "x")).select(*_KEY, "at", "x.n", "x.class", "x.size", *(["x.words"] if words else []))
 
 
 def _several(places: DataFrame) -> DataFrame:
@@ -48,9 +52,9 @@ def _several(places: DataFrame) -> DataFrame:
     return places.join(classes, "class").withColumn("later", at > F.col("first")).drop("first")
 
 
-def suffix_rounds(docs: DataFrame) -> list[tuple[int, DataFrame]]:
+def suffix_rounds(docs: DataFrame, words: bool = False) -> list[tuple[int, DataFrame]]:
     """(h, places) for h = 1, 2, 4 ...: the places whose run of h lines occurs several times; the last is empty."""
-    now = table(_several(line_places(docs)), "round")
+    now = table(_several(line_places(docs, words)), "round")
     rounds = [(1, now)]
     while not now.isEmpty():
         h = rounds[-1][0]
@@ -61,14 +65,14 @@ def suffix_rounds(docs: DataFrame) -> list[tuple[int, DataFrame]]:
     return rounds
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, alone: int | None = None) -> DataFrame:
     """A row a maximal run of later copies: ``doc_id``, ``tie``, its lines' numbers ``a`` to ``b``, ``lines`` and ``prefix``.
 
     ``prefix``: the longest h of which a common prefix of h lines is known that begins in the run.
     """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    rounds = suffix_rounds(docs)
+    rounds = suffix_rounds(docs, alone is not None)
     lines = rounds[0][1]
     late = None
     for h, places in rounds:
@@ -78,6 +82,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     if late is None:  # no run is as long
         late = lines.where("false").select(*_KEY, "at", F.lit(1).alias("prefix"))
     covered = late.groupBy(*_KEY, "at").agg(F.max("prefix").alias("prefix")).withColumn("at", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))))
+    if alone is not None:
+        covered = covered.unionByName(lines.where("later").where(F.col("words") > alone).select(*_KEY, "at", F.lit(1).alias("prefix")))
     covered = covered.groupBy(*_KEY, "at").agg(F.max("prefix").alias("prefix")).join(lines.select(*_KEY, "at", "n", "size"), [*_KEY, "at"])
     # a document's own lines: places less their ranks are equal in a run
     listed = covered.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("at", "n", "size", "prefix"))).alias("x"))
@@ -93,9 +99,9 @@ def _without(lines: Column, runs: Column) -> Column:
     return F.flatten(F.zip_with(before, upto, lambda x, y: F.slice(lines, x + 1, y - x)))
 
 
-def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, alone: int | None = None) -> DataFrame:
     """``row`` (a row of ``docs`` as it is), ``text`` without later copies, ``n_lines``, ``n_deleted``, ``n_runs``, ``longest_run``, ``prefix``."""
-    runs = repeated_runs(docs, min_lines, min_chars)
+    runs = repeated_runs(docs, min_lines, min_chars, alone)
     of = runs.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"), F.sum("lines").alias("gone"), F.max("lines").alias("longest"), F.max("prefix").alias("prefix"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"))
     both = rows.join(of, _KEY, "left").withColumn("all", F.when(F.length("row.text") > 0, F.split("row.text", "\n", -1)).otherwise(F.array().cast("array<string>")))
@@ -110,9 +116,9 @@ def line_digest(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MI
     return out.select("row.doc_id", "n_lines", "n_deleted", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def without_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+def without_copies(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, alone: int | None = None) -> DataFrame:
     """The rows and columns of ``docs``, ``text`` without later copies and ``n_chars`` (if there) its length."""
-    out = line_dedup(docs, min_lines, min_chars)
+    out = line_dedup(docs, min_lines, min_chars, alone)
     columns = []
     for c, kind in docs.dtypes:
         new = F.col("text") if c == "text" else F.length("text").cast(kind) if c == "n_chars" else F.col(f"row.`{c}`")
