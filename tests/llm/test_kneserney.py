@@ -78,3 +78,17 @@ def test_nothing_to_learn(spark):
 def test_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a b", 5, "x"), (1, "a b", 5, "x"), (None, None, 5, "y")], "doc_id bigint, text string, score int, range string")
     assert kneserney.language_model_scores(docs).count() == 3
+
+
+def test_query_counts_trigrams(spark, tmp_path):
+    from wardline.llm import queries
+
+    # wide counts beside narrow ones, and a word that only two words before tell
+    rows = [(i, t) for i, t in enumerate(["a b c", "d b e"] * 300 + ["f g h"])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_kneser_ney(spark, str(tmp_path)).collect()}
+    out = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    p, _ = brute([t for (_, t), o in zip(rows, out) if not o], 3)
+    for i, t in rows[:2] + rows[-1:]:
+        w = ["<s>", "<s>", *tokens(t)]
+        assert got[i].score == pytest.approx(sum(math.log10(p(tuple(w[k : k + 3]))) for k in range(len(w) - 2)))

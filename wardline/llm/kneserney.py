@@ -74,6 +74,8 @@ class HashArrays:
                 n = int(raw[:8].view("<u8")[0])
                 at, columns = 8 + 8 * n, []
                 for v in values:
+                    if v == "<u8" and n:  # counts take as few bytes as the file's largest needs; one line feed ends the file
+                        v = f"<u{(len(raw) - 1 - at) // n}"
                     size = np.dtype(v).itemsize * n
                     columns.append(raw[at : at + size].view(v))
                     at += size
@@ -232,11 +234,14 @@ def _gram_rows(columns: list[np.ndarray], c: np.ndarray, ranges: int) -> tuple[d
     c = np.bincount(back, c).astype(np.uint64)
     cuts = _cuts(u, ranges)
     some = np.flatnonzero(np.diff(cuts))
-    return {"range": some, "ids": [[pack(x[first[cuts[r] : cuts[r + 1]]], False) for x in columns] for r in some], "c": [pack(c[cuts[r] : cuts[r + 1]], False) for r in some]}, u
+    # in a range by their first words, which then take few bytes
+    order = np.lexsort((*[x[first] for x in columns[1::-1]], np.repeat(np.arange(ranges), np.diff(cuts))))
+    columns, c = [x[first[order]] for x in columns], c[order]
+    return {"range": some, "ids": [[pack(x[cuts[r] : cuts[r + 1]], k == 0) for k, x in enumerate(columns)] for r in some], "c": [pack(c[cuts[r] : cuts[r + 1]], False) for r in some]}, u
 
 
 def _read_grams(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
-    ids = [[unpack(b, "<u8", False) for b in row] for row in rows.column("ids").to_pylist()]
+    ids = [[unpack(b, "<u8", k == 0) for k, b in enumerate(row)] for row in rows.column("ids").to_pylist()]
     return [np.concatenate(x) for x in zip(*ids)], np.concatenate([unpack(b, "<u8", False) for b in rows.column("c").to_pylist()])
 
 
@@ -276,7 +281,7 @@ def _count_grams(grams: DataFrame, order: int, ranges: int, path: str) -> None:
         c = np.bincount(back, c)
         columns = [x[first] for x in columns]
         stat = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), int(c.sum())]
-        out = [("counts", array_file(u, [c.astype("<u8")])), ("stats", json.dumps(stat).encode())]
+        out = [("counts", array_file(u, [c.astype(np.min_scalar_type(int(c.max(initial=0))))])), ("stats", json.dumps(stat).encode())]
         if order > 1:
             prefix, at = np.unique(gram_hashes(columns[:-1]), return_inverse=True)
             sums = [np.bincount(at, w).astype(np.uint64) for w in (c, c == 1, c == 2, c >= 3)]
@@ -321,6 +326,12 @@ def _count_contexts(spark: SparkSession, path: str, to: str, d: tuple[float, flo
     raw_files(_sent(spark, path, "contexts", "range int, h binary, c array<binary>").groupBy("range").applyInArrow(merge, "range int, data binary"), "data", "range", path=to)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete what the next order has read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fit(training: DataFrame, order: int = 2) -> Model:
     """Count ``training(text)`` and write the model's tables to the shared folder."""
     if order < 2:
@@ -341,8 +352,12 @@ def fit(training: DataFrame, order: int = 2) -> Model:
         stat = spark.read.text(f"{path}-order{k}/kind=stats/*/*.txt").where("value != ''").select(F.from_json("value", "array<bigint>").alias("s"))  # one line a range
         n1, n2, n3, n4, more, total = stat.agg(*[F.sum(F.col("s")[i]) for i in range(6)]).first()
         found[k] = discounts_of([n1, n2, n3, n4])
+        if k < order:
+            _remove(spark, f"{path}-order{k + 1}/kind=suffixes")
+        spark.sparkContext._jvm.System.gc()  # what was dealt out for this order leaves the executors' disks
         if k > 1:
             _count_contexts(spark, f"{path}-order{k}", f"{path}-contexts{k}", found[k])
+            _remove(spark, f"{path}-order{k}/kind=contexts")
             grams = _sent(spark, f"{path}-order{k}", "suffixes", _GRAM_SCHEMA)
     d = found[1]
     return Model(path, order, word_ranges, ranges, tokens, words, found, float(total), (d[0] * n1 + d[1] * n2 + d[2] * more) / total)

@@ -19,7 +19,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kneserney.language_model_scores(_documents(spark, sf_dir))
+    return kneserney.language_model_scores(_documents(spark, sf_dir), order=3)
 
 
 def op2_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
