@@ -86,37 +86,71 @@ def test_passages_of_any_window(spark, size):
         assert got[i] == len({p for k in range(len(w) - size + 1) if first[tuple(w[k : k + size])] < i for p in range(k, k + size)})
 
 
-def test_line_runs(docs, nothing):
-    def full(t):
-        return [(n, s) for n, x in enumerate(t.split("\n") if t else []) if (s := x.strip(" \t\r\x0b\x0c"))]
-
-    seen, want = set(), {}
-    for i, t in sorted({x for x in TEXTS if x[0] is not None}, key=lambda x: x[0]):
-        lines, late = full(t), set()
-        for k in range(len(lines) - 1):
-            w = (lines[k][1], lines[k + 1][1])
-            late |= {k, k + 1} if w in seen else set()
-            seen.add(w)
+def without_later_runs(rows, min_lines=lineruns.MIN_LINES, min_chars=lineruns.MIN_CHARS, alone=lineruns.PASSAGE_WORDS):
+    """Each document's text without the lines of runs, of any length, that begin at an earlier place too."""
+    rows = sorted({x for x in rows if x[0] is not None}, key=lambda x: x[0])
+    full = {i: [(n, s) for n, x in enumerate(t.split("\n") if t else []) if (s := x.strip(" \t\r\x0b\x0c"))] for i, t in rows}
+    seen, out = set(), {}
+    for i, t in rows:
+        lines, late = [s for _, s in full[i]], set()
+        for k in range(len(lines)):
+            for m in range(k + 1, len(lines) + 1):
+                run = tuple(lines[k:m])
+                if run in seen and (m - k >= min_lines and sum(map(len, run)) >= min_chars or alone is not None and any(len(x.split()) > alone for x in run)):
+                    late.update(range(k, m))
+                seen.add(run)
         gone, k = set(), 0
         while k < len(lines):
             m = k
             while m in late:
                 m += 1
-            if m > k and sum(len(lines[j][1]) for j in range(k, m)) >= lineruns.MIN_CHARS:
-                gone.update(range(lines[k][0], lines[m - 1][0] + 1))
+            if m > k:
+                gone.update(range(full[i][k][0], full[i][m - 1][0] + 1))
             k = max(m, k + 1)
-        want[i] = "\n".join(x for n, x in enumerate(t.split("\n") if t else []) if n not in gone)
+        out[i] = "\n".join(x for n, x in enumerate(t.split("\n") if t else []) if n not in gone)
+    return out
+
+
+def test_line_runs(docs, nothing):
+    want = without_later_runs(TEXTS)
     got = lineruns.line_digest(docs).collect()
     assert len(got) == len(TEXTS)
     for r in got:
         if r.doc_id is not None:
             assert r.kept_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest(), r
-    assert {r.doc_id: r.n_deleted for r in got}[12] == 2 and {r.doc_id: r.prefix for r in lineruns.line_dedup(docs).select("row.doc_id", "prefix").collect()}[13] == 16
+    assert {r.doc_id: r.n_deleted for r in got}[12] == 2 and {r.doc_id: r.n_lines for r in got}[13] == 31
     clean = lineruns.without_copies(docs)
     assert clean.columns == docs.columns and clean.count() == len(TEXTS)
     assert lineruns.line_digest(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("min_lines", "min_chars", "alone"), [(2, 20, 50), (1, 7, None), (3, 4, 2), (2, 6, None)])
+def test_runs_of_short_lines(spark, min_lines, min_chars, alone):
+    g = random.Random(min_chars)
+    kinds = ["a", "b", "}", "two words", "a line of five words", "", " a "]
+    base = [g.choice(kinds) for _ in range(60)]
+    rows = []
+    for i in range(40):
+        a = g.randrange(40)
+        rows.append((i, "\n".join([g.choice(kinds), *base[a : a + g.randrange(2, 30)], *(g.choice(kinds) for _ in range(g.randrange(5)))])))
+    want = without_later_runs(rows, min_lines, min_chars, alone)
+    got = {r.doc_id: r.text for r in lineruns.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), min_lines, min_chars, alone).select("row.doc_id", "text").collect()}
+    assert got == want
+    assert any(want[i] != t for i, t in rows)
+
+
+def test_runs_must_occur_themselves(spark):
+    def left(*texts):
+        got = lineruns.line_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).select("row.doc_id", "text").collect()
+        return [r.text for r in sorted(got)]
+
+    # two pairs of 14 characters from two documents are no run of 21 characters that occurs before
+    apart = ("aaaaaaa\nbbbbbbb", "bbbbbbb\nccccccc", "aaaaaaa\nbbbbbbb\nccccccc\nzz")
+    assert left(*apart) == list(apart)
+    # a run of three lines does, though no two of them have 20 characters; and its short end goes with it
+    assert left("aaaaaaa\nbbbbbbb\nccccccc\nd\ne", "x\naaaaaaa\nbbbbbbb\n\nccccccc\nd\ny") == ["aaaaaaa\nbbbbbbb\nccccccc\nd\ne", "x\ny"]
+
+
 def test_repeats_within_one_document(spark):
     text = "\n".join(["this is the first line", "this is the second line"] * 4)
     (r,) = lineruns.line_digest(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
@@ -397,5 +431,5 @@ def test_single_lines_that_are_passages(spark):
     fifty = long.rpartition(" ")[0]
     rows = [(1, long), (2, " " + long + "\t"), (3, "its own line\n" + long + "\nanother line"), (4, fifty), (5, fifty), (6, "x\n" + long + "\n\n" + long)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.text for r in lineruns.without_copies(docs, alone=lineruns.PASSAGE_WORDS).collect()}
+    got = {r.doc_id: r.text for r in lineruns.without_copies(docs).collect()}
     assert got == {1: long, 2: "", 3: "its own line\nanother line", 4: fifty, 5: fifty, 6: "x"}

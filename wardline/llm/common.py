@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -24,10 +25,12 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where it is unset (tests on one machine) a temporary folder becomes the checkpoint folder.
+    Where it is unset on one machine (tests) a temporary folder becomes the checkpoint folder; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="wardline-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -44,9 +47,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone by now
             return
 
@@ -55,7 +56,21 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: this cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._wardline_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what table() wrote, once nothing reads it any more."""
+    for t in tables:
+        remove(t.sparkSession, t._wardline_path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -75,14 +75,18 @@ r AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM c GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """
-_OP4_SQL = """
+_OP4_SQL = r"""
 WITH s AS (SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END AS l FROM documents),
 t AS (SELECT doc_id, n, x, trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS y FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS n FROM s)),
-b AS (SELECT doc_id, n, y, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS a, lead(y) OVER (PARTITION BY doc_id ORDER BY n) AS z FROM t WHERE y <> ''),
-w AS (SELECT doc_id, a, row_number() OVER (PARTITION BY y, z ORDER BY doc_id, a) > 1 AS late FROM b WHERE z IS NOT NULL),
-c AS (SELECT DISTINCT doc_id, a + o AS a FROM w, (VALUES (0), (1)) v(o) WHERE late),
-r AS (SELECT b.doc_id, b.n, length(b.y) AS chars, b.a - row_number() OVER (PARTITION BY b.doc_id ORDER BY b.a) AS g FROM b JOIN c USING (doc_id, a)),
-u AS (SELECT doc_id, min(n) AS p, max(n) AS q, count(*) AS k FROM r GROUP BY doc_id, g HAVING sum(chars) >= 20),
+b AS (SELECT doc_id, list(y ORDER BY n) AS y FROM t WHERE y <> '' GROUP BY doc_id),
+p AS (SELECT doc_id, y, unnest(range(len(y))) AS a FROM b),
+w AS (SELECT doc_id, a, k, list_slice(y, a + 1, a + k) AS run FROM (SELECT *, unnest(range(1, least(21, len(y) - a + 1))) AS k FROM p)),
+f AS (SELECT doc_id, a, k, row_number() OVER (PARTITION BY k, md5(array_to_string(run, chr(10))) ORDER BY doc_id, a) > 1 AS late,
+  k >= 2 AND length(array_to_string(run, '')) >= 20 OR k = 1 AND len(string_split_regex(run[1], '[ \t\r\x0b\x0c]+')) > 50 AS enough FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(a, a + k)) AS a FROM f WHERE late AND enough),
+m AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS a FROM t WHERE y <> ''),
+r AS (SELECT m.doc_id, m.n, m.a - row_number() OVER (PARTITION BY m.doc_id ORDER BY m.a) AS g FROM m JOIN c ON m.doc_id = c.doc_id AND m.a = c.a),
+u AS (SELECT doc_id, min(n) AS p, max(n) AS q, count(*) AS k FROM r GROUP BY doc_id, g),
 e AS (SELECT doc_id, count(*) AS n_runs, sum(k) AS n_deleted, max(k) AS longest_run FROM u GROUP BY doc_id),
 o AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = t.doc_id AND t.n BETWEEN p AND q) GROUP BY doc_id)
 SELECT s.doc_id, len(l) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, coalesce(n_runs, 0) AS n_runs, coalesce(longest_run, 0) AS longest_run, sha256(coalesce(kept, '')) AS kept_sha256
