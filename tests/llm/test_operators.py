@@ -73,19 +73,36 @@ def test_passages(docs, nothing):
     assert passages.substring_dedup(nothing).count() == 0
 
 
-@pytest.mark.parametrize("size", [1, 3])
-def test_passages_of_any_window(spark, size):
+@pytest.mark.parametrize(("size", "bits"), [(1, 64), (3, 64), (3, 3), (2, 1)])
+def test_passages_of_any_window(spark, size, bits):
+    """Words decide, so hashes of a few bits, which very many windows share, change nothing."""
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(8)))) for i in range(60)]
     first = {}
     for i, t in rows:
         for k in range(len(t.split()) - size + 1):
             first.setdefault(tuple(t.split()[k : k + size]), i)
-    got = {r.doc_id: r.n_removed for r in passages.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), size).collect()}
+    got = {r.doc_id: r.n_removed for r in passages.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), size, bits=bits).collect()}
     for i, t in rows:
         w = t.split()
         assert got[i] == len({p for k in range(len(w) - size + 1) if first[tuple(w[k : k + size])] < i for p in range(k, k + size)})
 
 
+def test_automata_of_several_shards(monkeypatch):
+    monkeypatch.setattr(passages, "SHARD_WINDOWS", 5)
+    import pyarrow as pa
+
+    base = prose(100)
+    rows = pa.table({"doc_id": [4, 9, 12, None], "text": [prose(20), base, " ".join(base.split()[30:]), base]})
+    block = passages.Block(rows, 13, 64)
+    none = np.empty(0, np.int64)
+    may, found = block.located(none.astype(np.uint64), none, [], 64)
+    assert (may == found).all() and found.sum() == 58 and set(block.doc[found]) == {2}
+    # without the automata's finds nothing goes; without a piece that holds its words a told window stays in doubt
+    known = np.sort(block.h[block.doc == 1])
+    may, found = block.located(known, np.full(len(known), 3), [(3, " ".join(base.split()[:50]))], 64)
+    assert may[block.doc == 1].all() and found[block.doc == 1].sum() == 38 and found[block.doc == 2].sum() == 8
+
+
 def without_later_runs(rows, min_lines=lineruns.MIN_LINES, min_chars=lineruns.MIN_CHARS, alone=lineruns.PASSAGE_WORDS):
     """Each document's text without the lines of runs, of any length, that begin at an earlier place too."""
     rows = sorted({x for x in rows if x[0] is not None}, key=lambda x: x[0])

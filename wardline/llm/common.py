@@ -43,6 +43,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles that no DataFrame needs any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _written:

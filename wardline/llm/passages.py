@@ -1,196 +1,293 @@
 """Operator 3. Substring dedup by repeated-phrase automata.
 
-A window is ``window`` consecutive words of a document. Documents are dealt into blocks by doc_id. Each
-block sends the hash of each distinct window with its smallest doc_id, packed, to the task of that range of
-hashes; that task confirms windows that recur and tells each block whose own copy is not the first one which
-doc_id has it first. So a window that very many documents share travels once a block at most. In a block
-the recurring windows merge into passages, the shard's Aho-Corasick automaton is compiled from them, and all
-documents of the block stream through it: it yields every occurrence, and the words under an occurrence go
-if each of the passage's windows starts in a document with a smaller doc_id.
-
-A shard holds the passages of its own documents alone, so total work follows the input. Windows are compared
-by 64-bit hashes. Null or empty text: no words. Rows with a null doc_id keep all words and make no other row's
-words go. Rows of one doc_id do not affect each other. Every input row gives one row.
+A window is ``window`` consecutive words of a document. Documents are dealt into blocks by doc_id. Each block
+sends the hash of each distinct window with its smallest doc_id, packed, to the task of that range of hashes;
+that task tells each block whose own copy is not the first one which doc_id has the window first. So a window that
+very many documents share travels once a block at most. Hashes only route; words decide. Pieces of the first
+documents that hold such windows are fetched (a piece once from its document, then to the blocks that ask for
+it), and in each block the windows that may recur are spelled out from those pieces, compiled into Aho-Corasick
+automata of SHARD_WINDOWS windows each, and all documents of the block stream through each automaton. An occurrence in
+a document after the first one covers its words.
+
+A window that a hash called repeated, but whose words no piece holds, shared its hash with other words. Such
+windows are compared once more by their words alone, and the blocks that hold them are done again with what that
+shows, so the result is exact whatever the hashes do.
+
+A shard holds windows of its own block alone, so total work follows the input. Null or empty text: no words. Rows with a
+null doc_id keep all words and make no other row's words go. Rows of one doc_id do not affect each other. Every
+input row gives one row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import joined, pack, unpack, window_hashes, word_hashes, word_spans
+from wardline.llm.common import collect_garbage, joined, pack, table, unpack, window_hashes, word_hashes, word_spans
 from wardline.llm.kneserney import _cuts, ranges_of
 
-#: Words of a window; bytes of text in a block (a shard of the automata) and in a range of hashes.
+#: Words of a window; bytes of text in a block and in a range of hashes.
 WINDOW, BLOCK_BYTES, RANGE_BYTES = 13, 8 << 20, 16 << 20
 LEAST_BLOCKS = 64
+#: Windows of a piece of a document, and windows that one automaton holds.
+PIECE_WINDOWS, SHARD_WINDOWS = 64, 100_000
+_TOLD = "block int, h binary, home binary, piece binary"
+_SENT = "block int, home bigint, words string, h binary, homes binary"
 
 
-class Block:
-    """The words and windows of a block's documents, those with a doc_id first and in its order."""
+class Words:
+    """The words of some texts and the windows of the first ``numbered`` of them."""
 
-    def __init__(self, rows: pa.Table, window: int):
-        rows = rows.sort_by([("doc_id", "ascending")])  # null at the end
+    def __init__(self, texts: list[str | None], numbered: int, window: int, bits: int):
         self.window = window
-        self.doc_ids = rows.column("doc_id").to_pylist()
-        self.data, at = joined([(t or "").encode() for t in rows.column("text").to_pylist()])
+        self.data, at = joined([(t or "").encode() for t in texts])
         self.starts, self.ends = word_spans(self.data)
         self.first = np.searchsorted(self.starts, at)
-        self.words = word_hashes(self.data, self.starts, self.ends)
+        # a window lies in one text: it starts window - 1 words or more before its end
+        count = np.maximum(np.diff(self.first[: numbered + 1]) - window + 1, 0)
+        self.doc = np.repeat(np.arange(numbered), count)
+        self.place = np.arange(count.sum()) - (np.cumsum(count) - count)[self.doc]
+        self.at = self.first[self.doc] + self.place
+        h = window_hashes(word_hashes(self.data, self.starts, self.ends), window)
+        self.h = (h[self.at] >> np.uint64(64 - bits)) << np.uint64(64 - bits) if len(h) else np.empty(0, np.uint64)
+
+    def word(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.ends[k]]
+
+    def inside(self, windows: np.ndarray) -> np.ndarray:
+        """The words that the windows cover, in order."""
+        edge = np.zeros(len(self.starts) + 1, np.int64)
+        np.add.at(edge, self.at[windows], 1)
+        np.add.at(edge, self.at[windows] + self.window, -1)
+        return np.flatnonzero(np.cumsum(edge)[:-1])
+
+    def spell(self, windows: np.ndarray, letters: dict[bytes, int]) -> np.ndarray:
+        """The windows' words as letters, a row a window; new words get new ones."""
+        inside = self.inside(windows)
+        of = np.array([letters.setdefault(self.word(k), len(letters) + 2) for k in inside.tolist()], np.int32)
+        return of[np.searchsorted(inside, self.at[windows])[:, None] + np.arange(self.window)]
+
+
+class Block(Words):
+    """The rows of a block, those with a doc_id first and in its order."""
+
+    def __init__(self, rows: pa.Table, window: int, bits: int):
+        rows = rows.sort_by([("doc_id", "ascending")])  # null at the end
+        self.doc_ids = rows.column("doc_id").to_pylist()
         numbered = len(self.doc_ids) - rows.column("doc_id").null_count
+        super().__init__(rows.column("text").to_pylist(), numbered, window, bits)
         self.ids = np.array(self.doc_ids[:numbered], np.int64)
-        # a window lies in one numbered document: it starts window - 1 words or more before its end
-        n = np.diff(self.first[: numbered + 1])
-        count = np.maximum(n - window + 1, 0)
-        self.doc = np.repeat(np.arange(numbered), count)
-        offset = np.cumsum(count) - count
-        self.at = self.first[self.doc] + np.arange(count.sum()) - offset[self.doc]
-        h = window_hashes(self.words, window)
-        self.h = h[self.at] if len(h) else np.empty(0, np.uint64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct window hashes, the smallest doc_id of each, and each window's place among them."""
-        u, first, back = np.unique(self.h, return_index=True, return_inverse=True)
-        return u, self.ids[self.doc[first]], back
+        """The distinct window hashes, where each occurs first, and each window's place among them."""
+        return np.unique(self.h, return_index=True, return_inverse=True)
 
-    def passages(self, known: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """First word, last word and largest home of each maximal run of windows that start in an earlier document.
+    def located(self, known: np.ndarray, homes: np.ndarray, pieces: list[tuple[int | None, str]], bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each window whether it may recur (by its hash), and whether an automaton finds it in a later document.
 
-        ``known``: sorted hashes of windows that start in another block's document ``home`` before this block's own.
+        ``known``: sorted hashes that another block's document ``homes`` holds before this block's own; ``pieces``:
+        texts of such documents, with a null document where the words are known to recur.
         """
-        u, own, back = self.distinct()
-        if len(known) and len(u):
-            k = np.minimum(np.searchsorted(known, u), len(known) - 1)
-            own = np.where(known[k] == u, np.minimum(home[k], own), own)
-        least = own[back]
-        hit = np.flatnonzero(least < self.ids[self.doc])
-        if not len(hit):
-            return
-        begin = np.flatnonzero(np.concatenate([[True], (np.diff(self.at[hit]) != 1) | (np.diff(self.doc[hit]) != 0)]))
-        bound = np.maximum.reduceat(least[hit], begin)
-        last = np.append(begin[1:], len(hit)) - 1
-        yield from zip(self.at[hit[begin]].tolist(), (self.at[hit[last]] + self.window - 1).tolist(), bound.tolist())
-
-    def covered(self, passages: list[tuple[int, int, int]]) -> np.ndarray:
-        """For each word whether an occurrence of a passage covers it in a document after the passage's bound."""
         import ahocorasick
 
-        cover = np.zeros(len(self.words) + 1, np.int64)
-        if not passages:
-            return cover[:-1] > 0
-        # each word of a passage is one character; other words, and the gap after each document, are in no passage
-        inside = np.zeros(len(self.words) + 1, np.int64)
-        a, b, _ = (np.array(x) for x in zip(*passages))
-        np.add.at(inside, a, 1)
-        np.add.at(inside, b + 1, -1)
-        inside = np.cumsum(inside)[:-1] > 0
-        letters = np.unique(self.words[inside])
-        place = np.minimum(np.searchsorted(letters, self.words), len(letters) - 1)
-        letter = np.where(letters[place] == self.words, place + 2, 1)
-        # text position of word w of document d: w + d, the gap after it is letter 0
+        u, first, back = self.distinct()
+        own = self.ids[self.doc[first]]
+        if len(known) and len(u):
+            k = np.minimum(np.searchsorted(known, u), len(known) - 1)
+            own = np.where(known[k] == u, np.minimum(homes[k], own), own)
+        may = own[back] < self.ids[self.doc]
+        found = np.zeros(len(self.h), bool)
+        letters: dict[bytes, int] = {}
+        here = np.unique(back[may])
+        here = first[here[own[here] == self.ids[self.doc[first[here]]]]]  # windows whose first document lies in this block
+        spelled, home_of = [self.spell(here, letters)], [self.ids[self.doc[here]]]
+        if pieces:
+            texts = Words([t for _, t in pieces], len(pieces), self.window, bits)
+            home = np.array([i for i, _ in pieces], np.int64)[texts.doc]
+            k = np.minimum(np.searchsorted(known, texts.h), max(len(known) - 1, 0))
+            told = (known[k] == texts.h) & (homes[k] == home) if len(known) else np.zeros(len(texts.h), bool)
+            # pieces of a single window come from the comparison by words
+            told |= np.diff(texts.first)[texts.doc] == self.window
+            some = np.flatnonzero(told)
+            spelled.append(texts.spell(some, letters))
+            home_of.append(home[some])
+        # a row a pattern, with the smallest document that holds it
+        rows, homes = np.concatenate(spelled), np.concatenate(home_of)
+        if not len(rows):
+            return may, found
+        by_home = np.argsort(homes, kind="stable")
+        rows = np.ascontiguousarray(rows[by_home])
+        _, least = np.unique(rows.view(f"V{4 * self.window}").reshape(-1), return_index=True)
+        patterns, homes = rows[least].astype(np.int64), homes[by_home][least].tolist()
+        # words outside windows that may recur are letter 1, the gap after each text is letter 0
+        inside = self.inside(np.flatnonzero(may))
+        letter = np.ones(len(self.starts), np.int64)
+        letter[inside] = [letters.get(self.word(k), 1) for k in inside.tolist()]
         doc = np.repeat(np.arange(len(self.doc_ids)), np.diff(self.first))
-        text = np.zeros(len(self.words) + len(self.doc_ids), np.int64)
-        text[np.arange(len(self.words)) + doc] = letter
-        if len(letters) < 1_000_000:
-            text += np.where(text >= 0xD800, 0x800, 0)  # surrogates are no characters
-            stream = text.astype("<u4").tobytes().decode("utf-32-le")
-            automaton = ahocorasick.Automaton()
-        else:
-            stream = tuple(text.tolist())
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for x, y, bound in passages:
-            k = int(doc[x])
-            key = stream[x + k : y + k + 1]
-            if bound < automaton.get(key, (bound + 1,))[0]:
-                automaton.add_word(key, (bound, y - x + 1))
-        automaton.make_automaton()
-        found = [(end, *v) for end, v in automaton.iter(stream)]
-        end, bound, size = (np.array(x, np.int64) for x in zip(*found))
+        text = np.zeros(len(letter) + len(self.doc_ids), np.int64)
+        text[np.arange(len(letter)) + doc] = letter
+        wide = len(letters) > 1_000_000
+        shift = lambda x: x + np.where(x >= 0xD800, 0x800, 0)  # noqa: E731  surrogates are no characters
+        stream = tuple(text.tolist()) if wide else shift(text).astype("<u4").tobytes().decode("utf-32-le")
         base = self.first[:-1] + np.arange(len(self.doc_ids))
-        of = np.searchsorted(base, end, side="right") - 1
-        numbered = of < len(self.ids)
-        ok = np.zeros(len(of), bool)
-        ok[numbered] = self.ids[of[numbered]] > bound[numbered]
-        last = (end - of)[ok]
-        np.add.at(cover, last - size[ok] + 1, 1)
-        np.add.at(cover, last + 1, -1)
-        return np.cumsum(cover)[:-1] > 0
+        starts = np.full(len(self.starts) + 1, -1, np.int64)
+        starts[self.at] = np.arange(len(self.at))
+        for i in range(0, len(patterns), SHARD_WINDOWS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if wide else ahocorasick.Automaton()
+            shard = patterns[i : i + SHARD_WINDOWS]
+            keys = map(tuple, shard.tolist()) if wide else np.ascontiguousarray(shift(shard).astype("<u4")).view(f"<U{self.window}").reshape(-1).tolist()
+            for key, home in zip(keys, homes[i : i + SHARD_WINDOWS]):
+                automaton.add_word(key, home)
+            automaton.make_automaton()
+            hits = np.fromiter(chain.from_iterable(automaton.iter(stream)), np.int64).reshape(-1, 2)
+            if len(hits):
+                end, home = hits.T
+                of = np.searchsorted(base, end, side="right") - 1
+                window = starts[end - of - self.window + 1]
+                ok = window >= 0
+                ok[ok] = self.ids[of[ok]] > home[ok]
+                found[window[ok]] = True
+        return may, found
 
 
-def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+def _dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
     key = F.coalesce("doc_id", F.xxhash64("text"))
-    return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), ranges_of(size, RANGE_BYTES)
+    return docs.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")), blocks, ranges_of(size, RANGE_BYTES)
+
+
+def hash_bits(ranges: int) -> int:
+    """Bits of a window's hash: 30 more than tell all windows apart, so that hardly any two share theirs."""
+    return min(64, (ranges * RANGE_BYTES).bit_length() + 28)
 
 
-def first_copies(dealt: DataFrame, ranges: int, window: int) -> DataFrame:
-    """For each ``block`` packed hashes ``h`` of windows whose first copy another block holds, and its doc_ids ``home``."""
+def first_copies(dealt: DataFrame, ranges: int, window: int, bits: int) -> DataFrame:
+    """For each ``block`` packed hashes ``h`` of windows whose first copy another block holds, its doc_id ``home`` and the number ``piece`` of the piece."""
 
     def send(rows: pa.Table) -> pa.Table:
-        h, doc, _ = Block(rows, window).distinct()
+        block = Block(rows, window, bits)
+        h, first, _ = block.distinct()
+        doc, piece = block.ids[block.doc[first]], (block.place[first] // PIECE_WINDOWS).astype("<u4")
         cuts = _cuts(h, ranges)
         some = np.flatnonzero(np.diff(cuts))
-        block = rows.column("block")[0].as_py()
-        return pa.table({"range": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int32()), "h": pa.array([pack(h[cuts[r] : cuts[r + 1]]) for r in some], pa.binary()), "home": pa.array([pack(doc[cuts[r] : cuts[r + 1]], False) for r in some], pa.binary())})
+        parts = [[pack(x[cuts[r] : cuts[r + 1]], x is h) for r in some] for x in (h, doc, piece)]
+        return pa.table({"range": pa.array(some, pa.int32()), "block": pa.array([rows.column("block")[0].as_py()] * len(some), pa.int32()), **{k: pa.array(x, pa.binary()) for k, x in zip(("h", "home", "piece"), parts)}})
 
     def confirm(rows: pa.Table) -> pa.Table:
-        sent = [(b, unpack(x, "<u8"), unpack(y, "<i8", False)) for b, x, y in zip(rows.column("block").to_pylist(), rows.column("h").to_pylist(), rows.column("home").to_pylist())]
-        all_h = np.concatenate([h for _, h, _ in sent])
-        home = np.concatenate([d for _, _, d in sent])
-        order = np.argsort(all_h, kind="stable")
+        sent = [(b, unpack(x, "<u8"), unpack(y, "<i8", False), unpack(z, "<u4", False)) for b, x, y, z in zip(*(rows.column(c).to_pylist() for c in ("block", "h", "home", "piece")))]
+        all_h, home, piece = (np.concatenate([s[k] for s in sent]) for k in (1, 2, 3))
+        order = np.lexsort((home, all_h))
         ordered = all_h[order]
         begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        least = np.empty(len(home), np.int64)
-        least[order] = np.repeat(np.minimum.reduceat(home[order], begin), np.diff(np.append(begin, len(home))))
+        times = np.diff(np.append(begin, len(home)))
+        least, where = np.empty_like(home), np.empty_like(piece)
+        least[order], where[order] = np.repeat(home[order][begin], times), np.repeat(piece[order][begin], times)
         out, at = [], 0
-        for b, h, d in sent:
-            m = least[at : at + len(h)]
+        for b, h, d, _ in sent:
+            m, w = least[at : at + len(h)], where[at : at + len(h)]
             at += len(h)
             late = m < d
             if late.any():
-                out.append((b, pack(h[late]), pack(m[late], False)))
-        blocks, hs, homes = zip(*out) if out else ((), (), ())
-        return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array(hs, pa.binary()), "home": pa.array(homes, pa.binary())})
+                out.append((b, pack(h[late]), pack(m[late], False), pack(w[late], False)))
+        blocks, hs, homes, pieces = zip(*out) if out else ((), (), (), ())
+        return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array(hs, pa.binary()), "home": pa.array(homes, pa.binary()), "piece": pa.array(pieces, pa.binary())})
 
-    return dealt.groupBy("block").applyInArrow(send, "range int, block int, h binary, home binary").groupBy("range").applyInArrow(confirm, "block int, h binary, home binary")
+    return dealt.groupBy("block").applyInArrow(send, "range int, block int, h binary, home binary, piece binary").groupBy("range").applyInArrow(confirm, _TOLD)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataFrame:
-    """For each row of ``docs(doc_id, text)``: ``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256``.
+def asked_pieces(dealt: DataFrame, told: DataFrame, blocks: int, window: int) -> DataFrame:
+    """``block``, ``home`` and ``words``: the pieces of first documents that each block has been told of."""
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, x, y in zip(*(batch.column(c).to_pylist() for c in ("block", "home", "piece"))):
+                pairs = np.unique(np.stack([unpack(x, "<i8", False), unpack(y, "<u4", False).astype(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), b), pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["block", "home", "piece"])
+
+    def cut(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        of: dict[int, list[int]] = {}
+        for i, k in zip(wanted.column("home").to_pylist(), wanted.column("piece").to_pylist()):
+            of.setdefault(i, []).append(k)
+        out = []
+        for i, t in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()):
+            if i in of:
+                words = (t or "").encode().split()  # splits at 0x20 and 0x09-0x0D alone
+                for k in of[i]:
+                    if len(piece := words[k * PIECE_WINDOWS : (k + 1) * PIECE_WINDOWS + window - 1]) >= window:
+                        out.append((i, k, b" ".join(piece).decode()))
+        homes, places, texts = zip(*out) if out else ((), (), ())
+        return pa.table({"home": pa.array(homes, pa.int64()), "piece": pa.array(places, pa.int64()), "words": pa.array(texts, pa.string())})
+
+    asked = told.mapInArrow(ask, "block int, home bigint, piece bigint")
+    wanted = asked.select("home", "piece").distinct().withColumn("block", F.pmod(F.xxhash64("home"), F.lit(blocks)).cast("int"))
+    pieces = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "home bigint, piece bigint, words string")
+    return asked.distinct().join(table(pieces, "pieces"), ["home", "piece"]).select("block", "home", "words")
 
-    With ``texts`` also ``kept`` (the words left, joined by a space) and ``removed`` (spans of words).
-    """
-    dealt, ranges = _dealt(docs)
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", kept string, removed array<array<bigint>>" if texts else "")
 
-    def mark(rows: pa.Table, told: pa.Table) -> pa.Table:
-        block = Block(rows, window)
-        h = np.concatenate([np.empty(0, np.uint64), *[unpack(b, "<u8") for b in told.column("h").to_pylist()]])
-        home = np.concatenate([np.empty(0, np.int64), *[unpack(b, "<i8", False) for b in told.column("home").to_pylist()]])
+def _marked(dealt: DataFrame, sent: DataFrame, window: int, bits: int, texts: bool) -> DataFrame:
+    schema = "doc_id bigint, block int, n_words bigint, n_removed bigint, kept_sha256 string, doubt array<string>" + (", kept string, removed array<array<bigint>>" if texts else "")
+
+    def mark(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        if not len(rows):
+            return pa.table({f.name: pa.array([], f.type) for f in out_schema})
+        block = Block(rows, window, bits)
+        packed = [(unpack(h, "<u8"), unpack(m, "<i8", False)) for h, m in zip(sent.column("h").to_pylist(), sent.column("homes").to_pylist()) if h is not None]
+        h = np.concatenate([np.empty(0, np.uint64), *[x for x, _ in packed]])
+        homes = np.concatenate([np.empty(0, np.int64), *[x for _, x in packed]])
         order = np.argsort(h)
-        gone = block.covered(list(block.passages(h[order], home[order])))
-        out: dict[str, list] = {"doc_id": block.doc_ids, "n_words": np.diff(block.first).tolist(), "n_removed": [], "kept_sha256": []}
-        kept, removed = [], []
+        pieces = [(i, t) for i, t in zip(sent.column("home").to_pylist(), sent.column("words").to_pylist()) if t is not None]
+        may, found = block.located(h[order], homes[order], pieces, bits)
+        cover = np.zeros(len(block.starts) + 1, np.int64)
+        np.add.at(cover, block.at[found], 1)
+        np.add.at(cover, block.at[found] + window, -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        doubt: list[list[str]] = [[] for _ in block.doc_ids]
+        for k in np.flatnonzero(may & ~found).tolist():
+            doubt[block.doc[k]].append(b" ".join(map(block.word, range(block.at[k], block.at[k] + window))).decode())
+        out: dict[str, list] = {"doc_id": block.doc_ids, "block": [rows.column("block")[0].as_py()] * len(rows), "n_words": np.diff(block.first).tolist(), "n_removed": [], "kept_sha256": [], "doubt": doubt, "kept": [], "removed": []}
         for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist()):
             keep = np.flatnonzero(~gone[a:b]) + a
             words = b" ".join([block.data[x:y] for x, y in zip(block.starts[keep].tolist(), block.ends[keep].tolist())])
             out["n_removed"].append(b - a - len(keep))
             out["kept_sha256"].append(hashlib.sha256(words).hexdigest())
             if texts:
-                kept.append(words.decode())
+                out["kept"].append(words.decode())
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]])))
-                removed.append(edge.reshape(-1, 2).tolist())
-        table = {"doc_id": pa.array(out["doc_id"], pa.int64()), "n_words": pa.array(out["n_words"], pa.int64()), "n_removed": pa.array(out["n_removed"], pa.int64()), "kept_sha256": pa.array(out["kept_sha256"], pa.string())}
-        if texts:
-            table |= {"kept": pa.array(kept, pa.string()), "removed": pa.array(removed, pa.list_(pa.list_(pa.int64())))}
-        return pa.table(table)
-
-    told = first_copies(dealt, ranges, window)
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(mark, schema)
+                out["removed"].append(edge.reshape(-1, 2).tolist())
+        return pa.table({f.name: pa.array(out[f.name], f.type) for f in out_schema})
+
+    out_schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("doubt", pa.list_(pa.string()))] + [("kept", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))] * texts)
+    return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(mark, schema)
+
+
+def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, bits: int | None = None) -> DataFrame:
+    """For each row of ``docs(doc_id, text)``: ``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256``.
+
+    With ``texts`` also ``kept`` (the words left, joined by a space) and ``removed`` (spans of words).
+    ``bits``: of the windows' hashes (see hash_bits()).
+    """
+    dealt, blocks, ranges = _dealt(docs)
+    bits = bits or hash_bits(ranges)
+    told = table(first_copies(dealt, ranges, window, bits), "told")
+    collect_garbage(docs.sparkSession)  # the windows that were dealt out leave the executors' disks
+    null = lambda kind: F.lit(None).cast(kind)
+    sent = asked_pieces(dealt, told, blocks, window).select("block", "home", "words", null("binary").alias("h"), null("binary").alias("homes"))
+    sent = sent.unionByName(told.select("block", null("bigint").alias("home"), null("string").alias("words"), "h", F.col("home").alias("homes")))
+    done = table(_marked(dealt, sent, window, bits, texts), "marked")
+    doubts = done.select("block", "doc_id", F.explode("doubt").alias("words")).distinct()
+    if not doubts.isEmpty():
+        doubts = table(doubts, "doubts")
+        homes = doubts.groupBy("words").agg(F.min("doc_id").alias("home"))
+        more = doubts.select("block", "words").distinct().join(homes, "words").select("block", "home", "words", null("binary").alias("h"), null("binary").alias("homes"))
+        again = doubts.select("block").distinct()
+        redone = _marked(dealt.join(again, "block", "left_semi"), sent.join(again, "block", "left_semi").unionByName(more), window, bits, texts)
+        done = done.join(again, "block", "left_anti").unionByName(redone)
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept", "removed"] if texts else []))
