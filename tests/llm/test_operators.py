@@ -26,12 +26,12 @@ TEXTS = [
     (0, BASE), (1, BASE), (1, BASE), (2, BASE + " tail of it"), (3, "head " + " ".join(BASE.split()[10:40]) + " end"), (4, None), (5, ""), (6, " \n\t"), (7, "one"), (8, "one two"), (9, "One two"), (10, prose(30) + "\n" + BASE),
     (11, "line one is here\nline two is here\n\nline three is here"), (12, "x\nline one is here \n line two is here\ny"), (13, "A\n" * 30), (14, prose(5000)), (15, "\x00odd\x0bone  two " + "é" * 300), (16, "w" * 5000), (None, BASE), (None, None), (17, "😀 ΩΩ ñ"),
 ]
-CLASH = "doc_id bigint, text string, row string, tie int, at int, class string, block int, `range` int, fp string, node int, n int, spans string, lang string, score double"
+CLASH = "doc_id bigint, text string, row string, tie int, at int, class string, block int, `range` int, fp string, node int, n int, spans string, lang string, score double, gone_id int, fp3 int, tie2 int, whole int, salt int, `rows` int, key_id int, c0 int"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t, "r", 1, 2, "c", 3, 4, "f", 5, 6, "s", "en", 0.5) for i, t in TEXTS], CLASH).repartition(3)
+    return spark.createDataFrame([(i, t, "r", 1, 2, "c", 3, 4, "f", 5, 6, "s", "en", 0.5, *range(8)) for i, t in TEXTS], CLASH).repartition(3)
 
 
 @pytest.fixture(scope="module")

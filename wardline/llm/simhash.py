@@ -21,10 +21,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import doc_chunks, hashed_words, joined, mix, table, window_hashes, word_spans
+from wardline.llm.common import collect_garbage, doc_chunks, drop, hashed_words, joined, mix, table, window_hashes, word_spans
 
 #: Distinct fingerprints of one pattern beyond which its group is divided by the parts of its other bits.
 GROUP_ROWS = 20_000
@@ -36,6 +36,8 @@ OPEN = 8_192
 _SEED = 42
 #: near_dedup()'s MinHash keys of a text, and the smallest shingles that make one.
 BANDS, ROWS = 24, 4
+#: Integers of a sketch, and of its BANDS * ROWS places how many agree in texts that may be near.
+SKETCH, LIKELY = 14, 56
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -225,18 +227,33 @@ def simhash_table(docs: DataFrame, *shingles: int) -> DataFrame:
 
 
 def _nodes(prints: DataFrame, name: str) -> DataFrame:
-    """The distinct fingerprints of a column with their smallest doc_id."""
-    return table(prints.where("doc_id is not null").groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("node")), "nodes")
+    """The distinct fingerprints of a column with their smallest doc_id and their number of rows."""
+    return table(prints.where("doc_id is not null").groupBy(F.col(name).alias("fp")).agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "nodes")
+
+
+def salted(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """``left`` joined with ``right``, whose ``key`` is unique and whose ``rows`` says how many rows of ``left`` have it.
+
+    Keys with over half a task's share of the ``rows`` in all are dealt over as many tasks as they fill; there are
+    at most two such keys a task, so they are broadcast.
+    """
+    share = max(64, rows // (2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = F.ceil(F.col("rows") / share).cast("int")
+    frequent = F.broadcast(right.where(F.col("rows") > share).select(key, parts.alias("parts")))
+    left = left.join(frequent, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    right = right.withColumn("salt", F.explode(F.when(F.col("rows") > share, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))).drop("rows")
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for each row of ``docs``."""
     prints = simhash_table(docs, shingle).withColumnRenamed(f"fp{shingle}", "fp")
     nodes = _nodes(prints, "fp")
-    roots = components(link_forest(nodes, max_bits))
-    known = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = prints.join(known, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    roots = components(link_forest(nodes.drop("rows"), max_bits))
+    known = table(nodes.join(roots, "node", "left").select("fp", "rows", F.coalesce("root", "node").alias("component_id")), "known")
+    numbered = salted(prints.where("doc_id is not null"), known, "fp", known.agg(F.sum("rows")).first()[0] or 0)
+    out = numbered.unionByName(prints.where("doc_id is null").withColumn("component_id", F.lit(None).cast("bigint")))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -262,31 +279,53 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
     return out, offset, whole
 
 
-def min_hashes(h: np.ndarray, offset: np.ndarray) -> list[np.ndarray]:
-    """For each text with shingles BANDS keys: equal if ROWS smallest shingles, each in an order of its own, are equal."""
+def min_hashes(h: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text with shingles BANDS keys, equal if ROWS smallest shingles, each in an order of its own, are equal; and its sketch.
+
+    A sketch has the lowest byte of each smallest shingle, seven in an integer, whose eighth byte is free for sums.
+    """
     begin = offset[:-1][np.diff(offset) > 0]
     odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    keys = []
-    for band in range(BANDS):
-        key = np.full(len(begin), band + 1, np.uint64)
-        for a in odd[band * ROWS : (band + 1) * ROWS]:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(h * a, begin))
-        keys.append(key)
-    return keys
+    least = np.stack([mix(np.minimum.reduceat(h * a, begin)) for a in odd], axis=1)
+    keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(begin), 1))
+    for k in range(ROWS):
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
+    sketch = np.zeros((len(begin), SKETCH), np.uint64)
+    for k in range(BANDS * ROWS):
+        sketch[:, k // 7] |= (least[:, k] & np.uint64(255)) << np.uint64(8 * (k % 7))
+    return keys, sketch
 
 
 def _signed_prints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id``, ``whole`` (a hash of the words) and ``bands`` (the keys, none without words) of each row, written."""
+    """``doc_id``, ``tie`` (the text's hash), ``whole`` (a hash of the words), ``bands`` (the keys) and ``sketch`` of each row, the last two empty without words; written."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in doc_chunks(batches, limit=1 << 20):
             h, offset, whole = shingle_hashes(texts, shingle)
             some = np.diff(offset) > 0
-            keys = np.stack(min_hashes(h, offset), axis=1).reshape(-1) if some.any() else np.empty(0, np.uint64)
-            at = np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64)))], ["doc_id", "whole", "bands"])
+            both = min_hashes(h, offset) if some.any() else (np.empty((0, n), np.uint64) for n in (BANDS, SKETCH))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * x.shape[1])]).astype(np.int32)), pa.array(x.reshape(-1).view(np.int64))) for x in both]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(whole.view(np.int64)), *lists], ["doc_id", "tie", "whole", "bands", "sketch"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return table(rows.mapInArrow(run, "doc_id bigint, tie bigint, whole bigint, bands array<bigint>, sketch array<bigint>"), "prints")
+
+
+def _alike(x: Column, y: Column) -> Column:
+    """Whether two sketches agree in LIKELY places or more: true for texts of the similarity 0.8 but for a chance of 1e-7."""
+    low, rest = 0x007F7F7F7F7F7F7F, _signed(0xFF7F7F7F7F7F7F7F)
+    total = F.lit(-(7 * SKETCH - BANDS * ROWS))  # places that no shingle fills agree
+    for k in range(SKETCH):
+        z = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        other = z.bitwiseAND(F.lit(low)) + F.lit(low)
+        total = total + F.bit_count(F.bitwise_not(other.bitwiseOR(z).bitwiseOR(F.lit(rest))))
+    return total >= LIKELY
+
 
-    return table(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, whole bigint, bands array<bigint>"), "prints")
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ``pairs(a, aw, b, bw)`` whose sketches are alike."""
+    of = lambda end: nodes.select(F.col("whole").alias(f"{end}w"), F.col("sketch").alias(f"{end}s"))
+    return pairs.join(of("a"), "aw").join(of("b"), "bw").where(_alike(F.col("as"), F.col("bs"))).select("a", "aw", "b", "bw")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -312,47 +351,60 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: in
     of = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").select("id", "text")
     of = table(of.mapInArrow(sets, "w bigint, s binary").dropDuplicates(["w"]), "sets")
     both = pairs.join(of.toDF("bw", "y"), "bw").join(of.toDF("aw", "x"), "aw").select("a", "b", "x", "y")
-    return table(both.mapInArrow(near, "a bigint, b bigint"), "links")
+    links = table(both.mapInArrow(near, "a bigint, b bigint"), "links")
+    drop(pairs, of)
+    collect_garbage(docs.sparkSession)
+    return links
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links ``a``, ``b`` that connect the same nodes as all pairs that share a key and have the similarity do.
 
-    ``nodes``: ``whole``, its ``node`` and ``bands``. Each node is first held against the smallest of those that
-    share a key; then, of those that share a key, all pairs that are not yet connected.
+    ``nodes``: ``whole``, its ``node``, ``bands`` and ``sketch``. Each node is first held against the smallest of those that
+    share a key; then, of those that share a key and have sketches alike, all pairs that are not yet connected, each
+    at the first key that it shares.
     """
-    keyed = table(nodes.select("node", "whole", F.explode("bands").alias("key")), "keyed")
+    keyed = table(nodes.select("node", "whole", F.posexplode("bands").alias("band", "key")), "keyed")
     # written, so that Spark can divide a frequent key
     leads = table(keyed.groupBy("key").agg(F.min(F.struct("node", "whole")).alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", F.col("lead.node").alias("b"), F.col("lead.whole").alias("bw")), "leads")
-    rest = table(keyed.join(leads, "key").where("whole != bw").select("key", F.col("node").alias("a"), F.col("whole").alias("aw"), "b", "bw"), "rest")
-    links = _confirmed(docs, rest.select("a", "aw", "b", "bw").distinct(), similarity, shingle)
+    rest = table(keyed.join(leads, "key").select("key", "band", F.col("node").alias("a"), F.col("whole").alias("aw"), "b", "bw"), "rest")
+    drop(keyed, leads)
+    first = rest.where("aw != bw").select("a", "aw", "b", "bw").distinct()
+    links = _confirmed(docs, _likely(first, nodes), similarity, shingle)
     roots = components(links)
-    rooted = rest.select("key", "a", "aw").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    rooted = rest.select("key", "band", "a", "aw").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = table(rooted.join(several, "key"), "apart")
+    apart = table(rooted.join(several, "key").join(nodes.select(F.col("whole").alias("aw"), F.col("bands").alias("ab"), F.col("sketch").alias("as")), "aw"), "apart")
     if apart.isEmpty():
         return links
-    groups = apart.select("key", "root").distinct()
-    of = groups.withColumnRenamed("root", "r").join(groups, "key").where("r < root").withColumnRenamed("root", "s")
-    pairs = of.join(apart.select("key", F.col("root").alias("r"), "a", "aw"), ["key", "r"]).join(apart.select("key", F.col("root").alias("s"), F.col("a").alias("b"), F.col("aw").alias("bw")), ["key", "s"])
-    return links.union(_confirmed(docs, pairs.select("a", "aw", "b", "bw").distinct(), similarity, shingle))
+    x = apart.select("key", "band", *[F.col(c).alias(f"x{c}") for c in ("a", "aw", "root", "ab", "as")])
+    y = apart.select("key", *[F.col(c).alias(f"y{c}") for c in ("a", "aw", "root", "ab", "as")])
+    shared = F.exists(F.zip_with(F.slice("xab", F.lit(1), F.col("band")), F.slice("yab", F.lit(1), F.col("band")), lambda p, q: p == q), lambda e: e)
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("xroot") < F.col("yroot")) & _alike(F.col("xas"), F.col("yas")) & ~shared)
+    return links.union(_confirmed(docs, pairs.select(F.col("xa").alias("a"), F.col("xaw").alias("aw"), F.col("ya").alias("b"), F.col("yaw").alias("bw")), similarity, shingle))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """The rows and columns of ``docs`` without those linked to a smaller doc_id; repeated rows stay once.
+    """The rows and columns of ``docs`` without those that are linked to a smaller doc_id; repeated rows stay once.
 
     A link: texts whose sets of shingles have the Jaccard ``similarity``, or that have the same words in lower case
     (so all texts without words are one group). 64 bits of SimHash do not tell that similarity (copies at 0.8 differ
     in 5 to 14 bits), so candidates come from MinHash keys and are confirmed by their exact sets. A pair at 0.8
-    shares a key with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997.
+    shares a key with a chance of 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997. Rows with a null doc_id stay. Of rows with
+    one doc_id and several texts those stay whose text is the first of its group.
     """
+    if similarity < 0.8:
+        raise ValueError("the keys and sketches are made for a similarity of 0.8 or more")
     prints = _signed_prints(docs, shingle)
-    nodes = table(prints.where("doc_id is not null").groupBy("whole").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    least = F.min(F.struct("doc_id", "tie")).alias("least")
+    nodes = table(prints.where("doc_id is not null").groupBy("whole").agg(least, F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("whole", F.col("least.doc_id").alias("node"), F.col("least.tie").alias("tie"), "bands", "sketch"), "nodes")
     roots = components(near_links(docs, nodes, similarity, shingle))
-    known = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("component_id"))
-    found = table(prints.where("doc_id is not null").select("doc_id", "whole").join(known, "whole"), "components")
-    gone = found.where("component_id != doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone_id"), "left_anti")
-    if found.groupBy("doc_id", "whole").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+    staying = nodes.select("node", "tie").join(roots.where("node != root").select("node"), "node", "left_anti").select(F.col("node").alias("staying_id"), F.col("tie").alias("staying_tie")).distinct()
+    # the keys of this join are unique but for rows that repeat, so no task has a large group
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    at = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*own).withColumns({"key_id": F.col(at["doc_id"]).cast("bigint"), "key_tie": F.xxhash64(at["text"])})
+    kept = rows.where("key_id is not null").join(staying, (F.col("key_id") == F.col("staying_id")) & (F.col("key_tie") == F.col("staying_tie")), "left_semi")
+    if not prints.where("doc_id is not null").groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["key_id", "key_tie"])
+    return kept.unionByName(rows.where("key_id is null")).select(*[F.col(n).alias(c) for c, n in at.items()])
