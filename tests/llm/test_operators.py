@@ -391,6 +391,39 @@ def test_neighbours(spark):
     assert postings.nearest_neighbours(few.limit(0)).count() == 0
 
 
+def test_neighbours_of_clusters(spark):
+    """Many more lists than a query takes: the ratio prunes, and entries read grow far less than rows."""
+    read = {}
+    for n in (4_000, 16_000):
+        g = np.random.default_rng(n)
+        centres = g.normal(size=(n // 40, 16))
+        v = (centres[g.integers(0, len(centres), n)] + 0.25 * g.normal(size=(n, 16))).astype(np.float32).astype(float)
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>")
+        entries = postings.unique_ids(postings.valid_entries(rows))
+        held, probes, _ = postings.postings_and_probes(entries)
+        sizes = held.groupBy("list").count()
+        taken = probes.selectExpr("query", "explode(lists) list").join(sizes, "list")
+        assert sizes.count() >= n // 128 and held.count() <= 3 * n
+        read[n] = taken.agg({"count": "sum"}).first()[0] / (n / 20)
+        if n == 4_000:
+            got = defaultdict(set)
+            for r in postings.nearest_neighbours(rows).collect():
+                got[r.query_id].add(r.vec_id)
+            near = v[::20] @ v.T
+            near[np.arange(len(near)), np.arange(0, n, 20)] = -9
+            want = np.argsort(-near, axis=1)[:, :20]
+            assert sum(len(got[20 * k] & set(w.tolist())) for k, w in enumerate(want)) >= 0.9 * want.size
+    print(read)
+    assert read[16_000] < 0.1 * 16_000 and read[16_000] < 2 * read[4_000]
+
+
+def test_neighbours_with_repeated_ids_and_names(spark):
+    rows = [(20, [1.0, 0.0], 1, 2, 3), (20, [0.0, 1.0], 1, 2, 3), (21, [1.0, 0.5], 1, 2, 3), (None, None, None, None, None)]
+    got = postings.nearest_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, list int, node int, `group` int")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(20, 1, 21)]
+
+
 def test_near_dedup_joins_links(spark):
     rows = [(i, prose(120)) for i in range(20)]
     rows += [(100 + i, t.upper()) for i, t in rows[:10]] + [(200 + i, t.replace(" ", "  \n")) for i, t in rows[5:15]] + [(300, rows[3][1].rsplit(" ", 1)[0])]

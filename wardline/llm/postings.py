@@ -2,16 +2,20 @@
 
 Equal vectors are one entry with their smallest TOP + 1 ids, which is all that a list of TOP can need.
 Vectors get one more component that makes the largest inner product the smallest distance. Centroids come
-from halving a bounded sample (SAMPLE_ROWS) again and again at the median of its main direction, and a few rounds of k-means that hold a
-large list's size against it, so lists are balanced. A vector goes to its nearest list and, at a boundary, to
-others nearly as near (NEAR; at most REPLICAS lists). Centroids are searched by a graph of their neighbours,
-in memory. A query takes lists whose distance is at most RATIO times the nearest one's, LEAST_PROBES or
-PROBE_SHARE of all lists at most, and more until they own TOP + 1 entries for certain. Lists above BLOCK_ROWS entries or queries are divided, so
-that no task holds a whole long list; inner products are exact, in double precision.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part;
-so do null ids. Equal scores: the smaller vec_id. Rows of one id and vector count once. Fewer than TOP
-candidates: all. Centroids are at most MOST_LISTS; beyond that lists grow, and are divided among more tasks.
+from halving a bounded sample (SAMPLE_ROWS) again and again at the median of its main direction, and a few rounds
+of k-means that hold a large list's size against it, so lists are balanced. A vector goes to its nearest list and,
+at a boundary, to others nearly as near (NEAR; at most REPLICAS lists). Centroids are searched by a graph of their
+neighbours, in memory. A query takes the lists whose distance is at most RATIO times the nearest one's, however many,
+LEAST_PROBES at least, and more until they own TOP + 1 entries for certain. So the ratio alone decides what is
+read: a few lists where vectors have clusters, many where they have none. Lists that follow each other, which came
+from the same halves, are dealt out in groups of about BLOCK_ROWS entries, to which a query goes once with the names
+of its lists there; groups with more entries or queries are divided, so that no task holds a whole long list.
+Inner products are exact, in double precision, of a query with the entries of its lists.
+
+Vectors that are null, zero, of another length than most (which have no inner product with them), or hold null or
+non-finite components take no part; so do null ids. Equal scores: the smaller vec_id. Rows of one id count once; if
+their vectors differ, with the first of them. Fewer than TOP candidates: all. Centroids are at most MOST_LISTS;
+beyond that lists grow, and are divided among more tasks.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from wardline.llm.common import table
 
 TOP, QUERY_EVERY = 20, 20
 SAMPLE_ROWS, LIST_ROWS, MOST_LISTS = 50_000, 64, 8_192
-REPLICAS, NEAR = 8, 1.3
-RATIO, LEAST_PROBES, PROBE_SHARE = 1.3, 64, 1 / 12
+REPLICAS, NEAR = 4, 1.01
+RATIO, LEAST_PROBES = 1.23, 8
 BLOCK_ROWS = 4_096
-GRAPH_NEIGHBOURS, BEAM = 24, 64
+#: Neighbours of a centroid in the graph, and the least width of a search.
+GRAPH_NEIGHBOURS, BEAM = 24, 48
 
 
 def valid_entries(vectors: DataFrame) -> DataFrame:
@@ -96,7 +101,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def balanced(v: np.ndarray, at: np.ndarray, rounds: int = 4) -> np.ndarray:
+def balanced(v: np.ndarray, at: np.ndarray, rounds: int = 3) -> np.ndarray:
     """The centroids after some rounds of k-means in which a list's size counts as distance."""
     size = np.full(len(at), len(v) / len(at))
     for _ in range(rounds):
@@ -116,7 +121,7 @@ class Centroids:
     """Centroids with a graph of their nearest neighbours."""
 
     def __init__(self, at: np.ndarray):
-        self.at, k = at, min(GRAPH_NEIGHBOURS, len(at) - 1)
+        self.at, k, self.width = at, min(GRAPH_NEIGHBOURS, len(at) - 1), 0
         self.links = np.zeros((len(at), max(k, 1)), np.int64)
         self.entries = np.unique(np.linspace(0, len(at) - 1, min(32, len(at))).astype(np.int64))
         for i in range(0, len(at), 1024) if k else ():
@@ -130,27 +135,34 @@ class Centroids:
         """The nearest ``want`` centroids found (all, if fewer) and their distances, nearest first."""
         n, want = len(q), min(want, len(self.at))
         beam = min(max(want, BEAM), len(self.at))
+        step = max(2, beam // 24)  # centroids that a query opens at a time
+        rows = np.arange(n)[:, None]
         seen = np.zeros((n, len(self.at)), bool)
         seen[:, self.entries] = True
         ids = np.tile(self.entries, (n, 1))
         dist = _distances(q, self.at[self.entries])
         opened = np.zeros(ids.shape, bool)
+        square = (self.at * self.at).sum(1)
+        own = (q * q).sum(1)
         while True:
             left = np.where(opened | ~np.isfinite(dist), np.inf, dist)
-            best = left.argmin(1)
-            live = np.flatnonzero(np.isfinite(left[np.arange(n), best]))
-            if not len(live):
+            best = np.argpartition(left, min(step, left.shape[1]) - 1, axis=1)[:, :step]
+            live = np.isfinite(np.take_along_axis(left, best, 1))
+            if not live.any():
                 break
-            opened[live, best[live]] = True
-            near = self.links[ids[live, best[live]]]
-            fresh = ~seen[live[:, None], near]
-            seen[live[:, None], near] = True
-            x = self.at[near] - q[live, None]
-            new = np.full((n, near.shape[1]), np.inf)
-            new[live] = np.where(fresh, np.einsum("ijk,ijk->ij", x, x), np.inf)
-            new_ids = np.zeros((n, near.shape[1]), np.int64)
-            new_ids[live] = near
-            ids, dist = np.concatenate([ids, new_ids], 1), np.concatenate([dist, new], 1)
+            np.put_along_axis(opened, best, True, 1)
+            near = self.links[np.take_along_axis(ids, best, 1)]
+            near[~live] = ids[0, 0]  # seen already
+            near = near.reshape(n, -1)
+            near.sort(axis=1)
+            fresh = ~seen[rows, near]
+            fresh[:, 1:] &= near[:, 1:] != near[:, :-1]
+            seen[rows, near] = True
+            some = np.nonzero(fresh)
+            at = near[some]
+            new = np.full(near.shape, np.inf)
+            new[some] = np.maximum(own[some[0]] + square[at] - 2 * np.einsum("ij,ij->i", q[some[0]], self.at[at]), 0)
+            ids, dist = np.concatenate([ids, near], 1), np.concatenate([dist, new], 1)
             opened = np.concatenate([opened, np.zeros(new.shape, bool)], 1)
             if ids.shape[1] > beam:
                 keep = np.argpartition(dist, beam - 1, axis=1)[:, :beam]
@@ -158,6 +170,20 @@ class Centroids:
         order = np.argsort(dist, axis=1, kind="stable")[:, :want]
         return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
 
+    def within(self, q: np.ndarray, ratio: float, least: int, owned: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """The lists that each query takes, a row of the first array each, where the second is true."""
+        want = max(self.width, 4 * least)
+        while True:
+            ids, dist = self.search(q, want)
+            held = np.cumsum(owned[ids], 1)
+            if want >= len(self.at) or ((held[:, -1] > top) & (dist[:, -1] > ratio * dist[:, 0])).all():
+                break
+            want *= 2  # the ratio, or lists that own few entries, may take more than these
+        self.width = want  # where the next queries begin
+        use = (dist <= ratio * dist[:, :1]) | (np.arange(ids.shape[1]) < least)
+        use |= np.concatenate([np.zeros((len(q), 1)), held[:, :-1]], 1) <= top
+        return ids, use & np.isfinite(dist)
+
     def lists_of(self, v: np.ndarray) -> list[list[int]]:
         """The lists of each vector, its own first."""
         ids, dist = self.search(v, REPLICAS)
@@ -170,18 +196,21 @@ def _matrix(batch: pa.RecordBatch | pa.Table, name: str = "vec") -> np.ndarray:
     return np.array([np.frombuffer(b, np.float64) for b in batch.column(name).to_pylist()])
 
 
-def nearest_neighbours(vectors: DataFrame, top: int = TOP, every: int = QUERY_EVERY, ratio: float = RATIO, probes: int | None = None) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: each query's ``top`` nearest of the other rows.
+def unique_ids(rows: DataFrame) -> DataFrame:
+    """``rows(vec_id, vec)``, of several vectors of one id the first."""
+    if rows.groupBy("vec_id").count().where("count > 1").isEmpty():
+        return rows
+    return table(rows.groupBy("vec_id").agg(F.min("vec").alias("vec")), "vectors")
 
-    Queries are the rows of ``vectors(vec_id, embedding)`` whose vec_id is divisible by ``every``.
-    """
-    spark = vectors.sparkSession
-    result = "query_id bigint, rank int, vec_id bigint, score double"
-    rows = table(valid_entries(vectors), "vectors")
+
+def postings_and_probes(rows: DataFrame, top: int = TOP, every: int = QUERY_EVERY, ratio: float = RATIO, least: int = LEAST_PROBES) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Of ``rows(vec_id, vec)`` the postings (``group``, ``list``, ``own``, ``node``, ``vec``, ``ids``), the lists that queries
+    take (``group``, ``lists``, ``query``, ``vec``) and which entry each query is (``query_id``, ``node``); None without rows."""
+    spark = rows.sparkSession
     entries = table(distinct_entries(rows, top), "entries")
     n = entries.count()
     if not n:
-        return spark.createDataFrame([], result)
+        return None
     sample = np.array([np.frombuffer(r.vec, np.float64) for r in entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_ROWS).collect()])
 
     def longest_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,8 +222,8 @@ def nearest_neighbours(vectors: DataFrame, top: int = TOP, every: int = QUERY_EV
     lists = min(MOST_LISTS, max(1, -(-n // LIST_ROWS)))
     sample = augmented(sample, longest)
     centroids = Centroids(balanced(sample, halved(sample, max(1, len(sample) // lists))))
-    probes = probes or max(LEAST_PROBES, round(len(centroids.at) * PROBE_SHARE))
     sent = spark.sparkContext.broadcast((centroids, longest))
+    together = max(1, BLOCK_ROWS * len(centroids.at) // n)  # lists of a group
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, longest = sent.value
@@ -207,59 +236,81 @@ def nearest_neighbours(vectors: DataFrame, top: int = TOP, every: int = QUERY_EV
                 out = part.select(["node", "vec", "ids"]).take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([pa.array([c for x in chosen for c in x], pa.int32()), pa.array(own), *out.columns], ["list", "own", "node", "vec", "ids"])
 
-    postings = table(entries.mapInArrow(post, "list int, own boolean, node bigint, vec binary, ids array<bigint>"), "postings")
-    # a row a list, of which there are MOST_LISTS at most
-    sizes = postings.groupBy("list").agg(F.count("*").alias("rows"), F.sum(F.col("own").cast("int")).alias("own"))
-    owns = spark.sparkContext.broadcast({r["list"]: r["own"] for r in sizes.collect()})
+    postings = entries.mapInArrow(post, "list int, own boolean, node bigint, vec binary, ids array<bigint>")
+    postings = table(postings.withColumn("group", F.floor(F.col("list") / together).cast("int")), "postings")
+    # a row a list, of which there are MOST_LISTS or few more
+    owned = np.zeros(len(centroids.at), np.int64)
+    for r in postings.groupBy("list").agg(F.sum(F.col("own").cast("int")).alias("own")).collect():
+        owned[r["list"]] = r["own"]
     asked = rows.where(F.col("vec_id") % every == 0)
     wanted = table(asked.join(entries.select("node", "vec"), "vec").select(F.col("vec_id").alias("query_id"), "node").distinct(), "queries")
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, _ = sent.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
                 v = _matrix(part)
-                q = np.concatenate([v, np.zeros((len(v), 1))], 1)
-                want = probes
-                while True:
-                    ids, dist = centroids.search(q, want)
-                    held = np.cumsum(np.array([[owns.value.get(int(c), 0) for c in row] for row in ids]), 1)
-                    if want >= len(centroids.at) or (held[:, -1] > top).all():
-                        break
-                    want *= 4  # lists so short that these may not hold enough entries
-                use = (dist <= ratio * dist[:, :1]) & (np.arange(ids.shape[1]) < probes)
-                use |= np.concatenate([np.zeros((len(v), 1)), held[:, :-1]], 1) <= top
-                use &= np.isfinite(dist)
-                at = np.repeat(np.arange(len(v)), use.sum(1))
-                out = part.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[use], pa.int32()), out.column("query"), out.column("vec")], ["list", "query", "vec"])
+                ids, use = centroids.within(np.concatenate([v, np.zeros((len(v), 1))], 1), ratio, least, owned, top)
+                own, lists = np.repeat(np.arange(len(v)), use.sum(1)), ids[use]
+                order = np.lexsort((lists, own))
+                own, lists = own[order], lists[order]
+                group = lists // together
+                begin = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (group[1:] != group[:-1])]))
+                out = part.take(pa.array(own[begin]))
+                named = pa.ListArray.from_arrays(pa.array(np.append(begin, len(lists)), pa.int32()), pa.array(lists, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(group[begin], pa.int32()), named, out.column("query"), out.column("vec")], ["group", "lists", "query", "vec"])
 
     queries = entries.join(wanted.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("query"), "vec")
-    probing = table(queries.mapInArrow(probe, "list int, query bigint, vec binary"), "probes")
-    asks = probing.groupBy("list").agg(F.count("*").alias("asks"))
-    shape = F.broadcast(sizes.join(asks, "list").select("list", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"), F.ceil(F.col("asks") / BLOCK_ROWS).cast("int").alias("turns")))
-    by = ["list", "block", "turn"]
-    # each block of a list meets each turn of its queries
-    left = postings.join(shape, "list").select("list", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "vec", "ids")
-    right = probing.join(shape, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("turns")).cast("int").alias("turn"), "query", "vec")
+    return postings, table(queries.mapInArrow(probe, "group int, lists array<int>, query bigint, vec binary"), "probes"), wanted
+
+
+def nearest_neighbours(vectors: DataFrame, top: int = TOP, every: int = QUERY_EVERY, ratio: float = RATIO, least: int = LEAST_PROBES) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score``: each query's ``top`` nearest of the other rows.
+
+    Queries are the rows of ``vectors(vec_id, embedding)`` whose vec_id is divisible by ``every``.
+    """
+    made = postings_and_probes(unique_ids(table(valid_entries(vectors), "vectors")), top, every, ratio, least)
+    if made is None:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    postings, probing, wanted = made
+    sizes = postings.groupBy("group").agg(F.count("*").alias("rows"))
+    asks = probing.groupBy("group").agg(F.count("*").alias("asks"))
+    # a row a group, of which there are no more than lists
+    shape = F.broadcast(sizes.join(asks, "group").select("group", F.ceil(F.col("rows") / (2 * BLOCK_ROWS)).cast("int").alias("blocks"), F.ceil(F.col("asks") / BLOCK_ROWS).cast("int").alias("turns")))
+    by = ["group", "block", "turn"]
+    # each block of a group meets each turn of its queries
+    left = postings.join(shape, "group").select("group", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "list", "vec", "ids")
+    right = probing.join(shape, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("query"), F.col("turns")).cast("int").alias("turn"), "lists", "query", "vec")
 
     def compare(entry: pa.Table, query: pa.Table) -> pa.Table:
         kinds = {"query": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not len(entry) or not len(query):
             return pa.table({k: pa.array([], v) for k, v in kinds.items()})
+        entry = entry.sort_by("list")
+        names_of = entry.column("list").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], names_of[1:] != names_of[:-1]]))
+        spans = {int(names_of[a]): (a, b) for a, b in zip(first, np.append(first[1:], len(names_of)))}
         v, ids, names = _matrix(entry), entry.column("ids").to_pylist(), query.column("query").to_pylist()
         out: dict[str, list] = {k: [] for k in kinds}
         for i in range(0, len(query), 256):
             q = _matrix(query.slice(i, 256))
-            near = q @ v.T
-            k = min(top + 1, len(v))
-            edge = np.partition(near, len(v) - k, axis=1)[:, len(v) - k]
+            near = np.full((len(q), len(v)), -np.inf)
+            takers: dict[int, list[int]] = {}
+            for j, lists in enumerate(query.column("lists").slice(i, 256).to_pylist()):
+                for name in lists:
+                    takers.setdefault(name, []).append(j)
+            for name, js in takers.items():
+                if name in spans:
+                    a, b = spans[name]
+                    near[js, a:b] = q[js] @ v[a:b].T
+            k = min((top + 1) * REPLICAS, len(v))  # an entry may lie in several of the group's lists
+            edge = np.maximum(np.partition(near, len(v) - k, axis=1)[:, len(v) - k], np.finfo(float).min)
             slack = 1e-9 * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())  # another order of summing
             for j, x in enumerate(q):
                 some = np.flatnonzero(near[j] >= edge[j] - slack[j])
                 score = np.einsum("j,ij->i", x, v[some])  # the same sum wherever the pair is met
-                found = sorted((-s, i_) for s, c in zip(score.tolist(), some.tolist()) for i_ in ids[c])[: top + 1]
+                found = sorted({(-s, i_) for s, c in zip(score.tolist(), some.tolist()) for i_ in ids[c]})[: top + 1]
                 out["query"] += [names[i + j]] * len(found)
                 out["vec_id"] += [x_ for _, x_ in found]
                 out["score"] += [-s for s, _ in found]
