@@ -70,7 +70,7 @@ def line_places(docs: DataFrame, min_lines: int, min_chars: int, alone: int | No
     place's own runs do not cover.
     """
     full = F.filter(F.transform(_lines("text"), lambda x: F.btrim(x, F.lit(_BLANK))), lambda x: F.length(x) > 0)
-    counted = [] if alone is None else [lambda x: F.size(F.split(x, f"[{_BLANK}]+")).alias("words")]
+    counted = [] if alone is None else [lambda x: F.when(F.length(x) > 2 * alone, F.size(F.split(x, f"[{_BLANK}]+"))).otherwise(0).alias("words")]
     ids = F.transform(full, lambda x: F.struct(F.xxhash64(x).alias("class"), F.length(x).alias("size"), *[f(x) for f in counted]))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), ids.alias("ids")).where(F.size("ids") > 0)
     # after the deal by document, lines and needs are columns of their own, which no lambda computes again
@@ -94,7 +94,9 @@ def _late(places: DataFrame, by: str) -> DataFrame:
 
 def suffix_rounds(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS, alone: int | None = PASSAGE_WORDS) -> dict[int, DataFrame]:
     """For h = 1, 2, 4 ... the places whose run of h lines occurs several times, with its class."""
-    rounds = {1: _late(line_places(docs, min_lines, min_chars, alone), "class")}
+    lines = table(line_places(docs, min_lines, min_chars, alone), "lines")
+    rounds = {1: _late(lines, "class")}
+    drop(lines)
     h = 1
     while 2 * h <= max(min_lines, min_chars) and not rounds[h].isEmpty():
         now = rounds[h]
