@@ -6,17 +6,18 @@ the codes with more, whose next byte lies in level 1, and so on. A rank director
 of 512 bits) turns a position on one level into the position on the next, so any token is read with a few
 look-ups and without decoding its neighbours.
 
-Layout (little-endian): magic, documents, tokens, levels, distinct ids as u64; the distinct ids as u32 in the
-order of their codes; doc_ids as i64; each document's first token as u64 (one more: the end); for each level
-its length as u64, its bytes, its bitmap as u64 words and its directory as u64 (lengths follow from the
-level's). A null doc_id is not stored: such rows are left out.
-
-The tokenizer is the tokenizers library's. Where its specification is byte-level BPE whose merges are in id
-order, texts of common characters go through tiktoken with the vocabulary and merges of that same file, which
-gives the same ids several times faster; each task compares its first texts under both libraries and fails
-if they differ, and all other texts (special tokens, rarer characters, very long words) go to tokenizers.
-
-Null text: empty, so the end id alone. Rows of one doc_id follow each other by the hash of their text.
+Layout (little-endian): magic, documents, documents without a doc_id, tokens, levels, distinct ids as u64; the
+distinct ids as u32 in the order of their codes; doc_ids as i64; each document's first token as u64 (one more: the
+end); for each level its length as u64, its bytes, its bitmap as u64 words and its directory as u64 (lengths follow
+from the level's).
+
+All ids come from the tokenizers library. Where a specification is byte-level BPE without options, ids of a text are
+those of its pre-tokens one after the other, so a worker keeps a table of the distinct pre-tokens that it has met, has
+the library encode each once, and joins their ids. Texts with characters on whose classes regular expression engines
+may disagree, or with special tokens, are encoded by the library whole, as are all texts under other specifications.
+
+Null text: empty, so the end id alone. Rows with a null doc_id follow the others. Rows of one doc_id follow each
+other by the hash of their text.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +38,17 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import new_path, raw_files
 
-MAGIC = 0x3243414457  # "WDAC2"
+MAGIC = 0x3343414457  # "WDAC3"
 #: Characters of text that go to one range of doc_ids, and tokens after which a range starts another file.
 RANGE_CHARS, FILE_TOKENS = 16 << 20, 8 << 20
 _BLOCK = 512
-#: Characters on whose classes all regular expression engines agree, and the longest word for tiktoken.
+#: Characters beyond which a text is encoded whole, and distinct pre-tokens that a worker's table holds.
 _RARE = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]")
-_LONG_WORD = 1_000
-#: Texts of a task that both libraries encode.
-COMPARED = 16
-#: How byte-level vocabularies write bytes that are no visible character: from U+0100 on, in order. Fixed values.
-_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+TABLE_ROWS = 500_000
 
 
-def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> bytes:
-    """The file of ``ids``; document k has ``ids[starts[k]:starts[k + 1]]``."""
+def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, without: int = 0) -> bytes:
+    """The file of ``ids``; document k has ``ids[starts[k]:starts[k + 1]]``, and the last ``without`` have no doc_id."""
     count = np.bincount(ids)  # as long as the vocabulary
     names = np.flatnonzero(count)
     by_count = np.argsort(-count[names], kind="stable")
@@ -68,7 +67,7 @@ def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> byt
         if not more.any():
             break
         rest = rest[more] >> np.uint32(8)
-    head = struct.pack("<5Q", MAGIC, len(doc_ids), len(ids), len(levels), len(names))
+    head = struct.pack("<6Q", MAGIC, len(doc_ids), without, len(ids), len(levels), len(names))
     return head + names[by_count].astype("<u4").tobytes() + doc_ids.astype("<i8").tobytes() + starts.astype("<u8").tobytes() + b"".join(levels)
 
 
@@ -76,11 +75,11 @@ class CodeFile:
     """Reads a file's bytes; ``file[i]`` is token i of the file."""
 
     def __init__(self, data: bytes):
-        magic, docs, self.n, levels, names = struct.unpack_from("<5Q", data)
+        magic, docs, self.without, self.n, levels, names = struct.unpack_from("<6Q", data)
         if magic != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        self.names = np.frombuffer(data, "<u4", names, 40)
-        at = 40 + 4 * names
+        self.names = np.frombuffer(data, "<u4", names, 48)
+        at = 48 + 4 * names
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         self.starts = np.frombuffer(data, "<u8", docs + 1, at + 8 * docs).astype(np.int64)
         at += 16 * docs + 8
@@ -127,11 +126,17 @@ class CodeFile:
         return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint64)
 
 
+def _pre_tokens() -> re.Pattern[str]:
+    """The pattern of byte-level pre-tokens, a fixed value, with the letters and numbers up to U+024F spelled out."""
+    letters, numbers = ("".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
+
+
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """A tokenizer, with a faster engine of the same vocabulary where one is known to agree."""
+    """A tokenizer with a table of the pre-tokens that it has encoded."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -140,8 +145,16 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         parts = json.loads(spec)
         self.special = [a["content"] for a in parts["added_tokens"]]
-        self.fast = self._engine(parts)
-        self.left = COMPARED
+        model, split = parts["model"], {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        # what could tie a pre-token's ids to its neighbours, or make them random
+        options = (parts["normalizer"], parts.get("truncation"), parts.get("padding"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"))
+        self.apart = model["type"] == "BPE" and parts["pre_tokenizer"] == split and not any(options)
+        self.pattern = _pre_tokens()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.sizes, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     @classmethod
     def of(cls, spec: str) -> Encoder:
@@ -149,46 +162,34 @@ class Encoder:
         if spec not in _encoders:
             _encoders.clear()
             _encoders[spec] = cls(spec)
-        _encoders[spec].left = COMPARED
         return _encoders[spec]
 
-    @staticmethod
-    def _engine(parts: dict):
-        """The tiktoken engine of a byte-level BPE without options whose merges are in id order, else None."""
-        model, split = parts["model"], {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        options = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
-        if model["type"] != "BPE" or parts["normalizer"] is not None or parts["pre_tokenizer"] != split or any(model.get(k) for k in options):
-            return None
-        import tiktoken
-
-        byte_of = {chr(b): b for b in _VISIBLE} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
-        special = {a["content"] for a in parts["added_tokens"]}
-        vocabulary = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        order = [model["vocab"]["".join(m)] for m in merges]
-        if order != sorted(set(order)) or len(vocabulary) != 256 + len(merges) or max(vocabulary[bytes([b])] for b in range(256)) > order[0]:
-            return None
-        # the pattern of byte-level pre-tokens, a fixed value
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=vocabulary, special_tokens={})
-
-    def common(self, text: str) -> bool:
-        """True if the faster engine is sure to agree on the text."""
-        return _RARE.search(text) is None and not any(s in text for s in self.special) and max(map(len, text.split()), default=0) <= _LONG_WORD
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Have the library encode pre-tokens that the table lacks."""
+        parts = self._whole(words)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.sizes = np.append(self.sizes, [len(p) for p in parts])
+        self.ids = np.concatenate([self.ids, *parts])
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = lambda some: [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-        if self.fast is None:
-            return whole(texts)
-        plain = [self.common(t) for t in texts]
-        others = iter(whole([t for t, ok in zip(texts, plain) if not ok]))
-        out = [self.fast.encode_to_numpy(t, disallowed_special=()) if ok else next(others) for t, ok in zip(texts, plain)]
-        if self.left:
-            for t, ids, same in zip(texts[: self.left], out, whole(texts[: self.left])):
-                if not np.array_equal(ids, same):
-                    raise ValueError(f"the engines differ on {t[:200]!r}")
-            self.left = max(0, self.left - len(texts))
-        return out
+        apart = [self.apart and _RARE.search(t) is None and not any(s in t for s in self.special) for t in texts]
+        others = iter(self._whole([t for t, ok in zip(texts, apart) if not ok]))
+        found = [self.pattern.findall(t) if ok else [] for t, ok in zip(texts, apart)]
+        if len(self.place) > TABLE_ROWS:
+            self._clear()
+        if new := set(chain.from_iterable(found)).difference(self.place):
+            self._learn(sorted(new))
+        words = np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), np.int64)
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[words] - (ends - sizes), sizes)
+        ids = self.ids[at].astype("<u4")
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, found)])]
+        return [ids[a:b] if ok else next(others) for a, b, ok in zip(upto[:-1], upto[1:], apart)]
 
 
 def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
@@ -196,22 +197,22 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(12, -(-chars // RANGE_CHARS))
-    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(ranges, F.col("doc_id").asc_nulls_last(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encoder, shard = Encoder.of(spec.value), TaskContext.get().partitionId() << 24
-        doc_ids: list[int] = []
+        doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
         tokens = 0
 
         def file() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            data = encode_file(np.array(doc_ids, np.int64), starts, np.concatenate(parts))
+            data = encode_file(np.array([i or 0 for i in doc_ids], np.int64), starts, np.concatenate(parts), doc_ids.count(None))
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([tokens], pa.int64()), pa.array([data], pa.binary())], ["shard", "tokens", "data"])
 
         end = np.array([end_id], "<u4")
@@ -250,7 +251,8 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                 ids, at = file.ids().astype("<u4"), file.starts
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at[:-1], at[1:])]
                 n = len(crc)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int64()), pa.array(file.doc_ids.astype(np.int64)), pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+                doc_ids = pa.array(file.doc_ids.astype(np.int64), mask=np.arange(n) >= n - file.without)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k), pa.int64()), doc_ids, pa.array(at[:-1], pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     rows = files.select(shard, "content").mapInArrow(run, "shard bigint, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(before, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
