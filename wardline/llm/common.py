@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import re
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
@@ -44,11 +46,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles that no DataFrame needs any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffles that no DataFrame needs any more; the second pass frees what the first has let go."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @atexit.register

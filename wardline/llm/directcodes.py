@@ -44,7 +44,9 @@ RANGE_CHARS, FILE_TOKENS = 16 << 20, 8 << 20
 _BLOCK = 512
 #: Characters beyond which a text is encoded whole, and distinct pre-tokens that a worker's table holds.
 _RARE = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]")
-TABLE_ROWS = 500_000
+TABLE_ROWS = 700_000
+#: Words that the library encodes at a time.
+LINE_WORDS = 2_000
 
 
 def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, without: int = 0) -> bytes:
@@ -126,9 +128,14 @@ class CodeFile:
         return np.array([self[i] for i in range(self.starts[k], self.starts[k + 1])], np.uint64)
 
 
+def _kinds(kind: str) -> str:
+    """The characters up to U+024F of a general category, as part of a class."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
 def _pre_tokens() -> re.Pattern[str]:
     """The pattern of byte-level pre-tokens, a fixed value, with the letters and numbers up to U+024F spelled out."""
-    letters, numbers = ("".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+    letters, numbers = _kinds("L"), _kinds("N")
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^\s{letters}{numbers}]+|\s+(?!\S)|\s+")
 
 
@@ -150,6 +157,7 @@ class Encoder:
         options = (parts["normalizer"], parts.get("truncation"), parts.get("padding"), model.get("dropout"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"))
         self.apart = model["type"] == "BPE" and parts["pre_tokenizer"] == split and not any(options)
         self.pattern = _pre_tokens()
+        self.spaced = re.compile(f" [{_kinds('L')}]+")
         self._clear()
 
     def _clear(self) -> None:
@@ -169,10 +177,25 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Have the library encode pre-tokens that the table lacks."""
-        parts = self._whole(words)
+        plain = [w for w in words if self.spaced.fullmatch(w)]
+        rest = [w for w in words if not self.spaced.fullmatch(w)]
+        # words that begin with a space are pre-tokens one by one in a line of many, which costs the library less
+        sizes, ids, done = [], [self.ids], []
+        for i in range(0, len(plain), LINE_WORDS):
+            line = plain[i : i + LINE_WORDS]
+            e = self.tokenizer.encode("".join(line), add_special_tokens=False)
+            of = np.array(e.word_ids, np.int64)
+            if len(of) == 0 or of[-1] + 1 != len(line):
+                rest += line
+                continue
+            sizes.append(np.bincount(of, minlength=len(line)))
+            ids.append(np.array(e.ids, "<u4"))
+            done += line
+        parts = self._whole(rest)
+        words = done + rest
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.sizes = np.append(self.sizes, [len(p) for p in parts])
-        self.ids = np.concatenate([self.ids, *parts])
+        self.sizes = np.concatenate([self.sizes, *sizes, np.array([len(p) for p in parts], np.int64)])
+        self.ids = np.concatenate([*ids, *parts])
         self.first = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -36,7 +36,7 @@ from wardline.llm.kneserney import _cuts, ranges_of
 WINDOW, BLOCK_BYTES, RANGE_BYTES = 13, 8 << 20, 16 << 20
 LEAST_BLOCKS = 64
 #: Windows of a piece of a document, and windows that one automaton holds.
-PIECE_WINDOWS, SHARD_WINDOWS = 64, 100_000
+PIECE_WINDOWS, SHARD_WINDOWS = 64, 50_000
 _TOLD = "block int, h binary, home binary, piece binary"
 _SENT = "block int, home bigint, words string, h binary, homes binary"
 
@@ -125,34 +125,30 @@ class Block(Words):
         rows = np.ascontiguousarray(rows[by_home])
         _, least = np.unique(rows.view(f"V{4 * self.window}").reshape(-1), return_index=True)
         patterns, homes = rows[least].astype(np.int64), homes[by_home][least].tolist()
-        # words outside windows that may recur are letter 1, the gap after each text is letter 0
+        # a word is a few digits, each of an alphabet of its own, as the automaton looks through a node's branches one by one
+        size = len(letters) + 2
+        places = 2 if size <= 1 << 16 else 3
+        base = next(k for k in range(2, size + 2) if k**places >= size)
+        digits = lambda x: np.stack([1 + j * base + x // base**j % base for j in range(places)], -1)
+        # the texts that stream through: stretches of words that windows cover, with a gap (0) wherever others, or a text's end, come between
         inside = self.inside(np.flatnonzero(may))
-        letter = np.ones(len(self.starts), np.int64)
-        letter[inside] = [letters.get(self.word(k), 1) for k in inside.tolist()]
-        doc = np.repeat(np.arange(len(self.doc_ids)), np.diff(self.first))
-        text = np.zeros(len(letter) + len(self.doc_ids), np.int64)
-        text[np.arange(len(letter)) + doc] = letter
-        wide = len(letters) > 1_000_000
-        shift = lambda x: x + np.where(x >= 0xD800, 0x800, 0)  # noqa: E731  surrogates are no characters
-        stream = tuple(text.tolist()) if wide else shift(text).astype("<u4").tobytes().decode("utf-32-le")
-        base = self.first[:-1] + np.arange(len(self.doc_ids))
+        letter = np.array([letters.get(self.word(k), 1) for k in inside.tolist()], np.int64)
+        doc = np.searchsorted(self.first, inside, side="right")
+        gap = np.flatnonzero((np.diff(inside) != 1) | (np.diff(doc) != 0)) + 1
+        stream = np.insert(digits(letter).reshape(-1), gap * places, 0).astype("<u4").tobytes().decode("utf-32-le")
+        word = np.insert(np.repeat(inside, places), gap * places, -1)
         starts = np.full(len(self.starts) + 1, -1, np.int64)
         starts[self.at] = np.arange(len(self.at))
         for i in range(0, len(patterns), SHARD_WINDOWS):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if wide else ahocorasick.Automaton()
-            shard = patterns[i : i + SHARD_WINDOWS]
-            keys = map(tuple, shard.tolist()) if wide else np.ascontiguousarray(shift(shard).astype("<u4")).view(f"<U{self.window}").reshape(-1).tolist()
+            automaton = ahocorasick.Automaton()
+            shard = digits(patterns[i : i + SHARD_WINDOWS]).astype("<u4").reshape(-1, self.window * places)
+            keys = np.ascontiguousarray(shard).view(f"<U{self.window * places}").reshape(-1).tolist()
             for key, home in zip(keys, homes[i : i + SHARD_WINDOWS]):
                 automaton.add_word(key, home)
             automaton.make_automaton()
             hits = np.fromiter(chain.from_iterable(automaton.iter(stream)), np.int64).reshape(-1, 2)
-            if len(hits):
-                end, home = hits.T
-                of = np.searchsorted(base, end, side="right") - 1
-                window = starts[end - of - self.window + 1]
-                ok = window >= 0
-                ok[ok] = self.ids[of[ok]] > home[ok]
-                found[window[ok]] = True
+            window = starts[word[hits[:, 0]] - self.window + 1]
+            found[window[self.ids[self.doc[window]] > hits[:, 1]]] = True
         return may, found
 
 
@@ -229,7 +225,9 @@ def asked_pieces(dealt: DataFrame, told: DataFrame, blocks: int, window: int) ->
     asked = told.mapInArrow(ask, "block int, home bigint, piece bigint")
     wanted = asked.select("home", "piece").distinct().withColumn("block", F.pmod(F.xxhash64("home"), F.lit(blocks)).cast("int"))
     pieces = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(cut, "home bigint, piece bigint, words string")
-    return asked.distinct().join(table(pieces, "pieces"), ["home", "piece"]).select("block", "home", "words")
+    pieces = table(pieces, "pieces")
+    collect_garbage(dealt.sparkSession)
+    return asked.distinct().join(pieces, ["home", "piece"]).select("block", "home", "words")
 
 
 def _marked(dealt: DataFrame, sent: DataFrame, window: int, bits: int, texts: bool) -> DataFrame:
