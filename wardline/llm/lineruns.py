@@ -71,7 +71,7 @@ def line_places(docs: DataFrame, min_lines: int, min_chars: int, alone: int | No
     """
     # most texts have no blanks but spaces, which are trimmed several times faster
     odd = reduce(lambda a, b: a | b, [F.contains("text", F.lit(c)) for c in _BLANK[1:]])
-    trimmed = F.when(odd, F.transform(_lines("text"), lambda x: F.btrim(x, F.lit(_BLANK)))).otherwise(F.transform(_lines("text"), F.trim))
+    trimmed = F.when(odd, F.transform(_lines("text"), lambda x: F.btrim(x, F.lit(_BLANK)))).otherwise(F.transform(_lines("text"), lambda x: F.trim(x)))
     full = F.filter(trimmed, lambda x: F.length(x) > 0)
 
     long = lambda x: (F.length(x) > 2 * alone) & x.rlike(f"^(?:[^{_BLANK}]++[{_BLANK}]++){{{alone}}}[^{_BLANK}]")
