@@ -5,13 +5,14 @@ text. A word's id is its place in the vocabulary's sorted hashes. N-grams are su
 out by their hash (so a frequent word or context does not fill one task), and summed again. From the
 n-grams of one order come its contexts' statistics and the continuation counts of the order below.
 
-Each order is a folder of raw files, one for each range of hashes: sorted 64-bit hashes, then the values.
-Spark writes them to the shared folder; workers map them into memory and look up sorted queries. Where that
-folder is not a mounted file system, Spark hands the files to each executor first (addFile), which needs
-local disk for the model.
-
-Nothing is pruned or capped: all distinct n-grams count. Hashes have 64 bits; two n-grams that share one
-would share a count. Null text: empty, so the end alone. A null doc_id counts as held out. No training text:
+Each order is a folder of raw files, one for each range of hashes. A file has its sorted hashes as a directory of
+their next bits, with BUCKET of them in an entry on average, and the 32 bits after those; then the values, integers
+of as few bytes as the file's largest needs. Spark writes the files to the shared folder; workers map those that
+they are asked for into memory, OPEN_FILES at most at a time, and look up sorted queries. Where that folder is not a
+mounted file system, Spark hands the files to each executor first (addFile), which needs local disk for the model.
+
+Nothing is pruned or capped: all distinct n-grams count. N-grams are counted by hashes of 64 bits; a look-up finds
+another n-gram's count with a chance of BUCKET in 2 ** 32. Null text: empty, so the end alone. A null doc_id counts as held out. No training text:
 probability 1 / (V + 1) with V = 0. Every input row gives one row; repeated rows count repeatedly.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import doc_chunks, hashed_words, mix, new_path, pack, raw_files, unpack
+from wardline.llm.common import collect_garbage, doc_chunks, hashed_words, mix, new_path, pack, raw_files, remove, unpack
 
 #: Tokens that a task gathers before it sums and sends them; text for each range of hashes.
 FLUSH_TOKENS, RANGE_CHARS = 3_000_000, 16 << 20
@@ -37,7 +38,8 @@ END = np.uint64(0x5DEECE66D1234567)
 _G = np.uint64(0x9E3779B97F4A7C15)
 #: The id of the start of a text; words that the vocabulary lacks have UNKNOWN.
 START, UNKNOWN = np.uint64(2**63), np.uint64(2**63 + 1)
-VALUES = {"words": ["<u8"], "counts": ["<u8"], "contexts": ["<f8", "<f8"]}
+#: Hashes of an entry of a file's directory, and files that a worker maps at a time.
+BUCKET, OPEN_FILES = 16, 1_000
 
 
 def gram_hashes(columns: list[np.ndarray]) -> np.ndarray:
@@ -58,44 +60,84 @@ def _cuts(h: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(h, np.arange(ranges, dtype=np.uint64) << np.uint64(step)), len(h))
 
 
-def array_file(h: np.ndarray, values: list[np.ndarray]) -> bytes:
-    return struct.pack("<Q", len(h)) + h.astype("<u8").tobytes() + b"".join(v.tobytes() for v in values)
+def _slots(h: np.ndarray, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For hashes of one range their place in a directory of ``bits`` bits, and the 32 bits that follow."""
+    rest = h << np.uint64(ranges.bit_length() - 1)
+    slot = (rest >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    return slot, ((rest << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+
+
+def array_file(h: np.ndarray, values: list[np.ndarray], ranges: int) -> bytes:
+    """The file of a range's sorted hashes and their values: n, the directory's bits and the values' widths, then all of those."""
+    bits = max(0, (len(h) // BUCKET).bit_length() - 1)
+    slot, tail = _slots(h, ranges, bits)
+    directory = np.searchsorted(slot, np.arange((1 << bits) + 1)).astype("<u4")
+    narrow = [v.astype(np.min_scalar_type(int(v.max(initial=0)))) for v in values]
+    widths = bytes(v.itemsize for v in narrow).ljust(8, b"\0")
+    return struct.pack("<QQ", len(h), bits) + widths + directory.tobytes() + tail.tobytes() + b"".join(v.tobytes() for v in narrow)
+
+
+class HashFile:
+    """A file mapped into memory."""
+
+    def __init__(self, raw: np.ndarray, ranges: int):
+        self.n, self.bits = (int(x) for x in raw[:16].view("<u8"))
+        self.ranges, at = ranges, 24
+        self.directory = raw[at : at + 4 * ((1 << self.bits) + 1)].view("<u4")
+        at += self.directory.nbytes
+        self.tail = raw[at : at + 4 * self.n].view("<u4")
+        at += self.tail.nbytes
+        self.values = []
+        for width in raw[16:24].tolist():
+            if width:
+                self.values.append(raw[at : at + width * self.n].view(f"<u{width}"))
+                at += width * self.n
+
+    def find(self, q: np.ndarray) -> np.ndarray:
+        """The places of hashes, -1 where they are absent."""
+        if not self.n:
+            return np.full(len(q), -1, np.int64)
+        slot, tail = _slots(q, self.ranges, self.bits)
+        low, high = (self.directory[slot + k].astype(np.int64) for k in (0, 1))
+        end = high
+        while (open_ := low < high).any():
+            middle = (low + high) >> 1
+            less = open_ & (self.tail[np.minimum(middle, self.n - 1)] < tail)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(high, middle))
+        return np.where((low < end) & (self.tail[np.minimum(low, self.n - 1)] == tail), low, -1)
 
 
 class HashArrays:
-    """The files of one table, mapped into memory."""
-
-    def __init__(self, folder: str, ranges: int, values: list[str]):
-        self.ranges, self.dtypes, self.files = ranges, values, [None] * ranges
-        for name in os.listdir(folder) if os.path.isdir(folder) else []:
-            if name.startswith("range="):
-                (part,) = [f for f in os.listdir(f"{folder}/{name}") if f.startswith("part-")]
-                raw = np.memmap(f"{folder}/{name}/{part}", np.uint8, "r")
-                n = int(raw[:8].view("<u8")[0])
-                at, columns = 8 + 8 * n, []
-                for v in values:
-                    if v == "<u8" and n:  # counts take as few bytes as the file's largest needs; one line feed ends the file
-                        v = f"<u{(len(raw) - 1 - at) // n}"
-                    size = np.dtype(v).itemsize * n
-                    columns.append(raw[at : at + size].view(v))
-                    at += size
-                self.files[int(name.removeprefix("range="))] = (raw[8 : 8 + 8 * n].view("<u8"), columns)
-        self.before = np.concatenate([[0], np.cumsum([len(f[0]) if f else 0 for f in self.files])])
+    """The files of one table; ``sizes``: how many hashes each has, where places in the whole table are wanted."""
+
+    def __init__(self, folder: str, ranges: int, values: int, sizes: np.ndarray | None = None):
+        self.folder, self.ranges, self.width = folder, ranges, values
+        self.before = np.zeros(ranges, np.int64) if sizes is None else np.cumsum(sizes) - sizes
+        self.files: dict[int, HashFile | None] = {}
+
+    def file(self, r: int) -> HashFile | None:
+        """The file of a range, None if it has no hash; the one that was mapped first makes room."""
+        if r not in self.files:
+            if len(self.files) >= OPEN_FILES:
+                del self.files[next(iter(self.files))]
+            at = f"{self.folder}/range={r}"
+            parts = [f for f in os.listdir(at) if f.startswith("part-")] if os.path.isdir(at) else []
+            self.files[r] = HashFile(np.memmap(f"{at}/{parts[0]}", np.uint8, "r"), self.ranges) if parts else None
+        return self.files[r]
 
     def find(self, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """For sorted hashes their places in the whole table (-1: absent) and their values (0 if absent)."""
         place = np.full(len(q), -1, np.int64)
-        out = [np.zeros(len(q), v) for v in self.dtypes]
+        out = [np.zeros(len(q), np.int64) for _ in range(self.width)]
         cuts = _cuts(q, self.ranges)
-        for r, file in enumerate(self.files):
+        for r in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[r], cuts[r + 1]
-            if a == b or file is None:
+            if (file := self.file(r)) is None:
                 continue
-            keys, columns = file
-            at = np.minimum(np.searchsorted(keys, q[a:b]), len(keys) - 1)
-            hit = keys[at] == q[a:b]
+            at = file.find(q[a:b])
+            hit = at >= 0
             place[a:b][hit] = at[hit] + self.before[r]
-            for o, c in zip(out, columns):
+            for o, c in zip(out, file.values):
                 o[a:b][hit] = c[at[hit]]
         return place, out
 
@@ -135,6 +177,8 @@ class Model:
     path: str
     order: int
     word_ranges: int
+    #: for each range of words how many there are
+    word_sizes: np.ndarray
     ranges: int
     tokens: int
     words: int
@@ -199,7 +243,7 @@ def _count_words(docs: DataFrame, ranges: int, path: str) -> None:
         c = np.concatenate([unpack(b, "<u8", False) for b in rows.column("c").to_pylist()])
         u, back = np.unique(h, return_inverse=True)
         c = np.bincount(back, c).astype("<u8")
-        return pa.table({"range": pa.array([rows.column("range")[0].as_py()], pa.int32()), "words": pa.array([len(u)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "data": pa.array([array_file(u, [c])], pa.binary())})
+        return pa.table({"range": pa.array([rows.column("range")[0].as_py()], pa.int32()), "words": pa.array([len(u)], pa.int64()), "tokens": pa.array([int(c.sum())], pa.int64()), "data": pa.array([array_file(u, [c], ranges)], pa.binary())})
 
     raw_files(docs.select("text").mapInArrow(gather, "range int, h binary, c binary").groupBy("range").applyInArrow(merge, "range int, words bigint, tokens bigint, data binary"), "data", "range", path=path)
 
@@ -245,9 +289,9 @@ def _read_grams(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate(x) for x in zip(*ids)], np.concatenate([unpack(b, "<u8", False) for b in rows.column("c").to_pylist()])
 
 
-def _grams(docs: DataFrame, vocabulary_path: str, word_ranges: int, ranges: int, order: int) -> DataFrame:
+def _grams(docs: DataFrame, vocabulary_path: str, word_sizes: np.ndarray, ranges: int, order: int) -> DataFrame:
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = HashArrays(local_folder(vocabulary_path), word_ranges, VALUES["words"])
+        vocabulary = HashArrays(local_folder(vocabulary_path), len(word_sizes), 1, word_sizes)
         (end,) = _word_ids(vocabulary, np.array([END]))
         parts: list[list[np.ndarray]] = []
         size = 0
@@ -281,7 +325,7 @@ def _count_grams(grams: DataFrame, order: int, ranges: int, path: str) -> None:
         c = np.bincount(back, c)
         columns = [x[first] for x in columns]
         stat = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), int(c.sum())]
-        out = [("counts", array_file(u, [c.astype(np.min_scalar_type(int(c.max(initial=0))))])), ("stats", json.dumps(stat).encode())]
+        out = [("counts", array_file(u, [c], ranges)), ("stats", json.dumps(stat).encode())]
         if order > 1:
             prefix, at = np.unique(gram_hashes(columns[:-1]), return_inverse=True)
             sums = [np.bincount(at, w).astype(np.uint64) for w in (c, c == 1, c == 2, c >= 3)]
@@ -312,26 +356,19 @@ def _sent(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/kind={kind}/*/*.txt").select("content").mapInArrow(read, schema)
 
 
-def _count_contexts(spark: SparkSession, path: str, to: str, d: tuple[float, float, float]) -> None:
-    """Files of contexts: hash, the total of their counts, and the weight that falls to the order below."""
+def _count_contexts(spark: SparkSession, path: str, to: str, ranges: int) -> None:
+    """Files of contexts: hash, the total of their counts, and how many n-grams that begin with them have counts 1, 2 and more."""
 
     def merge(rows: pa.Table) -> pa.Table:
         h = np.concatenate([unpack(b, "<u8") for b in rows.column("h").to_pylist()])
         u, back = np.unique(h, return_inverse=True)
         parts = rows.column("c").to_pylist()
-        total, one, two, more = (np.bincount(back, np.concatenate([unpack(p[k], "<u8", False) for p in parts])) for k in range(4))
-        below = (d[0] * one + d[1] * two + d[2] * more) / total
-        return pa.table({"range": pa.array([rows.column("range")[0].as_py()], pa.int32()), "data": pa.array([array_file(u, [total.astype("<f8"), below.astype("<f8")])], pa.binary())})
+        sums = [np.bincount(back, np.concatenate([unpack(p[k], "<u8", False) for p in parts])).astype(np.int64) for k in range(4)]
+        return pa.table({"range": pa.array([rows.column("range")[0].as_py()], pa.int32()), "data": pa.array([array_file(u, sums, ranges)], pa.binary())})
 
     raw_files(_sent(spark, path, "contexts", "range int, h binary, c array<binary>").groupBy("range").applyInArrow(merge, "range int, data binary"), "data", "range", path=to)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete what the next order has read."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def fit(training: DataFrame, order: int = 2) -> Model:
     """Count ``training(text)`` and write the model's tables to the shared folder."""
     if order < 2:
@@ -341,37 +378,43 @@ def fit(training: DataFrame, order: int = 2) -> Model:
     chars = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     word_ranges, ranges = ranges_of(chars, 4 * RANGE_CHARS), ranges_of(chars, RANGE_CHARS)
     if training.isEmpty():
-        return Model(path, order, word_ranges, ranges, 0, 0, {}, 0.0, 1.0)
+        return Model(path, order, word_ranges, np.zeros(word_ranges, np.int64), ranges, 0, 0, {}, 0.0, 1.0)
     _count_words(training, word_ranges, f"{path}-words")
-    words, tokens = _vocabulary_size(spark, f"{path}-words")
+    sizes, tokens = _vocabulary_size(spark, f"{path}-words", word_ranges)
     _hand_out(spark, f"{path}-words")
     found: dict[int, tuple[float, float, float]] = {}
-    grams = _grams(training, f"{path}-words", word_ranges, ranges, order)
+    grams = _grams(training, f"{path}-words", sizes, ranges, order)
     for k in range(order, 0, -1):
         _count_grams(grams, k, ranges, f"{path}-order{k}")
         stat = spark.read.text(f"{path}-order{k}/kind=stats/*/*.txt").where("value != ''").select(F.from_json("value", "array<bigint>").alias("s"))  # one line a range
         n1, n2, n3, n4, more, total = stat.agg(*[F.sum(F.col("s")[i]) for i in range(6)]).first()
         found[k] = discounts_of([n1, n2, n3, n4])
         if k < order:
-            _remove(spark, f"{path}-order{k + 1}/kind=suffixes")
-        spark.sparkContext._jvm.System.gc()  # what was dealt out for this order leaves the executors' disks
+            remove(spark, f"{path}-order{k + 1}/kind=suffixes")
+        collect_garbage(spark)  # what was dealt out for this order leaves the executors' disks
         if k > 1:
-            _count_contexts(spark, f"{path}-order{k}", f"{path}-contexts{k}", found[k])
-            _remove(spark, f"{path}-order{k}/kind=contexts")
+            _count_contexts(spark, f"{path}-order{k}", f"{path}-contexts{k}", ranges)
+            remove(spark, f"{path}-order{k}/kind=contexts")
+            collect_garbage(spark)
             grams = _sent(spark, f"{path}-order{k}", "suffixes", _GRAM_SCHEMA)
     d = found[1]
-    return Model(path, order, word_ranges, ranges, tokens, words, found, float(total), (d[0] * n1 + d[1] * n2 + d[2] * more) / total)
+    return Model(path, order, word_ranges, sizes, ranges, tokens, int(sizes.sum()), found, float(total), (d[0] * n1 + d[1] * n2 + d[2] * more) / total)
 
 
-def _vocabulary_size(spark: SparkSession, path: str) -> tuple[int, int]:
-    def sizes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _vocabulary_size(spark: SparkSession, path: str, ranges: int) -> tuple[np.ndarray, int]:
+    """How many words each range has (a number a range), and how many tokens there are in all."""
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column("content"):
-                raw = np.frombuffer(data.as_buffer(), np.uint8)
-                n = int(raw[:8].view("<u8")[0])
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([int(np.frombuffer(raw[8 + 8 * n : 8 + 16 * n].tobytes(), "<u8").sum())], pa.int64())], ["words", "tokens"])
+            for r, data in zip(batch.column("range").to_pylist(), batch.column("content")):
+                file = HashFile(np.frombuffer(data.as_buffer(), np.uint8), ranges)
+                yield _rows({"range": [r], "words": [file.n], "tokens": [int(file.values[0].sum(dtype=np.uint64))]}, {"range": pa.int32(), "words": pa.int64(), "tokens": pa.int64()})
 
-    return tuple(spark.read.format("binaryFile").load(f"{path}/*/*.txt").select("content").mapInArrow(sizes, "words bigint, tokens bigint").agg(F.sum("words"), F.sum("tokens")).first())
+    files = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select(F.regexp_extract("path", r"range=(\d+)", 1).cast("int").alias("range"), "content")
+    sizes, tokens = np.zeros(ranges, np.int64), 0
+    for r in files.mapInArrow(read, "range int, words bigint, tokens bigint").collect():
+        sizes[r["range"]], tokens = r["words"], tokens + r["tokens"]
+    return sizes, tokens
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -382,9 +425,9 @@ class Scorer:
 
     def __init__(self, m: Model):
         self.m = m
-        self.words = HashArrays(local_folder(m.table("words")), m.word_ranges, VALUES["words"])
-        self.counts = {k: HashArrays(local_folder(m.table(f"order{k}")) + "/kind=counts", m.ranges, VALUES["counts"]) for k in range(1, m.order + 1)}
-        self.contexts = {k: HashArrays(local_folder(m.table(f"contexts{k}")), m.ranges, VALUES["contexts"]) for k in range(2, m.order + 1)}
+        self.words = HashArrays(local_folder(m.table("words")), m.word_ranges, 1, m.word_sizes)
+        self.counts = {k: HashArrays(local_folder(m.table(f"order{k}")) + "/kind=counts", m.ranges, 1) for k in range(1, m.order + 1)}
+        self.contexts = {k: HashArrays(local_folder(m.table(f"contexts{k}")), m.ranges, 4) for k in range(2, m.order + 1)}
 
     def probabilities(self, columns: list[np.ndarray]) -> np.ndarray:
         """Of the last column's words after the others."""
@@ -400,9 +443,9 @@ class Scorer:
             if k == 1:
                 p = rest / m.total + m.below * p
                 continue
-            _, (total, below) = self.contexts[k].get(gram_hashes(columns[m.order - k : -1]))
-            seen = total > 0
-            p = np.where(seen, rest / np.where(seen, total, 1) + below * p, p)
+            _, (total, one, two, more) = self.contexts[k].get(gram_hashes(columns[m.order - k : -1]))
+            d, seen = m.discounts[k], total > 0
+            p = np.where(seen, (rest + (d[0] * one + d[1] * two + d[2] * more) * p) / np.where(seen, total, 1), p)
         return p
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
