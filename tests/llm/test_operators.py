@@ -88,7 +88,7 @@ def test_passages_of_any_window(spark, size, bits):
 
 
 def test_automata_of_several_shards(monkeypatch):
-    monkeypatch.setattr(passages, "SHARD_WINDOWS", 5)
+    monkeypatch.setattr(passages, "SHARD_WORDS", 5)
     import pyarrow as pa
 
     base = prose(100)
@@ -101,6 +101,18 @@ def test_automata_of_several_shards(monkeypatch):
     known = np.sort(block.h[block.doc == 1])
     may, found = block.located(known, np.full(len(known), 3), [(3, " ".join(base.split()[:50]))], 64)
     assert may[block.doc == 1].all() and found[block.doc == 1].sum() == 38 and found[block.doc == 2].sum() == 8
+    # hashes that agree with a piece of other words make a passage that no automaton finds
+    other = passages.Words.__init__
+
+    def same_hashes(words, texts, *rest):
+        other(words, texts, *rest)
+        if texts == [prose_of_50]:
+            words.h = block.h[block.doc == 1][: len(words.h)]
+
+    prose_of_50 = prose(50)
+    monkeypatch.setattr(passages.Words, "__init__", same_hashes)
+    may, found = block.located(known, np.full(len(known), 3), [(3, prose_of_50)], 64)
+    assert may[block.doc == 1].all() and not found.any()
 
 
 def without_later_runs(rows, min_lines=lineruns.MIN_LINES, min_chars=lineruns.MIN_CHARS, alone=lineruns.PASSAGE_WORDS):

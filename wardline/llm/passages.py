@@ -9,9 +9,9 @@ it), and in each block the windows that may recur are spelled out from those pie
 automata of SHARD_WINDOWS windows each, and all documents of the block stream through each automaton. An occurrence in
 a document after the first one covers its words.
 
-A window that a hash called repeated, but whose words no piece holds, shared its hash with other words. Such
-windows are compared once more by their words alone, and the blocks that hold them are done again with what that
-shows, so the result is exact whatever the hashes do.
+A window that a hash called repeated, but that no automaton finds, shared its hash with other words (or its passage
+did). The first document of such words is looked for among all documents, DOUBTS hashes at a time, and the blocks
+that hold them are done again with what that shows, so the result is exact whatever the hashes do.
 
 A shard holds windows of its own block alone, so total work follows the input. Null or empty text: no words. Rows with a
 null doc_id keep all words and make no other row's words go. Rows of one doc_id do not affect each other. Every
@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import collect_garbage, joined, pack, table, unpack, window_hashes, word_hashes, word_spans
+from wardline.llm.common import collect_garbage, doc_chunks, joined, pack, table, unpack, window_hashes, word_hashes, word_spans
 from wardline.llm.kneserney import _cuts, ranges_of
 
 #: Words of a window; bytes of text in a block and in a range of hashes.
 WINDOW, BLOCK_BYTES, RANGE_BYTES = 13, 8 << 20, 16 << 20
 LEAST_BLOCKS = 64
-#: Windows of a piece of a document, and windows that one automaton holds.
-PIECE_WINDOWS, SHARD_WINDOWS = 64, 50_000
+#: Windows of a piece of a document, and words of the passages that one automaton holds.
+PIECE_WINDOWS, SHARD_WORDS = 64, 400_000
+#: Hashes that all tasks get at a time, to look for their words.
+DOUBTS = 1_000_000
 _TOLD = "block int, h binary, home binary, piece binary"
 _SENT = "block int, home bigint, words string, h binary, homes binary"
 
@@ -60,6 +62,9 @@ class Words:
     def word(self, k: int) -> bytes:
         return self.data[self.starts[k] : self.ends[k]]
 
+    def text_of(self, window: int) -> str:
+        return b" ".join(map(self.word, range(self.at[window], self.at[window] + self.window))).decode()
+
     def inside(self, windows: np.ndarray) -> np.ndarray:
         """The words that the windows cover, in order."""
         edge = np.zeros(len(self.starts) + 1, np.int64)
@@ -67,12 +72,6 @@ class Words:
         np.add.at(edge, self.at[windows] + self.window, -1)
         return np.flatnonzero(np.cumsum(edge)[:-1])
 
-    def spell(self, windows: np.ndarray, letters: dict[bytes, int]) -> np.ndarray:
-        """The windows' words as letters, a row a window; new words get new ones."""
-        inside = self.inside(windows)
-        of = np.array([letters.setdefault(self.word(k), len(letters) + 2) for k in inside.tolist()], np.int32)
-        return of[np.searchsorted(inside, self.at[windows])[:, None] + np.arange(self.window)]
-
 
 class Block(Words):
     """The rows of a block, those with a doc_id first and in its order."""
@@ -94,8 +93,6 @@ class Block(Words):
         ``known``: sorted hashes that another block's document ``homes`` holds before this block's own; ``pieces``:
         texts of such documents, with a null document where the words are known to recur.
         """
-        import ahocorasick
-
         u, first, back = self.distinct()
         own = self.ids[self.doc[first]]
         if len(known) and len(u):
@@ -103,28 +100,49 @@ class Block(Words):
             own = np.where(known[k] == u, np.minimum(homes[k], own), own)
         may = own[back] < self.ids[self.doc]
         found = np.zeros(len(self.h), bool)
+        # where the words of each such window stand: in this block's first document, or in a piece
+        source = np.full(len(self.h), -1, np.int64)
+        mine = may & (own[back] == self.ids[self.doc[first]][back])
+        source[mine] = first[back[mine]]
+        texts = Words([t for _, t in pieces], len(pieces), self.window, bits)
+        home = np.array([i for i, _ in pieces], np.int64)[texts.doc]
+        if len(known) and len(texts.h):
+            k = np.minimum(np.searchsorted(known, texts.h), len(known) - 1)
+            told = np.flatnonzero((known[k] == texts.h) & (homes[k] == home))
+            h, at = np.unique(texts.h[told], return_index=True)
+            if len(h):
+                k = np.minimum(np.searchsorted(h, self.h), len(h) - 1)
+                theirs = may & ~mine & (h[k] == self.h)
+                source[theirs] = len(self.h) + told[at[k[theirs]]]
+        # windows that follow each other both here and there are one passage
+        at = np.concatenate([self.at, texts.at + len(self.starts)])
+        some = np.flatnonzero(source >= 0)
+        new = np.ones(len(some), bool)
+        new[1:] = (np.diff(self.at[some]) != 1) | (np.diff(self.doc[some]) != 0) | (np.diff(source[some]) != 1) | (np.diff(at[source[some]]) != 1)
+        begin = np.flatnonzero(new)
+        spans = np.stack([source[some[begin]], np.diff(np.append(begin, len(some))) + self.window - 1], 1)
+        alone = len(self.h) + np.flatnonzero(np.diff(texts.first)[texts.doc] == self.window)  # from the comparison by words
+        spans = np.unique(np.concatenate([spans, np.stack([alone, np.full(len(alone), self.window)], 1)]), axis=0)
+        self._stream(spans, texts, home, may, found)
+        return may, found
+
+    def _stream(self, spans: np.ndarray, texts: Words, home: np.ndarray, may: np.ndarray, found: np.ndarray) -> None:
+        """Mark in ``found`` the windows in occurrences of passages in later documents.
+
+        ``spans``: a passage's first window, of this block or then of ``texts``, and its words; ``home``: the documents
+        that the windows of ``texts`` are from.
+        """
+        import ahocorasick
+
+        if not len(spans):
+            return
+        at = np.concatenate([self.at, texts.at + len(self.starts)])
+        starts_in, bound = at[spans[:, 0]], np.concatenate([self.ids[self.doc], home])[spans[:, 0]]
         letters: dict[bytes, int] = {}
-        here = np.unique(back[may])
-        here = first[here[own[here] == self.ids[self.doc[first[here]]]]]  # windows whose first document lies in this block
-        spelled, home_of = [self.spell(here, letters)], [self.ids[self.doc[here]]]
-        if pieces:
-            texts = Words([t for _, t in pieces], len(pieces), self.window, bits)
-            home = np.array([i for i, _ in pieces], np.int64)[texts.doc]
-            k = np.minimum(np.searchsorted(known, texts.h), max(len(known) - 1, 0))
-            told = (known[k] == texts.h) & (homes[k] == home) if len(known) else np.zeros(len(texts.h), bool)
-            # pieces of a single window come from the comparison by words
-            told |= np.diff(texts.first)[texts.doc] == self.window
-            some = np.flatnonzero(told)
-            spelled.append(texts.spell(some, letters))
-            home_of.append(home[some])
-        # a row a pattern, with the smallest document that holds it
-        rows, homes = np.concatenate(spelled), np.concatenate(home_of)
-        if not len(rows):
-            return may, found
-        by_home = np.argsort(homes, kind="stable")
-        rows = np.ascontiguousarray(rows[by_home])
-        _, least = np.unique(rows.view(f"V{4 * self.window}").reshape(-1), return_index=True)
-        patterns, homes = rows[least].astype(np.int64), homes[by_home][least].tolist()
+        spelled = []
+        for x, n in zip(starts_in.tolist(), spans[:, 1].tolist()):
+            words, x = (self, x) if x < len(self.starts) else (texts, x - len(self.starts))
+            spelled.append([letters.setdefault(words.word(k), len(letters) + 2) for k in range(x, x + n)])
         # a word is a few digits, each of an alphabet of its own, as the automaton looks through a node's branches one by one
         size = len(letters) + 2
         places = 2 if size <= 1 << 16 else 3
@@ -139,17 +157,20 @@ class Block(Words):
         word = np.insert(np.repeat(inside, places), gap * places, -1)
         starts = np.full(len(self.starts) + 1, -1, np.int64)
         starts[self.at] = np.arange(len(self.at))
-        for i in range(0, len(patterns), SHARD_WINDOWS):
+        shard = np.cumsum(spans[:, 1]) // SHARD_WORDS
+        for k in np.unique(shard).tolist():
             automaton = ahocorasick.Automaton()
-            shard = digits(patterns[i : i + SHARD_WINDOWS]).astype("<u4").reshape(-1, self.window * places)
-            keys = np.ascontiguousarray(shard).view(f"<U{self.window * places}").reshape(-1).tolist()
-            for key, home in zip(keys, homes[i : i + SHARD_WINDOWS]):
-                automaton.add_word(key, home)
+            for p in np.flatnonzero(shard == k).tolist():
+                automaton.add_word(digits(np.array(spelled[p], np.int64)).astype("<u4").tobytes().decode("utf-32-le"), p)
             automaton.make_automaton()
             hits = np.fromiter(chain.from_iterable(automaton.iter(stream)), np.int64).reshape(-1, 2)
-            window = starts[word[hits[:, 0]] - self.window + 1]
-            found[window[self.ids[self.doc[window]] > hits[:, 1]]] = True
-        return may, found
+            size, least = spans[hits[:, 1], 1], bound[hits[:, 1]]
+            window = starts[word[hits[:, 0]] - size + 1]
+            ok = self.ids[self.doc[window]] > least
+            edge = np.zeros(len(self.h) + 1, np.int64)
+            np.add.at(edge, window[ok], 1)
+            np.add.at(edge, (window + size - self.window + 1)[ok], -1)
+            found |= np.cumsum(edge)[:-1] > 0
 
 
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int, int]:
@@ -231,7 +252,7 @@ def asked_pieces(dealt: DataFrame, told: DataFrame, blocks: int, window: int) ->
 
 
 def _marked(dealt: DataFrame, sent: DataFrame, window: int, bits: int, texts: bool) -> DataFrame:
-    schema = "doc_id bigint, block int, n_words bigint, n_removed bigint, kept_sha256 string, doubt array<string>" + (", kept string, removed array<array<bigint>>" if texts else "")
+    schema = "doc_id bigint, block int, n_words bigint, n_removed bigint, kept_sha256 string, doubt array<struct<h: bigint, words: string>>" + (", kept string, removed array<array<bigint>>" if texts else "")
 
     def mark(rows: pa.Table, sent: pa.Table) -> pa.Table:
         if not len(rows):
@@ -247,9 +268,9 @@ def _marked(dealt: DataFrame, sent: DataFrame, window: int, bits: int, texts: bo
         np.add.at(cover, block.at[found], 1)
         np.add.at(cover, block.at[found] + window, -1)
         gone = np.cumsum(cover)[:-1] > 0
-        doubt: list[list[str]] = [[] for _ in block.doc_ids]
+        doubt: list[list[dict]] = [[] for _ in block.doc_ids]
         for k in np.flatnonzero(may & ~found).tolist():
-            doubt[block.doc[k]].append(b" ".join(map(block.word, range(block.at[k], block.at[k] + window))).decode())
+            doubt[block.doc[k]].append({"h": int(block.h[k : k + 1].view(np.int64)[0]), "words": block.text_of(k)})
         out: dict[str, list] = {"doc_id": block.doc_ids, "block": [rows.column("block")[0].as_py()] * len(rows), "n_words": np.diff(block.first).tolist(), "n_removed": [], "kept_sha256": [], "doubt": doubt, "kept": [], "removed": []}
         for a, b in zip(block.first[:-1].tolist(), block.first[1:].tolist()):
             keep = np.flatnonzero(~gone[a:b]) + a
@@ -262,10 +283,31 @@ def _marked(dealt: DataFrame, sent: DataFrame, window: int, bits: int, texts: bo
                 out["removed"].append(edge.reshape(-1, 2).tolist())
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in out_schema})
 
-    out_schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("doubt", pa.list_(pa.string()))] + [("kept", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))] * texts)
+    out_schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("doubt", pa.list_(pa.struct([("h", pa.int64()), ("words", pa.string())])))] + [("kept", pa.string()), ("removed", pa.list_(pa.list_(pa.int64())))] * texts)
     return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(mark, schema)
 
 
+def first_of_words(docs: DataFrame, doubts: DataFrame, window: int, bits: int) -> DataFrame:
+    """``words`` and ``home``, the smallest doc_id that has them as a window, for windows whose hashes are in ``doubts(h)``; written."""
+    hashes = doubts.select("h").distinct()
+    turns = -(-hashes.count() // DOUBTS)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    out = None
+    for turn in range(turns):
+        sought = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in hashes.where(F.pmod("h", F.lit(turns)) == turn).collect()], np.int64).view(np.uint64)))
+
+        def look(batches: Iterable[pa.RecordBatch], sought=sought) -> Iterator[pa.RecordBatch]:
+            for batch, _ in doc_chunks(batches):
+                texts = Words(batch.column("text").to_pylist(), batch.num_rows, window, bits)
+                hits = np.flatnonzero(np.isin(texts.h, sought.value))
+                ids = batch.column("doc_id").to_numpy()[texts.doc[hits]]
+                yield pa.RecordBatch.from_arrays([pa.array([texts.text_of(k) for k in hits.tolist()], pa.string()), pa.array(ids, pa.int64())], ["words", "home"])
+
+        found = table(rows.mapInArrow(look, "words string, home bigint").groupBy("words").agg(F.min("home").alias("home")), "homes")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False, bits: int | None = None) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: ``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256``.
 
@@ -280,11 +322,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, texts: bool = False,
     sent = asked_pieces(dealt, told, blocks, window).select("block", "home", "words", null("binary").alias("h"), null("binary").alias("homes"))
     sent = sent.unionByName(told.select("block", null("bigint").alias("home"), null("string").alias("words"), "h", F.col("home").alias("homes")))
     done = table(_marked(dealt, sent, window, bits, texts), "marked")
-    doubts = done.select("block", "doc_id", F.explode("doubt").alias("words")).distinct()
+    doubts = done.select("block", F.explode("doubt").alias("x")).select("block", "x.h", "x.words").distinct()
     if not doubts.isEmpty():
         doubts = table(doubts, "doubts")
-        homes = doubts.groupBy("words").agg(F.min("doc_id").alias("home"))
-        more = doubts.select("block", "words").distinct().join(homes, "words").select("block", "home", "words", null("binary").alias("h"), null("binary").alias("homes"))
+        more = doubts.select("block", "words").distinct().join(first_of_words(docs, doubts, window, bits), "words").select("block", "home", "words", null("binary").alias("h"), null("binary").alias("homes"))
         again = doubts.select("block").distinct()
         redone = _marked(dealt.join(again, "block", "left_semi"), sent.join(again, "block", "left_semi").unionByName(more), window, bits, texts)
         done = done.join(again, "block", "left_anti").unionByName(redone)
