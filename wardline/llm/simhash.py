@@ -36,8 +36,9 @@ OPEN = 8_192
 _SEED = 42
 #: near_dedup()'s MinHash keys of a text, and the smallest shingles that make one.
 BANDS, ROWS = 24, 4
-#: Integers of a sketch, and of its BANDS * ROWS places how many agree in texts that may be near.
-SKETCH, LIKELY = 14, 56
+#: Places of a sketch (those of the keys, and as many more), how many agree in texts that may be near, and its integers.
+PLACES, LIKELY = 2 * BANDS * ROWS, 124
+SKETCH = -(-PLACES // 7)
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
@@ -282,16 +283,17 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
 def min_hashes(h: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each text with shingles BANDS keys, equal if ROWS smallest shingles, each in an order of its own, are equal; and its sketch.
 
-    A sketch has the lowest byte of each smallest shingle, seven in an integer, whose eighth byte is free for sums.
+    A sketch has the lowest byte of the smallest shingle in each of PLACES orders, seven in an integer, whose eighth byte
+    is free for sums.
     """
     begin = offset[:-1][np.diff(offset) > 0]
-    odd = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    odd = mix(np.arange(1, PLACES + 1, dtype=np.uint64)) | np.uint64(1)
     least = np.stack([mix(np.minimum.reduceat(h * a, begin)) for a in odd], axis=1)
     keys = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(begin), 1))
     for k in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, k::ROWS])
+        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + least[:, k : BANDS * ROWS : ROWS])
     sketch = np.zeros((len(begin), SKETCH), np.uint64)
-    for k in range(BANDS * ROWS):
+    for k in range(PLACES):
         sketch[:, k // 7] |= (least[:, k] & np.uint64(255)) << np.uint64(8 * (k % 7))
     return keys, sketch
 
@@ -312,9 +314,9 @@ def _signed_prints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _alike(x: Column, y: Column) -> Column:
-    """Whether two sketches agree in LIKELY places or more: true for texts of the similarity 0.8 but for a chance of 1e-7."""
+    """Whether two sketches agree in LIKELY places or more: true for texts of the similarity 0.8 but for a chance of 4e-7."""
     low, rest = 0x007F7F7F7F7F7F7F, _signed(0xFF7F7F7F7F7F7F7F)
-    total = F.lit(-(7 * SKETCH - BANDS * ROWS))  # places that no shingle fills agree
+    total = F.lit(-(7 * SKETCH - PLACES))  # places that no shingle fills agree
     for k in range(SKETCH):
         z = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
         other = z.bitwiseAND(F.lit(low)) + F.lit(low)
