@@ -158,9 +158,18 @@ def test_vetting_budgets(spark, monkeypatch):
     monkeypatch.setattr(vetting, "TREE_FILES", 3)
     monkeypatch.setattr(vetting, "TREE_BYTES", 10)
     files = spark.createDataFrame([("n", f"f{i}", "a") for i in range(6)] + [("s", "a", "aaaa"), ("s", "b", "bbbb"), ("s", "c", "cccc"), ("s", "d", "d")], "root string, path string, text string")
-    scanned, left = vetting.within_budgets(files)
-    assert sorted((r.root, r.path) for r in scanned.collect()) == [("n", "f0"), ("n", "f1"), ("n", "f2"), ("s", "a"), ("s", "b")]
-    assert sorted((r.root, r.path, r.why) for r in left.collect()) == [("n", "", vetting.OVER_FILES), ("s", "c", vetting.OVER_BYTES)]
+    assert sorted((r.root, r.path, r.why) for r in vetting.findings(files).collect()) == [("n", "", vetting.OVER_FILES), ("s", "c", vetting.OVER_BYTES)]
+    # the last file before a breach is scanned, and those after it are not; equal paths do not multiply rows
+    bad = "xmrig"
+    files = spark.createDataFrame([("s", "a.py", bad), ("s", "a.py", bad), ("s", "b.py", bad), ("s", "c.py", bad), ("t", "a.py", bad)], "root string, path string, text string")
+    assert sorted((r.root, r.path, r.category) for r in vetting.findings(files).collect()) == [("s", "a.py", "CRYPTO_MINE")] * 2 + [("s", "b.py", "UNSCANNED"), ("t", "a.py", "CRYPTO_MINE")]
+
+
+def test_vetting_plan(spark):
+    """One pass that sees sizes and one over the texts."""
+    spark.createDataFrame([("r", "a.py", "x")], "root string, path string, text string").createOrReplaceTempView("tree_files")
+    plan = vetting.findings(spark.table("tree_files").repartition(2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("BatchEvalPython") == 0
 
 
 def test_trees(spark, tmp_path):
@@ -174,6 +183,29 @@ def test_trees(spark, tmp_path):
     assert found == {("sub/a.py", "ENV_SCRAPE", ""), ("link.py", "UNSCANNED", vetting.OUTSIDE)}
 
 
+def test_hidden_files_and_targets_without_files(spark, tmp_path):
+    top = tmp_path / "tree"
+    for at in ("pkg/__init__.py", "pkg/a.py", ".evil.py", ".hidden/b.py", "_c.py"):
+        (top / at).parent.mkdir(parents=True, exist_ok=True)
+        (top / at).write_text("os.environ.copy()")
+    (top / "large.py").write_text("xmrig " * 400_000)
+    (tmp_path / "none").mkdir()
+    (tmp_path / "_one.py").write_text("xmrig")
+    verdicts = {}
+    for root in (str(top), str(tmp_path / "none"), str(tmp_path / "gone"), " ", "/dev/null", str(tmp_path / "_one.py"), str(top / "pkg/a.py")):
+        (r,) = vetting.vet(trees.file_tree(spark, root)).collect()
+        verdicts[root] = (r.score, r.tier, r.n_findings, r.summary if r.n_findings == 0 else "")
+    assert verdicts == {
+        str(top): (10, "rejected", 6, ""), str(tmp_path / "none"): (0, "approved", 0, "APPROVED (score 0/10) — 0 finding(s)"), str(tmp_path / "gone"): (0, "review", 0, vetting.MISSING),
+        " ": (0, "review", 0, vetting.EMPTY_PATH), "/dev/null": (0, "review", 0, vetting.NOT_REGULAR), str(tmp_path / "_one.py"): (10, "rejected", 1, ""), str(top / "pkg/a.py"): (4, "review", 1, ""),
+    }
+    rows = {r.path: r for r in trees.file_tree(spark, str(top)).collect()}
+    assert rows["large.py"].text is None and rows["large.py"].size == 2_400_000 and rows[".hidden/b.py"].text == "os.environ.copy()"
+    found = vetting.findings(trees.file_tree(spark, str(top)))
+    report = json.loads(vetting.report_json(found, vetting.verdicts(found, trees.file_tree(spark, str(top)))).first().report)
+    assert [f["file"] for f in report["findings"]] == [".evil.py", ".hidden/b.py", "_c.py", "large.py", "pkg/__init__.py", "pkg/a.py"] and report["tier"] == "rejected"
+
+
 def test_shapes(spark):
     from typing import Literal, Optional
 

@@ -26,6 +26,11 @@ PRESETS = {
 ANCHOR_ROWS, ANCHOR_MINUTES = 100, 15.0
 
 
+def is_blank(line: Column) -> Column:
+    """True for lines that hold nothing but what Python's strip() takes away."""
+    return F.coalesce(line, F.lit("")).rlike(r"^[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*\z")
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
@@ -118,7 +123,7 @@ def _checked(raw: str) -> Column:
 def checked_lines(lines: DataFrame) -> DataFrame:
     """Each line of ``lines(log_id, line_no, raw)`` that is not blank, its place ``n`` and its fault, if any."""
     by = Window.partitionBy("log_id").orderBy("line_no")
-    rows = lines.where(F.length(F.trim("raw")) > 0).withColumn("e", _checked("raw")).withColumn("n", F.row_number().over(by)).withColumn("before", F.coalesce(F.lag("e.entry_hash").over(by), F.when(F.col("n") == 1, GENESIS)))
+    rows = lines.where(~is_blank(F.col("raw"))).withColumn("e", _checked("raw")).withColumn("n", F.row_number().over(by)).withColumn("before", F.coalesce(F.lag("e.entry_hash").over(by), F.when(F.col("n") == 1, GENESIS)))
     fault = (
         F.when(~F.col("e.parsed"), "unparseable line")
         .when(~F.col("e.seq").eqNullSafe(F.col("n").cast("bigint")), "seq out of order")
@@ -143,7 +148,7 @@ def verify(lines: DataFrame, logs: DataFrame | None = None) -> DataFrame:
 
 def heads(lines: DataFrame) -> DataFrame:
     """The last line of each log that can be parsed, which a new entry continues."""
-    rows = lines.where(F.length(F.trim("raw")) > 0).withColumn("e", _checked("raw")).where("e.parsed")
+    rows = lines.where(~is_blank(F.col("raw"))).withColumn("e", _checked("raw")).where("e.parsed")
     last = rows.groupBy("log_id").agg(F.max_by("e", "line_no").alias("e"))
     return last.select("log_id", F.coalesce("e.seq", F.lit(0)).alias("seq"), F.coalesce("e.entry_hash", F.lit(GENESIS)).alias("entry_hash"), "e.ts")
 
@@ -202,7 +207,7 @@ def anchors_due(chain_rows: DataFrame, every_n: int = ANCHOR_ROWS, every_minutes
 
 def cross_check(receipts: DataFrame, lines: DataFrame) -> DataFrame:
     """Each receipt ``log_id``, ``seq``, ``entry_hash`` with ``status``: matches, differs or missing in the log."""
-    held = lines.where(F.length(F.trim("raw")) > 0).withColumn("e", _checked("raw")).where("e.parsed and e.seq is not null").groupBy("log_id", F.col("e.seq").alias("seq")).agg(F.min_by("e.entry_hash", "line_no").alias("held"))
+    held = lines.where(~is_blank(F.col("raw"))).withColumn("e", _checked("raw")).where("e.parsed and e.seq is not null").groupBy("log_id", F.col("e.seq").alias("seq")).agg(F.min_by("e.entry_hash", "line_no").alias("held"))
     status = F.when(F.col("held").isNull(), "missing").when(F.col("held") == F.col("entry_hash"), "matches").otherwise("differs")
     return receipts.join(held, ["log_id", "seq"], "left").select("log_id", "seq", "entry_hash", status.alias("status"))
 
