@@ -177,8 +177,9 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Have the library encode pre-tokens that the table lacks."""
-        plain = [w for w in words if self.spaced.fullmatch(w)]
-        rest = [w for w in words if not self.spaced.fullmatch(w)]
+        plain, rest = [], []
+        for w in words:
+            (plain if self.spaced.fullmatch(w) else rest).append(w)
         # words that begin with a space are pre-tokens one by one in a line of many, which costs the library less
         sizes, ids, done = [], [self.ids], []
         for i in range(0, len(plain), LINE_WORDS):
@@ -204,9 +205,12 @@ class Encoder:
         found = [self.pattern.findall(t) if ok else [] for t, ok in zip(texts, apart)]
         if len(self.place) > TABLE_ROWS:
             self._clear()
-        if new := set(chain.from_iterable(found)).difference(self.place):
-            self._learn(sorted(new))
-        words = np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), np.int64)
+        flat = list(chain.from_iterable(found))
+        places = list(map(self.place.get, flat))
+        if None in places:
+            self._learn(list({w: 0 for w, k in zip(flat, places) if k is None}))
+            places = [self.place[w] if k is None else k for w, k in zip(flat, places)]
+        words = np.fromiter(places, np.int64, len(places))
         sizes = self.sizes[words]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[words] - (ends - sizes), sizes)
