@@ -15,7 +15,6 @@ rows, then by name. A null doc_id counts as held out. No training rows: ``und``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,12 +30,16 @@ LEAST_SHARE = 2e-6
 PROBES, SLOTS_PER_GRAM = 3, 8
 #: Languages beyond which lang is taken for something else than a language.
 MOST_LANGUAGES = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.full(256, 0x20, np.uint8)
 _PLAIN[ord("a") : ord("z") + 1] = _PLAIN[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _PLAIN[0x80:] = np.arange(0x80, 0x100)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by its Unicode category; numerals of any kind are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The four-byte n-grams of all texts as u4, and where each text's begin (one more: the end)."""
     data = b"".join(b"  " + t + b"  " for t in texts)
@@ -140,7 +143,7 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
         for batch, texts in doc_chunks(batches, limit=1 << 20):
-            letters = np.array([bool(t) and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()])
+            letters = np.array([has_letter(t) for t in batch.column("text").to_pylist()], bool)
             if f.languages:
                 c, n = f.hits(texts)
                 best = c.argmax(1)
@@ -168,7 +171,7 @@ def accepted(docs: DataFrame, filters: Filters, least_coverage: float = 0.05, le
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
         for batch, texts in doc_chunks(batches, limit=1 << 20):
-            keep = np.array([bool(t) and _LETTER.search(t) is not None for t in batch.column("text").to_pylist()])
+            keep = np.array([has_letter(t) for t in batch.column("text").to_pylist()], bool)
             if f.languages:
                 c, n = f.hits(texts)
                 keep &= (n < least_grams) | (c.max(1) >= least_coverage * n)

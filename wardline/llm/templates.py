@@ -1,15 +1,16 @@
 """Operator 6. Benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits in lower case; punctuation only ends sentences. A word that begins with a digit, a
-unit of measure, or a capitalised word inside a sentence becomes a typed placeholder: number, unit or name. A word
-all in capitals is no name where most words from AROUND before to AROUND after it are in capitals too.
+Words are runs of letters and digits in lower case; punctuation only ends sentences. A word that begins with a digit or
+names a number, a unit of measure, or a capitalised word inside a sentence becomes a typed placeholder: number, unit
+or name. A word all in capitals is no name where most words from AROUND before to AROUND after it are in capitals too.
 Windows of WINDOW canonical words of the benchmark, with LITERALS words that are no placeholder at least, are
 hashed, and beside them all windows of WINDOW words as they are in lower case, so that a copy is found whatever its case and
 however many numbers or names it holds; documents' windows are joined with both by hash. Windows that follow each other on one diagonal make
-an aligned stretch. Its slots must be consistent: a value of the item stands for one value of the document
-throughout; where that breaks, the stretch ends and another begins. A document is contaminated by an item
-that it shares a consistent stretch of LONG words with, or of SHARE of the item's words. ``exact`` tells a copy
-from a re-parameterised one.
+an aligned stretch. Its slots must be consistent: a value of the item stands for one value of the document throughout,
+and a name of the document for one of the item (two numbers may become the same one); where that breaks, the stretch
+ends and another begins. A document is contaminated by an item that it shares a consistent stretch of LONG words
+with, or of SHARE of the item's words. ``exact`` tells a whole copy, all words of the item in its order and equal in
+lower case, from a part or a re-parameterised one.
 
 The benchmark is read in blocks of BLOCK_CHARS characters, each against all documents, so what is broadcast has
 a fixed size. An item of fewer words than WINDOW is one window; items of fewer than LITERALS words match nothing.
@@ -33,11 +34,22 @@ LONG, SHARE = 13, 0.5
 BLOCK_CHARS = 16 << 20
 NUMBER, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 UNITS = (
-    "mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms oz ounce ounces lb lbs pound pounds ton tons tonne tonnes "
-    "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes hour hours day days week weeks month months year years "
-    "cent cents dollar dollars euro euros usd eur gbp percent degree degrees meter meters metre metres kilometer kilometers kilometre kilometres mph kmh w kw kwh v volt volts byte bytes kb mb gb tb"
-).split()
-
+    "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
+    "kilogram", "kilograms", "oz", "ounce", "ounces", "lb", "lbs", "pound", "pounds", "ton", "tons", "tonne", "tonnes", "ml", "l", "liter", "liters",
+    "litre", "litres", "gallon", "gallons", "s", "sec", "second", "seconds", "min", "minute", "minutes", "hour", "hours", "day", "days", "week",
+    "weeks", "month", "months", "year", "years", "cent", "cents", "dollar", "dollars", "euro", "euros", "usd", "eur", "gbp", "percent", "degree",
+    "degrees", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "mph", "kmh", "w", "kw", "kwh", "v",
+    "volt", "volts", "byte", "bytes", "kb", "mb", "gb", "tb",
+)
+#: Numbers as words; ``one`` is left out, as it is a pronoun too.
+NUMBER_WORDS = (
+    "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen",
+    "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand",
+    "million", "billion",
+)
+
+#: Letters beyond Latin-1 that have a small form of as many bytes.
+_SMALL = {c: chr(c).lower() for c in range(0x100, 0x10000) if chr(c).isupper() and len(chr(c).lower()) == 1 and len(chr(c).lower().encode()) == len(chr(c).encode())}
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _WORD = np.zeros(256, bool)
@@ -63,6 +75,8 @@ class Canonical:
         edges = np.flatnonzero(np.diff(word))
         self.starts, self.ends = edges[0::2], edges[1::2]
         low = _LOWER[a]
+        if (a >= 0xC4).any():  # other alphabets
+            low = _LOWER[np.frombuffer(data.decode().translate(_SMALL).encode(), np.uint8)]
         if len(a) > 1:  # capital letters of Latin-1 in UTF-8
             capital = (a[:-1] == 0xC3) & (a[1:] >= 0x80) & (a[1:] <= 0x9E) & (a[1:] != 0x97)
             low[1:] += capital.astype(np.uint8) * 32
@@ -73,13 +87,14 @@ class Canonical:
             stops = np.concatenate([[0], np.cumsum(_STOP[a] & (word[1:-1] == 0))])
             changed = low[self.starts] != a[self.starts]
             if len(a) > 1:
-                after = np.minimum(self.starts + 1, len(a) - 1)
-                changed |= (a[self.starts] == 0xC3) & (low[after] != a[after])
+                for k in (1, 2):  # the rest of a first letter of several bytes
+                    after = np.minimum(self.starts + k, len(a) - 1)
+                    changed |= (a[self.starts] >= (0xC3, 0xE0)[k - 1]) & (low[after] != a[after]) & (a[after] >= 0x80) & (a[after] < 0xC0)
             inside = np.zeros(len(code), bool)
             inside[1:] = stops[self.starts[1:]] == stops[self.ends[:-1]]
             code[changed & inside & ~self._shouted(a, low)] = NAME
             code[np.isin(self.literal, _UNIT_HASHES)] = UNIT
-            code[digit[self.starts]] = NUMBER
+            code[digit[self.starts] | np.isin(self.literal, _NUMBER_HASHES)] = NUMBER
         self.code = code
         self.is_literal = code > UNIT
 
@@ -111,8 +126,8 @@ class Canonical:
         return h[ok], at[ok]
 
 
-_UNIT_HASHES = np.empty(0, np.uint64)
-_UNIT_HASHES = np.sort(Canonical([u.encode() for u in UNITS]).literal)
+_UNIT_HASHES = _NUMBER_HASHES = np.empty(0, np.uint64)
+_UNIT_HASHES, _NUMBER_HASHES = (np.sort(Canonical([w.encode() for w in words]).literal) for words in (UNITS, NUMBER_WORDS))
 
 
 class Benchmark:
@@ -131,8 +146,8 @@ class Benchmark:
                 order = np.argsort(h[fits], kind="stable")
                 self.tables.append((n, literal_words, h[fits][order], at[fits][order]))
 
-    def stretches(self, c: Canonical) -> dict[tuple[int, int], tuple[int, int, bool]]:
-        """For each (text, item) with a consistent stretch: words of the longest, words in all, whether all are exact."""
+    def stretches(self, c: Canonical) -> dict[tuple[int, int], tuple[int, bool]]:
+        """For each (text, item) with a consistent stretch: words of the longest, and whether the text holds the whole item as it is."""
         found: list[tuple[np.ndarray, np.ndarray, int]] = []
         for n, literal_words, keys, places in self.tables:
             h, at = c.windows(n, literal_words)
@@ -154,24 +169,24 @@ class Benchmark:
         same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (np.diff(own) == np.diff(theirs)) & (np.diff(own) <= size[:-1])
         begin = np.flatnonzero(np.concatenate([[True], ~same]))
         last = np.append(begin[1:], len(own)) - 1
-        out: dict[tuple[int, int], tuple[int, int, bool]] = {}
+        out: dict[tuple[int, int], tuple[int, bool]] = {}
         for a, b in zip(begin.tolist(), last.tolist()):
-            words = int(own[b] + size[b] - own[a])
-            longest, exact = self._consistent(c, int(own[a]), int(theirs[a]), words)
-            key = (int(doc[a]), int(item[a]))
-            was = out.get(key, (0, 0, True))
-            out[key] = (max(was[0], longest), was[1] + words, was[2] and exact)
+            d, i = int(doc[a]), int(item[a])
+            longest = self._consistent(c, int(own[a]), int(theirs[a]), int(own[b] + size[b] - own[a]))
+            start, of = int(own[a] - theirs[a] + self.text.first[i]), slice(int(self.text.first[i]), int(self.text.first[i + 1]))
+            whole = start >= c.first[d] and np.array_equal(c.literal[start : min(start + int(self.words[i]), int(c.first[d + 1]))], self.text.literal[of])
+            was = out.get((d, i), (0, False))
+            out[d, i] = (max(was[0], longest), was[1] or whole)
         return out
 
-    def _consistent(self, c: Canonical, own: int, theirs: int, words: int) -> tuple[int, bool]:
-        """Words of the longest part in which each value of a slot stands for one value, and whether all are equal."""
-        slots = np.flatnonzero(~c.is_literal[own : own + words])
-        ours, item = c.literal[own + slots].tolist(), self.text.literal[theirs + slots].tolist()
-        longest, begin, value = 0, 0, {}
-        for place, x, y in zip(slots.tolist(), item, ours):
-            if value.setdefault(x, y) != y:
-                longest, begin, value = max(longest, place - begin), place, {x: y}
-        return max(longest, words - begin), ours == item
+    def _consistent(self, c: Canonical, own: int, theirs: int, words: int) -> int:
+        """Words of the longest part in which each value of a slot stands for one value, and each name for one name."""
+        slots = np.flatnonzero(~c.is_literal[own : own + words] | ~self.text.is_literal[theirs : theirs + words])
+        longest, begin, value, back = 0, 0, {}, {}
+        for place, x, y, kind in zip(slots.tolist(), self.text.literal[theirs + slots].tolist(), c.literal[own + slots].tolist(), c.code[own + slots].tolist()):
+            if value.setdefault(x, y) != y or kind == NAME and back.setdefault(y, x) != x:
+                longest, begin, value, back = max(longest, place - begin), place, {x: y}, {y: x}
+        return max(longest, words - begin)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
@@ -186,7 +201,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str]]]:
 def leaks_of(block: Benchmark, texts: list[bytes]) -> list[tuple[int, int, int, bool]]:
     """(text, item, words of the longest consistent stretch, exact) for each text that an item contaminates."""
     found = block.stretches(Canonical(texts))
-    return [(d, i, longest, exact) for (d, i), (longest, _, exact) in sorted(found.items()) if longest >= LONG or longest >= SHARE * block.words[i]]
+    return [(d, i, longest, exact) for (d, i), (longest, exact) in sorted(found.items()) if longest >= LONG or longest >= SHARE * block.words[i]]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
