@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardline.functions.rules import NATIVE_CHARS, is_ascii, let
+from wardline.functions.rules import NATIVE_CHARS, let
 from wardline.operators.guards import normalize_path
-from wardline.plans.catalog import DECISION_OF_REASON, DENY, FLAT_SECRET, TARGET_CHARS, Names, secret_pattern
+from wardline.plans.catalog import DECISION_OF_REASON, DENY, FLAT_SECRET, MAX_CHARS, SAME_CHARS, TARGET_CHARS, Names, linear_secret_pattern
 
 
 def decision_of(outcome_reason: Column) -> Column:
@@ -72,7 +72,7 @@ def is_self_repair(raw: Column, home: str | None = None, names: Names = Names(),
 
 # --- redaction -----------------------------------------------------------------------------------
 
-_SECRET = re.compile(secret_pattern(), re.IGNORECASE)
+_SECRET = re.compile(linear_secret_pattern(), re.IGNORECASE)
 
 
 def redact(raw: Column) -> Column:
@@ -83,7 +83,7 @@ def redact(raw: Column) -> Column:
         return texts.map(lambda t: None if t is None else _SECRET.sub("<redacted>", t))
 
     text = F.coalesce(raw, F.lit("None"))
-    own = is_ascii(text) & (F.length(text) <= 100 * NATIVE_CHARS)  # the flat pattern does not recurse
+    own = (F.length(text) <= MAX_CHARS) & ~text.rlike(f"[^{SAME_CHARS}]")  # the flat pattern does not recurse
     plain = F.regexp_replace(text, "(?id)" + FLAT_SECRET, "<redacted>")
     out = F.when(own, plain).otherwise(elsewhere(F.when(~own, text)))
     return F.when(F.length(out) > TARGET_CHARS, F.concat(F.substring(out, 1, TARGET_CHARS - 3), F.lit("..."))).otherwise(out)

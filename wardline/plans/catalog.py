@@ -141,4 +141,17 @@ def secret_pattern(value: str = _VALUE) -> str:
     return r"(?:\b[A-Z_]*(?:TOKEN|KEY|SECRET|PASSWORD|CRED)[A-Z_]*\s*[:=]\s*" + value + r"|[A-Za-z_-]*(?:Authorization|Api-Key|Token|Secret|Key)\s*[:=]\s*(?:Bearer\s+)?" + value + ")"
 
 
-FLAT_SECRET = secret_pattern(_FLAT)
+def linear_secret_pattern(value: str = _VALUE, word: str = r"\w") -> str:
+    """A pattern with the same matches as secret_pattern() that takes a run of letters once.
+
+    What stands before a keyword can take all letters of its run, so a match that begins inside a run begins at its first
+    letter too; and what follows a run, the sign, is looked at before keywords are sought in it.
+    """
+    first = rf"(?<![{word}])(?=[A-Z_]*+\s*+[:=])[A-Z_]*(?:TOKEN|KEY|SECRET|PASSWORD|CRED)[A-Z_]*+\s*+[:=]\s*{value}"
+    second = rf"(?<![A-Za-z_-])(?=[A-Za-z_-]*+\s*+[:=])[A-Za-z_-]*(?:Authorization|Api-Key|Token|Secret|Key)\s*+[:=]\s*(?:Bearer\s+)?{value}"
+    return f"(?:{first}|{second})"
+
+
+#: For the JVM's engine, in texts of characters on which it agrees with Python's.
+FLAT_SECRET = linear_secret_pattern(_FLAT, r"\p{L}\p{N}_")
+SAME_CHARS = r"\t\n\x0b\x0c\r\x20-\x7e\u00a1-\u00ac\u00ae-\u017e\u0180-\u024f\u2013\u2014\u2018\u2019\u201c\u201d"
