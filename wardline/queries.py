@@ -288,10 +288,22 @@ def _vet_sql() -> str:
 
 
 def vet_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = vetting.vet(_trees(spark, sf_dir).withColumn("root", F.concat("root", F.lit("/"), F.pmod(F.crc32(F.col("path").cast("binary")), F.lit(40)).cast("string"))))
+    """Forty trees of each source."""
+    number = F.regexp_extract("path", r"f(\d+)", 1).cast("bigint")
+    out = vetting.vet(_trees(spark, sf_dir).withColumn("root", F.concat("root", F.lit("/"), (number % 40).cast("string"))))
     return out.select("root", F.col("score").cast("bigint").alias("score"), "tier", F.col("n_findings").cast("bigint").alias("n_findings"), "summary")
 
 
+def _verdicts_sql() -> str:
+    weights = " ".join(f"WHEN {_q(k)} THEN {w}" for k, w in vetting.WEIGHTS.items())
+    return f"""{_vet_rows_sql()},
+        t AS (SELECT DISTINCT source || '/' || doc_id % 40 AS root FROM documents),
+        n AS (SELECT root || '/' || CAST(regexp_extract(path, 'f(\d+)', 1) AS BIGINT) % 40 AS root, sum(CASE severity {weights} END) AS s, count(*) AS n FROM v GROUP BY 1),
+        w AS (SELECT t.root, least(10, coalesce(s, 0)) AS score, coalesce(n, 0) AS n FROM t LEFT JOIN n ON t.root = n.root),
+        x AS (SELECT *, CASE WHEN score >= 8 THEN 'rejected' WHEN score >= 3 THEN 'review' ELSE 'approved' END AS tier FROM w)
+        SELECT root, CAST(score AS BIGINT) AS score, tier, n AS n_findings, upper(tier) || ' (score ' || CAST(score AS BIGINT) || '/10) — ' || n || ' finding(s)' AS summary FROM x"""
+
+
 def typosquats(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = _read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("root"), F.lit("requirements.txt").alias("path"), _pick(F.col("p_partkey"), DEPENDENCIES).alias("name"))
     return vetting.typosquat_findings(names).select(F.col("root").cast("bigint").alias("p_partkey"), F.col("snippet").alias("name"))
@@ -442,6 +454,30 @@ def unavailable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "d.decision", "d.reason", F.when(F.col("d.outcome_reason").isNotNull(), details).alias("details"))
 
 
+def _unavailable_sql() -> str:
+    """Events of host B that name a command or a path are decided by the policy; a target that a rule would deny stays denied, and others are allowed."""
+    import json
+
+    rows = []
+    for i, (event, decision, _) in enumerate(EVENTS_B):
+        try:
+            data = json.loads(event)
+        except (TypeError, ValueError):
+            data = None
+        params = data.get("params") if isinstance(data, dict) else None
+        held = params if isinstance(params, dict) else {}
+        paths = data.get("derivedPaths") if isinstance(data, dict) else None
+        named = [held.get(k) for k in ("command", "file_path", "path", "filePath")] + (paths[:1] if isinstance(paths, list) else [])
+        rows.append((i, any(isinstance(x, str) for x in named), decision == "deny"))
+    decisions = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in DECISION_OF_REASON.items())
+    return f"""WITH e AS (SELECT event_id, list_extract({POLICIES!r}, CAST((event_id // 6) % 5 AS INT) + 1) AS p, event_id % 2 = 0 AS a, named, red FROM events JOIN {_values(rows, 'id, named, red')} ON event_id % {len(EVENTS_B)} = id),
+        o AS (SELECT *, CASE WHEN NOT named THEN NULL WHEN red THEN 'denied-catastrophic-unevaluated' WHEN p = 'open' THEN 'allowed-unevaluated' WHEN p = 'ask' AND a THEN 'asked-unevaluated'
+              WHEN p = 'ask' THEN 'would-have-asked' WHEN p = 'observe' THEN 'would-have-blocked' ELSE 'denied-unevaluated' END AS r FROM e),
+        d AS (SELECT *, CASE r {decisions} ELSE 'allow' END AS decision FROM o)
+        SELECT event_id, decision, CASE WHEN decision = 'allow' THEN '' ELSE 'Guard unavailable — ' || r END AS reason,
+          CASE WHEN r IS NOT NULL THEN '{{"trigger":"timeout","action_tier":"unknown","attended":' || a || ',"outcome_reason":"' || r || '","guard_authoritative":false,"error_policy":"' || p || '","harness":"openclaw"}}' END AS details FROM d"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "guard_commands": (guard_commands, _commands_sql()),
     "guard_paths": (guard_paths, _paths_sql()),
@@ -455,7 +491,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "wrapped_pages": (wrapped_pages, _wrapped_sql()),
     "wrapped_turns": (wrapped_turns, _turns_sql()),
     "vet_findings": (vet_findings, _vet_sql()),
-    "vet_verdicts": (vet_verdicts, None),
+    "vet_verdicts": (vet_verdicts, _verdicts_sql()),
     "typosquats": (typosquats, _typosquats_sql()),
     "enforced_props": (enforced_props, _enforced_sql()),
     "embedded_json": (embedded_json, _embedded_sql()),
@@ -466,7 +502,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "observed_sessions": (observed_sessions, _SESSIONS_SQL),
     "host_a_events": (host_a_events, _hosted_sql("A", EVENTS_A)),
     "host_b_events": (host_b_events, _hosted_sql("B", EVENTS_B)),
-    "unavailable_rows": (unavailable_rows, None),
+    "unavailable_rows": (unavailable_rows, _unavailable_sql()),
 }
 
 
