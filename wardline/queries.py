@@ -298,7 +298,7 @@ def _verdicts_sql() -> str:
     weights = " ".join(f"WHEN {_q(k)} THEN {w}" for k, w in vetting.WEIGHTS.items())
     return f"""{_vet_rows_sql()},
         t AS (SELECT DISTINCT source || '/' || doc_id % 40 AS root FROM documents),
-        n AS (SELECT root || '/' || CAST(regexp_extract(path, 'f(\d+)', 1) AS BIGINT) % 40 AS root, sum(CASE severity {weights} END) AS s, count(*) AS n FROM v GROUP BY 1),
+        n AS (SELECT root || '/' || CAST(regexp_extract(path, 'f([0-9]+)', 1) AS BIGINT) % 40 AS root, sum(CASE severity {weights} END) AS s, count(*) AS n FROM v GROUP BY 1),
         w AS (SELECT t.root, least(10, coalesce(s, 0)) AS score, coalesce(n, 0) AS n FROM t LEFT JOIN n ON t.root = n.root),
         x AS (SELECT *, CASE WHEN score >= 8 THEN 'rejected' WHEN score >= 3 THEN 'review' ELSE 'approved' END AS tier FROM w)
         SELECT root, CAST(score AS BIGINT) AS score, tier, n AS n_findings, upper(tier) || ' (score ' || CAST(score AS BIGINT) || '/10) — ' || n || ' finding(s)' AS summary FROM x"""
