@@ -4,20 +4,18 @@ from __future__ import annotations
 
 import atexit
 import gc
-import io
-import os
 import re
 import tempfile
 import time
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from wardline.functions.shipping import ship
+
 #: Bytes of text that one numpy pass takes at a time; a longer document is a pass of its own.
 CHUNK_BYTES = 4 << 20
 
@@ -39,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    """A fresh path in the shared folder, removed when the driver's Python ends. What will be written may need the package."""
+    ship(spark)
     path = f"{shared_dir(spark)}/wardline-{uuid.uuid4().hex}/{name}"
     _written.append((spark, path.rpartition("/")[0]))
     return path
@@ -83,21 +82,6 @@ def drop(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._wardline_path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session (a cluster's workers do not share the driver's path)."""
-    if getattr(spark, "_wardline_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    to = os.path.join(tempfile.mkdtemp(prefix="wardline-"), "wardline.zip")
-    Path(to).write_bytes(buffer.getvalue())
-    spark.sparkContext.addPyFile(to)
-    spark._wardline_shipped = True
-
-
 def raw_files(df: DataFrame, payload: str, *by: str, path: str) -> None:
     """Write each row's binary ``payload`` as the content of a file below ``by=value/`` folders.
 

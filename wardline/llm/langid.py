@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.shipping import ship
 from wardline.llm.common import doc_chunks, mix
 from wardline.llm.kneserney import held_out
 
@@ -100,6 +101,7 @@ class Filters:
 
 def fit(training: DataFrame) -> Filters:
     """Filters from ``training(text, lang)``; the driver gets at most 1 / LEAST_SHARE n-grams a language."""
+    ship(training.sparkSession)
     training = training.where("lang is not null")
     rows = training.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
@@ -136,6 +138,7 @@ def identify(docs: DataFrame, filters: Filters, keep: list[str] | None = None) -
 
     score: the language's share of the corrected counts of all; coverage: its share of the text's n-grams.
     """
+    ship(docs.sparkSession)
     keep = keep or ["doc_id"]
     docs = docs.select(*keep, *[c for c in ("text",) if c not in keep])
     sent = docs.sparkSession.sparkContext.broadcast(filters)
@@ -166,6 +169,7 @@ def accepted(docs: DataFrame, filters: Filters, least_coverage: float = 0.05, le
     Rejected: ``und``, and texts of ``least_grams`` n-grams or more of which the best language covers less
     than ``least_coverage``.
     """
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

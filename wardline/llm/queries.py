@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import directcodes, kneserney, langid, lineruns, passages, postings, secrets, sentencepieces, simhash, templates
-from wardline.llm.common import ship
+from wardline.functions.shipping import ship
 
 #: Where the vocabulary files of public tokenizers lie.
 TOKENIZERS = "/opt/tokenizers"

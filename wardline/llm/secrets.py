@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wardline.functions.shipping import ship
+
 #: Code points between the parts of one credential at most.
 SCOPE = 200
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
@@ -100,6 +102,7 @@ def find(text: str, scope: int = SCOPE) -> tuple[list[Span], list[Span]]:
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: doc_id and ``spans`` array<struct<kind, start, end, value>> by start."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +119,7 @@ def secret_spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def secret_digest(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Counts and lists of spans for each row of ``docs(doc_id, text)``, without the secrets themselves."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

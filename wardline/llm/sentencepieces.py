@@ -18,15 +18,28 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wardline.functions.shipping import ship
+
 #: Rows that a worker's chunk table holds at most; beyond it starts anew, which changes no result.
 TABLE_ROWS = 250_000
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
+_pieces: dict[bytes, Pieces] = {}
+
+
 class Pieces:
     """A model with its table of distinct chunks: ids as text, and the chunk as decoded."""
 
+    @classmethod
+    def of(cls, model: bytes) -> Pieces:
+        """The worker's table for this model, made once."""
+        if model not in _pieces:
+            _pieces.clear()
+            _pieces[model] = cls(model)
+        return _pieces[model]
+
     def __init__(self, model: bytes):
         import sentencepiece
 
@@ -100,10 +113,11 @@ def model_bytes(path: str) -> bytes:
 
 def sentencepiece_encode(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id``, ``ids`` (array<int>, the end id last) and ``decoded`` for each row of ``docs(doc_id, text)``."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(sent.value)
+        pieces = Pieces.of(sent.value)
         for batch, texts in _slices(batches):
             ids, back = zip(*pieces.encode(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[int(x) for x in i.split(" ")] for i in ids], pa.list_(pa.int32())), pa.array(back, pa.string())], ["doc_id", "ids", "decoded"])
@@ -114,10 +128,11 @@ def sentencepiece_encode(docs: DataFrame, model: str) -> DataFrame:
 
 def sentencepiece_digest(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` for each row of ``docs(doc_id, text)``."""
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(sent.value)
+        pieces = Pieces.of(sent.value)
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         for batch, texts in _slices(batches):
             rows = [(i.count(" ") + 1, sha(i), sha(back)) for i, back in pieces.encode(texts)]

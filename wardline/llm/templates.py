@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.shipping import ship
 from wardline.llm.common import doc_chunks, window_hashes, word_hashes
 
 WINDOW, LITERALS, AROUND = 8, 4, 4
@@ -206,6 +207,7 @@ def leaks_of(block: Benchmark, texts: list[bytes]) -> list[tuple[int, int, int,
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``matched`` (words), ``item_words`` and ``exact`` for each contaminated document and item."""
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(benchmark.dtypes)['item_id']}, matched bigint, item_words bigint, exact boolean"
     out = None
@@ -229,6 +231,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, with all their columns."""
+    ship(docs.sparkSession)
     for items in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
