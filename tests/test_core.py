@@ -312,6 +312,97 @@ def test_streams(spark, chain, tmp_path):
     assert [(r.ok, r["count"]) for r in audit.verify(spark.table("chained").select("log_id", F.col("seq").alias("line_no"), "raw")).collect()] == [(True, 12)] * 2
 
 
+def test_streams_of_counters_and_anchors(spark, chain, tmp_path):
+    day = catalog.COUNTER_TTL_S
+    for k, rows in enumerate(([("a", 0), ("a", 5), ("b", 7)], [("a", 6), ("b", 8 + day)])):
+        spark.createDataFrame(rows, "session string, at_s bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "seen"))
+    source = spark.readStream.schema("session string, at_s bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "seen"))
+    run = state.count_stream(source).writeStream.format("memory").queryName("counted").outputMode("update").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    last = {r.session: r for r in spark.table("counted").orderBy("last_seen_ts").collect()}
+    assert (last["a"]["count"], last["a"].last_seen_ts) == (3, 6) and (last["b"]["count"], last["b"].first_seen_ts) == (1, 8 + day)
+    kept = state.counter_snapshot(spark.createDataFrame(list(last.values())), 8 + day).collect()
+    assert [(r.session, json.loads(r.entry)["count"]) for r in kept] == [("b", 1)]
+
+    chain.select("log_id", "seq", "entry_hash", "raw").repartition(1).write.parquet(str(tmp_path / "rows"))
+    told = str(tmp_path / "told")
+
+    def shipper(seq, entry_hash, ts):
+        if seq in (4, 8):
+            raise OSError("no network")
+        with open(told, "a") as f:
+            f.write(f"{seq} {entry_hash}\n")
+
+    rows = spark.readStream.schema("log_id string, seq bigint, entry_hash string, raw string").parquet(str(tmp_path / "rows"))
+    run = state.anchor_stream(rows, 4, 0, shipper).writeStream.format("memory").queryName("anchored").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = [(r.seq, r.status, r.entry) for r in spark.table("anchored").where("log_id = 'p'").orderBy("seq").collect()]
+    # a failed head is tried again with the next row
+    assert [x[:2] for x in got] == [(4, "failed"), (5, "anchored"), (9, "anchored")]
+    assert json.loads(got[0][2]) == {"action": "audit.anchor", "target": "<shipper>", "outcome": "error", "details": {"anchor_seq": 4, "error": "OSError"}} and got[1][2] is None
+    assert len(open(told).read().split("\n")) == 5
+
+
+def test_fail_modes(spark, chain, tmp_path, capsys):
+    (tmp_path / "file").write_text("no folder")
+    assert trees.write_lines(chain, str(tmp_path / "logs")) is True
+    assert trees.write_lines(chain, str(tmp_path / "file/logs")) is False and "log write failed" in capsys.readouterr().err
+    with pytest.raises(trees.AuditWriteError):
+        trees.write_lines(chain, str(tmp_path / "file/logs"), audit.PRESETS["healthcare"]["fail_mode"])
+
+
+def test_receipts(spark, chain, tmp_path):
+    heads = audit.anchors_due(chain, 6)
+    trees.write_receipts(heads, str(tmp_path / "receipts"))
+    assert spark.read.json(str(tmp_path / "receipts")).select("seq").where("anchored_at is not null").count() == 4
+    sent = []
+    trees.write_receipts(heads, str(tmp_path / "none"), lambda df: sent.append(df.count()))
+    assert sent == [4] and not (tmp_path / "none").exists()
+
+
+def test_blank_lines_are_no_entries(spark, chain):
+    lines = chain.select("log_id", "line_no", "raw").unionByName(spark.createDataFrame([("p", 5, "\t"), ("p", 6, " \r\x0b"), ("q", 0, "")], "log_id string, line_no bigint, raw string").withColumn("line_no", F.col("line_no") * 1))
+    assert all(r.ok and r["count"] == 12 for r in audit.verify(lines).collect())
+
+
+def test_rows_of_decisions(spark):
+    cases = ['{"tool_name":"Bash","tool_input":{"command":"rm -rf /"}}', '{"tool_name":"Write","tool_input":{"file_path":".env","content":"x"}}', '{"tool_name":"Edit","tool_input":{"file_path":"a.txt","old_string":"x"}}', "{}"]
+    rows = column(spark, cases).withColumns({"log_id": F.lit("l"), "line_no": F.col("i").cast("bigint"), "_over": F.lit(7)})
+    decided = events.decide(rows, "x", "A")
+    assert decided.where("_over = 7").count() == 4
+    got = [json.loads(r.fields) for r in events.decision_entries(decided, "x", "A").orderBy("line_no").collect()]
+    assert [(e["action"], e["target"], e["outcome"]) for e in got] == [("bash", "rm -rf /", "deny"), ("write", ".env", "ask"), ("write", "a.txt", "allow")]
+    assert got[1]["content_sha256_after"] == hashlib.sha256(b"x").hexdigest() and got[1]["content_sha256_before"] is None and "content_sha256_after" not in got[2]
+    assert all("content_sha256_after" in json.loads(r.fields) for r in events.decision_entries(decided, "x", "A", preset="biotech").collect())
+
+
+def test_red_only(spark):
+    rows = guards.judge_commands(column(spark, ["rm -rf /", "ls", "git reset --hard"]).withColumn("_place", F.lit(1)), "x", "v", "r")
+    got = [json.loads(r.j) for r in rows.orderBy("i").select(guards.red_only(F.col("r")).alias("j")).collect()]
+    assert got[0]["red"] and got[0]["pattern_id"] and got[1:] == [{"red": False, "pattern_id": ""}] * 2 and "_place" in rows.columns
+
+
+@pytest.mark.parametrize(("seconds", "what"), [
+    (5.0, ("strip", "a\u200b" * 1_000_000)), (2.0, ("scan", "ignore " * 25_000)), (2.0, ("scan", "you " * 50_000)), (2.0, ("scan", "< " * 6_000)), (5.0, ("scan", "x" * 2_000_000)), (3.0, ("scan", "\ufdfa" * 300_000)), (2.0, ("scan", "word " * 192_000)),
+    (3.0, ("scan", "a" + "\u0301" * 200_000)), (3.0, ("scan", "\u0f73" * 200_000)), (1.0, ("command", "a" * 2_000_000)), (1.0, ("path", "a/" * 1_000_000)), (5.0, ("command", "echo " + "A" * 200_000 + " | base64 -d ZZZ")), (5.0, ("command", "openssl enc " + "-x " * 60_000 + "NOPE")), (5.0, ("command", "Remove-Item " + "-foo " * 80_000 + "C:\\x")),
+    (1.0, ("command", "curl " + "-d x " * 30_000 + "$NOT_A_CREDENTIAL_VAR")), (1.0, ("path", ".claude/" * 30_000)), (3.0, ("vet", "echo x >> " * 10_000)), (2.0, ("json", "{" * 100_000)), (2.0, ("json", "{x" * 100_000)),
+])
+def test_ceilings(spark, seconds, what):
+    """Hostile inputs of the sizes for which ceilings are published; each time holds the whole job, which is run once before."""
+    import time
+
+    kind, text = what
+    of = {"strip": lambda d: d.select(sanitize.clean(F.col("x"))), "scan": lambda d: d.select(sanitize.sanitize(F.col("x"))), "command": lambda d: guards.judge_commands(d, "x"), "path": lambda d: guards.judge_paths(d, "x"), "json": lambda d: d.select(shapes.expect_json(F.col("x")), shapes.extract_json(F.col("x")))}
+    of["vet"] = lambda d: vetting.findings(d.select(F.lit("r").alias("root"), F.lit("a.sh").alias("path"), F.col("x").alias("text")))
+    of[kind](column(spark, [text[:200]])).collect()
+    rows = column(spark, [text]).cache()
+    rows.count()
+    begin = time.time()
+    of[kind](rows).collect()
+    # the plan and the job itself take a second or two here, whatever the input
+    assert time.time() - begin < seconds + 3
+
+
 def test_counters(spark):
     day = catalog.COUNTER_TTL_S
     rows = [("a", 0), ("a", 5), ("a", 5 + day), ("a", 6 + day), ("b", 7)]

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.shipping import ship
 from wardline.plans.catalog import Rule
 
 #: Characters up to which the JVM's engine is safe for all patterns of the catalogs.
@@ -92,6 +93,7 @@ def first_native(rules: Sequence[Rule], text: Column) -> Column:
 def first_elsewhere(rules: Sequence[Rule], text: Column, form: Callable[[str], str] = str) -> Column:
     """The place of the first rule that matches other texts, brought into their form by Python; null for short ASCII."""
     rules = list(rules)
+    ship()
 
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:

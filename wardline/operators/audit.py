@@ -1,7 +1,7 @@
 """Hash-chained audit logs: building chains, verifying them, anchoring their heads.
 
 A log is the rows with one ``log_id`` in the order of ``line_no``. Chaining is sequential within a log, so a
-log is one group; logs run in parallel. Verification is not: each line is hashed on its own, compared with
+log stays in one task, which reads it in batches; logs run in parallel. Verification is not: each line is hashed on its own, compared with
 the line before it by a window, and the first line at fault is the result.
 """
 
@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions.shipping import ship
+
 # fixed values
 BASE_FIELDS = ("ts", "actor", "role", "session", "machine", "action", "target", "outcome", "details")
 GENESIS = "0" * 64
@@ -44,11 +46,11 @@ def content_sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def entries_from(rows: DataFrame, preset: str = "general", content: tuple[Column, Column] | None = None) -> DataFrame:
+def entries_from(rows: DataFrame, preset: str = "general", content: tuple[Column, Column] | None = None, has_content: Column | None = None) -> DataFrame:
     """``log_id``, ``line_no`` and ``fields`` (JSON) of new rows; missing base fields get their defaults.
 
-    ``content``: texts before and after a write, of which the log keeps the hashes. Without it the slots
-    are there, as nulls, for presets that always have them.
+    ``content``: texts before and after a write, of which the log keeps the hashes (in rows with ``has_content``).
+    Without it the slots are there, as nulls, for presets that always have them.
     """
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
     defaults = {"ts": now, "action": F.lit(""), "target": F.lit(""), "outcome": F.lit(""), "actor": F.lit("agent"), "role": F.lit("unknown"), "session": F.lit(""), "machine": F.lit(""), "details": F.lit("{}")}
@@ -57,8 +59,10 @@ def entries_from(rows: DataFrame, preset: str = "general", content: tuple[Column
     parts = [F.struct(F.lit(c).alias("k"), F.when(F.lit(c == "details"), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)).alias("v")) for c, v in fields.items()]
     if content or PRESETS[preset]["content_fields_always"]:
         hashes = [content_sha256(c) for c in content] if content else [F.lit(None).cast("string")] * 2
-        parts += [F.struct(F.lit(f"content_sha256_{n}").alias("k"), F.coalesce(F.concat(F.lit('"'), h, F.lit('"')), F.lit("null")).alias("v")) for n, h in zip(("before", "after"), hashes)]
-    json_text = F.concat(F.lit("{"), F.array_join(F.transform(F.array(*parts), lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), F.coalesce(p["v"], F.lit("null")))), ","), F.lit("}"))
+        slots = [F.struct(F.lit(f"content_sha256_{n}").alias("k"), F.coalesce(F.concat(F.lit('"'), h, F.lit('"')), F.lit("null")).alias("v")) for n, h in zip(("before", "after"), hashes)]
+        asked = has_content if has_content is not None and not PRESETS[preset]["content_fields_always"] else F.lit(True)
+        parts += [F.when(asked, x) for x in slots]
+    json_text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_compact(F.array(*parts)), lambda p: F.concat(F.lit('"'), p["k"], F.lit('":'), F.coalesce(p["v"], F.lit("null")))), ","), F.lit("}"))
     return rows.select("log_id", "line_no", json_text.alias("fields"))
 
 
@@ -85,13 +89,21 @@ def chain(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     else:
         entries = entries.withColumns({"head_seq": F.lit(0).cast("bigint"), "entry_hash": F.lit(None).cast("string")})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("line_no")
-        seq, head = rows.iloc[0]["head_seq"], rows.iloc[0]["entry_hash"]
-        new = chained(rows["fields"].tolist(), 0 if pd.isna(seq) else int(seq), GENESIS if pd.isna(head) else head)
-        return pd.DataFrame({"log_id": rows["log_id"].tolist(), "line_no": rows["line_no"].tolist(), **{c: [r[i] for r in new] for i, c in enumerate(("seq", "prev_hash", "entry_hash", "raw"))}})
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, seq, prev = None, 0, GENESIS  # of the log that the last batch ended in
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if log is None or r.log_id != log[0]:
+                    log, seq, prev = (r.log_id,), 0 if pd.isna(r.head_seq) else int(r.head_seq), GENESIS if pd.isna(r.entry_hash) else r.entry_hash
+                ((seq, before, prev, line),) = chained([r.fields], seq, prev)
+                out.append((r.log_id, r.line_no, seq, before, prev, line))
+            yield pd.DataFrame(out, columns=["log_id", "line_no", "seq", "prev_hash", "entry_hash", "raw"])
 
-    return entries.groupBy("log_id").applyInPandas(run, f"log_id {kind}, line_no bigint, seq bigint, prev_hash string, entry_hash string, raw string")
+    ship(entries.sparkSession)
+    # a log follows itself in one task, which holds a batch of it at a time
+    ordered = entries.select("log_id", "line_no", "fields", "head_seq", "entry_hash").repartition("log_id").sortWithinPartitions("log_id", "line_no")
+    return ordered.mapInPandas(run, f"log_id {kind}, line_no bigint, seq bigint, prev_hash string, entry_hash string, raw string")
 
 
 _CHECKED = "parsed boolean, seq bigint, prev_hash string, entry_hash string, own_hash string, ts string"
@@ -113,6 +125,8 @@ def _check_line(text: str | None) -> tuple:
 def _checked(raw: str) -> Column:
     """What each line says and the hash that it should have; lines that are no JSON object are not parsed."""
 
+    ship()
+
     @F.pandas_udf(_CHECKED)
     def run(lines: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_check_line(t) for t in lines], columns=["parsed", "seq", "prev_hash", "entry_hash", "own_hash", "ts"]).astype({"seq": "Int64"})
@@ -168,19 +182,22 @@ class AnchorState:
         self.seq, self.at, self.gap = 0, None, False
 
     def due(self, seq: int, now: float) -> bool:
-        by_time = self.at is not None and self.every_s > 0 and now - self.at >= self.every_s
-        if self.at is None:
-            self.at = now  # the first row only starts the clock
-        return by_time or (self.every_n > 0 and seq - self.seq >= self.every_n)
+        """Whether a head is due; the first one only starts the clock."""
+        started, self.at = self.at is not None, now if self.at is None else self.at
+        return (self.every_n > 0 and seq >= self.seq + self.every_n) or (started and self.every_s > 0 and now >= self.at + self.every_s)
+
+    def anchored(self, seq: int, now: float) -> None:
+        self.seq, self.at, self.gap = seq, now, False
 
     def ship(self, head: tuple[int, str, str], now: float, shipper: Callable[[int, str, str], None]) -> str:
         """``anchored``, ``failed`` (first of a streak: an error row belongs in the log) or ``failed again``."""
         try:
             shipper(*head)
         except Exception:  # noqa: BLE001  a shipper is the user's code and must not stop the log
-            first, self.gap = not self.gap, True
-            return "failed" if first else "failed again"
-        self.seq, self.at, self.gap = head[0], now, False
+            status = "failed again" if self.gap else "failed"
+            self.gap = True
+            return status
+        self.anchored(head[0], now)
         return "anchored"
 
 
@@ -193,16 +210,22 @@ def anchors_due(chain_rows: DataFrame, every_n: int = ANCHOR_ROWS, every_minutes
         AnchorState(every_n, 0)
         return chain_rows.where(F.col("seq") % every_n == 0).select("log_id", "seq", "entry_hash")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        state, out = AnchorState(every_n, every_minutes), []
-        for r in rows.sort_values("seq").itertuples():
-            if state.due(r.seq, r.clock):
-                state.ship((r.seq, r.entry_hash, ""), r.clock, lambda *_: None)
-                out.append((r.log_id, r.seq, r.entry_hash))
-        return pd.DataFrame(out, columns=["log_id", "seq", "entry_hash"])
-
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, state = None, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if log is None or r.log_id != log[0]:
+                    log, state = (r.log_id,), AnchorState(every_n, every_minutes)
+                if state.due(r.seq, r.clock):
+                    state.anchored(r.seq, r.clock)
+                    out.append((r.log_id, r.seq, r.entry_hash))
+            yield pd.DataFrame(out, columns=["log_id", "seq", "entry_hash"])
+
+    ship(chain_rows.sparkSession)
     kind = dict(chain_rows.dtypes)["log_id"]
-    return chain_rows.select("log_id", "seq", "entry_hash", F.col(clock).cast("double").alias("clock")).groupBy("log_id").applyInPandas(run, f"log_id {kind}, seq bigint, entry_hash string")
+    rows = chain_rows.select("log_id", "seq", "entry_hash", F.col(clock).cast("double").alias("clock"))
+    return rows.repartition("log_id").sortWithinPartitions("log_id", "seq").mapInPandas(run, f"log_id {kind}, seq bigint, entry_hash string")
 
 
 def cross_check(receipts: DataFrame, lines: DataFrame) -> DataFrame:

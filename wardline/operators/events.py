@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import guards, policy
+from wardline.operators.audit import entries_from
 from wardline.plans.catalog import ALLOW, ASK, DENY, INPUT_OVER_CAP, MAX_CHARS, Names
 
 # fixed values
@@ -50,24 +51,24 @@ def command_and_path(event: Column, host: str) -> tuple[Column, Column]:
 def decide(rows: DataFrame, event: str, host: str, out: str = "result", trigger: str | None = None, error_policy: str | None = None, attended: str | None = None, names: Names = Names()) -> DataFrame:
     """``rows`` with ``out``: struct<decision, reason, rule_id, outcome_reason> for a column of events as JSON text."""
     no = F.lit(False)
-    given = rows.withColumn("_over", F.coalesce(F.octet_length(event) > MAX_BYTES, no))
-    command, path = command_and_path(F.when(~F.col("_over"), F.col(event)), host)
-    given = given.withColumns({"_command": command, "_path": path})
-    given = guards.judge_commands(given, "_command", "_c", "_cr", True, names)
-    given = guards.judge_paths(given, "_path", "_p", "_pr", True, None, names)
-    is_command = F.col("_command").isNotNull()
-    of = lambda k: F.when(is_command, F.col(f"_c.{k}")).otherwise(F.col(f"_p.{k}"))
+    given = rows.withColumn("__wardline_over", F.coalesce(F.octet_length(event) > MAX_BYTES, no))
+    command, path = command_and_path(F.when(~F.col("__wardline_over"), F.col(event)), host)
+    given = given.withColumns({"__wardline_command": command, "__wardline_path": path})
+    given = guards.judge_commands(given, "__wardline_command", "__wardline_c", "__wardline_cr", True, names)
+    given = guards.judge_paths(given, "__wardline_path", "__wardline_p", "__wardline_pr", True, None, names)
+    is_command = F.col("__wardline_command").isNotNull()
+    of = lambda k: F.when(is_command, F.col(f"__wardline_c.{k}")).otherwise(F.col(f"__wardline_p.{k}"))
     decision, reason, rule, outcome = of("decision"), of("reason"), of("rule_id"), F.lit(None).cast("string")
     if trigger is not None:
-        given = given.withColumn("_raw", F.coalesce("_command", "_path", F.lit("")))
-        given = given.withColumns({"_repair": policy.is_self_repair(F.col("_raw"), names=names), "_red": F.when(is_command, F.col("_cr.red")).otherwise(F.col("_pr.red"))})
-        given = given.withColumn("_resolved", policy.resolve_error_policy(F.col(error_policy) if error_policy else F.lit("closed"), F.col(attended) if attended else no, F.col("_repair"), F.col("_red")))
-        failed = F.col(trigger).isNotNull() & (is_command | F.col("_path").isNotNull())
-        outcome = F.when(failed, F.col("_resolved.outcome_reason"))
-        decision = F.when(failed, F.col("_resolved.decision")).otherwise(decision)
-        unavailable = F.when(F.col("_resolved.decision") == ALLOW, "").otherwise(F.concat(F.lit(UNAVAILABLE), outcome))
+        given = given.withColumn("__wardline_raw", F.coalesce("__wardline_command", "__wardline_path", F.lit("")))
+        given = given.withColumns({"__wardline_repair": policy.is_self_repair(F.col("__wardline_raw"), names=names), "__wardline_red": F.when(is_command, F.col("__wardline_cr.red")).otherwise(F.col("__wardline_pr.red"))})
+        given = given.withColumn("__wardline_resolved", policy.resolve_error_policy(F.col(error_policy) if error_policy else F.lit("closed"), F.col(attended) if attended else no, F.col("__wardline_repair"), F.col("__wardline_red")))
+        failed = F.col(trigger).isNotNull() & (is_command | F.col("__wardline_path").isNotNull())
+        outcome = F.when(failed, F.col("__wardline_resolved.outcome_reason"))
+        decision = F.when(failed, F.col("__wardline_resolved.decision")).otherwise(decision)
+        unavailable = F.when(F.col("__wardline_resolved.decision") == ALLOW, "").otherwise(F.concat(F.lit(UNAVAILABLE), outcome))
         reason, rule = F.when(failed, unavailable).otherwise(reason), F.when(~failed, rule)
-    over = F.col("_over")
+    over = F.col("__wardline_over")
     result = F.struct(
         F.when(over, ASK).otherwise(decision).alias("decision"),
         F.when(over, INPUT_OVER_CAP).otherwise(reason).alias("reason"),
@@ -99,6 +100,25 @@ def audit_details(result: Column) -> Column:
     return F.to_json(F.struct(result["reason"].alias("reason")))
 
 
+def decision_entries(decided: DataFrame, event: str, host: str, result: str = "result", preset: str = "general") -> DataFrame:
+    """``log_id``, ``line_no``, ``fields`` of the audit row for each event that a guard decided (see decide()), for audit.chain().
+
+    ``decided`` has ``log_id`` and ``line_no``. A write whose event holds content keeps the hashes of what was there
+    before and of what is written. Events that ask for nothing, and those whose guard could not run, give no row.
+    """
+    command, path = command_and_path(F.col(event), host)
+    at = "$.tool_input" if host == "A" else "$.params"
+    held = F.try_parse_json(event)
+    inner = lambda key: F.try_variant_get(held, f"{at}.{key}", "variant")
+    after = F.coalesce(_string(held, f"{at}.content_after"), _string(held, f"{at}.content"))
+    has_content = path.isNotNull() & (inner("content").isNotNull() | inner("content_after").isNotNull() | inner("content_before").isNotNull())
+    of = F.col(result)
+    fields = {"target": F.coalesce(command, path), "action": F.when(command.isNotNull(), "bash").otherwise("write"), "outcome": of["decision"], "details": audit_details(of)}
+    told = {"__before": _string(held, f"{at}.content_before"), "__after": after, "__has": has_content}
+    rows = decided.where(of["outcome_reason"].isNull()).withColumns({**fields, **told}).where("target is not null")
+    return entries_from(rows, preset, (F.col("__before"), F.col("__after")), F.col("__has"))
+
+
 def unavailable_details(trigger: Column, action_tier: Column, attended: Column, outcome_reason: Column, error_policy: Column, host: Column) -> Column:
     """The details of the audit row that says that a guard could not evaluate, as JSON."""
     fields = [trigger.alias("trigger"), F.coalesce(action_tier, F.lit("unknown")).alias("action_tier"), attended.alias("attended"), outcome_reason.alias("outcome_reason"), F.lit(False).alias("guard_authoritative"), error_policy.alias("error_policy"), host.alias("harness")]

@@ -12,9 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.rules import first_elsewhere, first_native, first_rule, let, native
+from wardline.functions.shipping import ship
 from wardline.plans.catalog import ALLOW, ASK, COMMAND_OVER_CAP, DENY, MAX_CHARS, PATH_OVER_CAP, Names, Rule, command_rules, path_rules
 
 
+#: Columns of a step between, in names of their own.
+_PLACE, _NORMAL = "__wardline_place", "__wardline_normal"
+
+
 def _of(rules: list[Rule], place: Column, what: str, none: str | None) -> Column:
     values = F.array(F.lit(none).cast("string"), *[F.lit(getattr(r, what)) for r in rules])
     return F.element_at(values, F.coalesce(place + 2, F.lit(1)))
@@ -42,6 +47,11 @@ def _red(rules: list[Rule], place: Column, whole: Column, over_is_red: bool) ->
     return F.struct((over | place.isNotNull()).alias("red"), F.when(over, "over_cap").otherwise(_of(red, place, "id", "")).alias("pattern_id"))
 
 
+def red_only(red: Column) -> Column:
+    """A struct<red, pattern_id> as the JSON that a host asks for when it only wants to know of catastrophes."""
+    return F.concat(F.lit('{"red": '), red["red"].cast("string"), F.lit(', "pattern_id": "'), red["pattern_id"], F.lit('"}'))
+
+
 def judge_commands(rows: DataFrame, command: str, out: str = "verdict", red: str | None = None, over_is_red: bool = False, names: Names = Names()) -> DataFrame:
     """``rows`` with ``out``: struct<decision, reason, rule_id> of a column of commands.
 
@@ -49,7 +59,7 @@ def judge_commands(rows: DataFrame, command: str, out: str = "verdict", red: str
     over the cap counts as catastrophic.
     """
     rules = command_rules(names)
-    staged = rows.withColumn("_place", first_rule(rules, _within(F.col(command))))
+    staged = rows.withColumn(_PLACE, first_rule(rules, _within(F.col(command))))
     return _judged(staged, rules, command, COMMAND_OVER_CAP, out, red, over_is_red)
 
 
@@ -57,18 +67,18 @@ def judge_paths(rows: DataFrame, path: str, out: str = "verdict", red: str | Non
     """As judge_commands() for a column of paths; ``normal``: also a column of normalized paths."""
     rules = path_rules(names)
     given = _within(F.col(path))
-    staged = rows.withColumn("_normal", F.when(native(given), _normalize_native(given)))
-    staged = staged.withColumn("_place", F.coalesce(first_native(rules, F.col("_normal")), first_elsewhere(rules, given, normalize_in_python)))
+    staged = rows.withColumn(_NORMAL, F.when(native(given), _normalize_native(given)))
+    staged = staged.withColumn(_PLACE, F.coalesce(first_native(rules, F.col(_NORMAL)), first_elsewhere(rules, given, normalize_in_python)))
     if normal:
         staged = staged.withColumn(normal, normalize_path(given))
-    return _judged(staged, rules, path, PATH_OVER_CAP, out, red, over_is_red).drop("_normal")
+    return _judged(staged, rules, path, PATH_OVER_CAP, out, red, over_is_red).drop(_NORMAL)
 
 
 def _judged(staged: DataFrame, rules: list[Rule], whole: str, over_cap: str, out: str, red: str | None, over_is_red: bool) -> DataFrame:
-    new = {out: _verdict(rules, F.col("_place"), F.col(whole), over_cap)}
+    new = {out: _verdict(rules, F.col(_PLACE), F.col(whole), over_cap)}
     if red:
-        new[red] = _red(rules, F.col("_place"), F.col(whole), over_is_red)
-    return staged.withColumns(new).drop("_place")
+        new[red] = _red(rules, F.col(_PLACE), F.col(whole), over_is_red)
+    return staged.withColumns(new).drop(_PLACE)
 
 
 # --- paths ---------------------------------------------------------------------------------------
@@ -125,6 +135,8 @@ def _normalize_native(path: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
+    ship()
+
     @F.pandas_udf("string")
     def elsewhere(paths: pd.Series) -> pd.Series:
         return paths.map(lambda p: None if p is None else normalize_in_python(p))

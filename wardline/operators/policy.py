@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions.rules import NATIVE_CHARS, let
+from wardline.functions.shipping import ship
 from wardline.operators.guards import normalize_path
 from wardline.plans.catalog import DECISION_OF_REASON, DENY, FLAT_SECRET, MAX_CHARS, SAME_CHARS, TARGET_CHARS, Names, linear_secret_pattern
 
@@ -78,6 +79,8 @@ _SECRET = re.compile(linear_secret_pattern(), re.IGNORECASE)
 def redact(raw: Column) -> Column:
     """Credential-shaped values as ``<redacted>``, then cut to TARGET_CHARS with an ellipsis. Null: ``None``."""
 
+    ship()
+
     @F.pandas_udf("string")
     def elsewhere(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else _SECRET.sub("<redacted>", t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import stat
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -116,13 +117,28 @@ def audit_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.where(~is_blank(F.col("raw"))).select("log_id", (F.shiftleft(F.shiftright("block", 10), 32) + F.col("k") + 1).alias("line_no"), "raw")
 
 
-def write_lines(chained: DataFrame, path: str) -> None:
-    """Append chained rows as JSON lines, a folder a log, in order within the log.
+class AuditWriteError(RuntimeError):
+    """A log that fails closed could not be written."""
 
-    Each call adds files of whole lines, so what an earlier writer left torn stays a line of its own.
+
+def write_lines(chained: DataFrame, path: str, fail_mode: str = "open") -> bool:
+    """Append chained rows as JSON lines, a folder a log, in order within the log; True if they are written.
+
+    Each call adds files of whole lines, so what an earlier writer left torn stays a line of its own. Where writing
+    fails, a log that fails ``open`` says so on standard error and returns False, one that fails ``closed`` raises
+    AuditWriteError (see the presets' ``fail_mode``).
     """
+    if fail_mode not in ("open", "closed"):
+        raise ValueError("fail_mode must be open or closed")
     ordered = chained.repartition("log_id").sortWithinPartitions("log_id", "line_no")
-    ordered.select("log_id", F.col("raw").alias("value")).write.partitionBy("log_id").mode("append").text(path)
+    try:
+        ordered.select("log_id", F.col("raw").alias("value")).write.partitionBy("log_id").mode("append").text(path)
+    except Exception as e:  # noqa: BLE001  whatever stops the write must not stop what is logged
+        if fail_mode == "closed":
+            raise AuditWriteError(str(e)) from e
+        print(f"wardline audit: log write failed (fail-open, not blocking): {e}", file=sys.stderr)
+        return False
+    return True
 
 
 def write_receipts(heads: DataFrame, path: str | None = None, shipper: Callable[[DataFrame], None] | None = None) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wardline.functions.shipping import ship
 from wardline.operators.audit import GENESIS, AnchorState, chained
 from wardline.plans.catalog import COUNTER_TTL_S
 
@@ -19,6 +21,7 @@ COUNTER = "session string, count bigint, first_seen_ts bigint, last_seen_ts bigi
 
 def chain_stream(entries: DataFrame) -> DataFrame:
     """Chained rows of a stream of ``log_id``, ``line_no``, ``fields``; a log's state is its head (seq, hash)."""
+    ship(entries.sparkSession)
 
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, head = state.get if state.exists else (0, GENESIS)
@@ -45,6 +48,7 @@ def count_sessions(seen: list[int], state: tuple[int, int, int] | None, ttl: int
 
 def count_stream(rows: DataFrame) -> DataFrame:
     """Updates of each session's counter for a stream of ``session``, ``at_s`` (seconds); idle state is dropped."""
+    ship(rows.sparkSession)
 
     def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -73,16 +77,43 @@ def session_counters(rows: DataFrame) -> DataFrame:
     return last.select("session", "x.count", "x.first_seen_ts", "x.last_seen_ts")
 
 
-def anchor_batches(state: dict[str, AnchorState], every_n: int, every_minutes: float, shipper: Callable[[int, str, str], None], clock: Callable[[], float] = time.monotonic) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch on chained rows: ships each log's head when it is due. ``state`` holds one entry a log."""
+def counter_snapshot(counters: DataFrame, now_s: int, ttl: int = COUNTER_TTL_S) -> DataFrame:
+    """Rows ``session`` and ``entry`` (JSON) of the counters that have been touched within the TTL, for a file that outlives the stream."""
+    return counters.where(F.col("last_seen_ts") > F.lit(now_s) - ttl).select("session", F.to_json(F.struct("count", "first_seen_ts", "last_seen_ts")).alias("entry"))
 
-    def run(batch: DataFrame, _: int) -> None:
-        # a row a log and batch: its newest head
-        heads = batch.groupBy("log_id").agg(F.max(F.struct("seq", "entry_hash", F.get_json_object("raw", "$.ts").alias("ts"))).alias("h"))
-        for r in heads.toLocalIterator():
-            own = state.setdefault(r["log_id"], AnchorState(every_n, every_minutes))
-            now = clock()
-            if own.due(r["h"]["seq"], now):
-                own.ship((r["h"]["seq"], r["h"]["entry_hash"], r["h"]["ts"] or ""), now, shipper)
 
-    return run
+def anchor_stream(chain_rows: DataFrame, every_n: int, every_minutes: float, shipper: Callable[[int, str, str], None], clock: Callable[[], float] = time.time) -> DataFrame:
+    """Ships the heads of a stream of chained rows when they are due; a row a due head and attempt.
+
+    ``log_id``, ``seq``, ``entry_hash``, ``status`` (``anchored``, ``failed`` for the first failure of a streak, ``failed
+    again``) and ``entry``, the fields of the error row that the first failure owes the log. The cadence is the log's
+    state, so a restarted stream goes on where it was; the shipper, sent to the executors, sees each head at least once.
+    """
+    AnchorState(every_n, every_minutes)
+    ship(chain_rows.sparkSession)
+
+    def step(key: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = AnchorState(every_n, every_minutes)
+        if state.exists:
+            own.seq, at, own.gap = state.get
+            own.at = None if at is None or at != at else at
+        out = []
+        for r in pd.concat(list(parts)).sort_values("seq").itertuples(index=False):
+            now, error = clock(), []
+            if own.due(r.seq, now):
+
+                def tried(*head: object) -> None:
+                    try:
+                        shipper(*head)
+                    except Exception as e:
+                        error.append(type(e).__name__)
+                        raise
+
+                status = own.ship((r.seq, r.entry_hash, r.ts or ""), now, tried)
+                fields = json.dumps({"action": "audit.anchor", "target": "<shipper>", "outcome": "error", "details": {"anchor_seq": r.seq, "error": error[0]}}) if status == "failed" else None
+                out.append((key[0], r.seq, r.entry_hash, status, fields))
+        state.update((own.seq, own.at, own.gap))
+        yield pd.DataFrame(out, columns=["log_id", "seq", "entry_hash", "status", "entry"])
+
+    rows = chain_rows.select(F.col("log_id").cast("string").alias("log_id"), "seq", "entry_hash", F.get_json_object("raw", "$.ts").alias("ts"))
+    return rows.groupBy("log_id").applyInPandasWithState(step, "log_id string, seq bigint, entry_hash string, status string, entry string", "seq bigint, at double, gap boolean", "append", GroupStateTimeout.NoTimeout)
