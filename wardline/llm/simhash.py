@@ -36,8 +36,8 @@ OPEN = 8_192
 _SEED = 42
 #: near_dedup()'s MinHash keys of a text, and the smallest shingles that make one.
 BANDS, ROWS = 24, 4
-#: Places of a sketch (those of the keys, and as many more), how many agree in texts that may be near, and its integers.
-PLACES, LIKELY = 2 * BANDS * ROWS, 124
+#: Places of a sketch (those of the keys, and twice as many more), how many agree in texts that may be near, and its integers.
+PLACES, LIKELY = 3 * BANDS * ROWS, 195
 SKETCH = -(-PLACES // 7)
 
 
