@@ -165,6 +165,20 @@ def test_vetting_budgets(spark, monkeypatch):
     assert sorted((r.root, r.path, r.category) for r in vetting.findings(files).collect()) == [("s", "a.py", "CRYPTO_MINE")] * 2 + [("s", "b.py", "UNSCANNED"), ("t", "a.py", "CRYPTO_MINE")]
 
 
+def test_words_that_patterns_need():
+    """Whatever a pattern matches holds one of the words that let it be tried."""
+    import re
+
+    def plain(p):  # literal characters of a pattern; what may vary is a gap
+        return re.sub(r"\\s[*+]|\\b", "\0", p).replace("\\", "").lower()
+
+    for *_, patterns in vetting.CATEGORIES:
+        for p in patterns:
+            assert any(w in plain(p) for w in vetting.CODE_WORDS), p
+    for p in vetting.INJECTION[3]:
+        assert any(w in plain(p) for w in vetting.INJECTION_WORDS), p
+
+
 def test_vetting_plan(spark):
     """One pass that sees sizes and one over the texts."""
     spark.createDataFrame([("r", "a.py", "x")], "root string, path string, text string").createOrReplaceTempView("tree_files")

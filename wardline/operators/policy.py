@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardline.functions.rules import NATIVE_CHARS, let
+from wardline.functions.rules import NATIVE_CHARS, folded, has_any, let
 from wardline.functions.shipping import ship
 from wardline.operators.guards import normalize_path
 from wardline.plans.catalog import DECISION_OF_REASON, DENY, FLAT_SECRET, MAX_CHARS, SAME_CHARS, TARGET_CHARS, Names, linear_secret_pattern
@@ -73,6 +73,8 @@ def is_self_repair(raw: Column, home: str | None = None, names: Names = Names(),
 
 # --- redaction -----------------------------------------------------------------------------------
 
+#: One of these, in lower case, is in whatever is redacted.
+SECRET_WORDS = ("token", "key", "secret", "password", "cred", "authorization")
 _SECRET = re.compile(linear_secret_pattern(), re.IGNORECASE)
 
 
@@ -86,7 +88,9 @@ def redact(raw: Column) -> Column:
         return texts.map(lambda t: None if t is None else _SECRET.sub("<redacted>", t))
 
     text = F.coalesce(raw, F.lit("None"))
+    named = has_any(folded(text), SECRET_WORDS)
     own = (F.length(text) <= MAX_CHARS) & ~text.rlike(f"[^{SAME_CHARS}]")  # the flat pattern does not recurse
     plain = F.regexp_replace(text, "(?id)" + FLAT_SECRET, "<redacted>")
-    out = F.when(own, plain).otherwise(elsewhere(F.when(~own, text)))
+    # the function answers what it is asked, which is null where it is not
+    out = F.coalesce(elsewhere(F.when(named & ~own, text)), F.when(named, plain).otherwise(text))
     return F.when(F.length(out) > TARGET_CHARS, F.concat(F.substring(out, 1, TARGET_CHARS - 3), F.lit("..."))).otherwise(out)
