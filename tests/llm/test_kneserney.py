@@ -4,6 +4,7 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from wardline.llm import kneserney
@@ -92,3 +93,16 @@ def test_query_counts_trigrams(spark, tmp_path):
     for i, t in rows[:2] + rows[-1:]:
         w = ["<s>", "<s>", *tokens(t)]
         assert got[i].score == pytest.approx(sum(math.log10(p(tuple(w[k : k + 3]))) for k in range(len(w) - 2)))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_hash_files(n):
+    """Every hash is found with its values, however large; others are not found."""
+    g = np.random.default_rng(n)
+    ranges = 16
+    h = np.unique(g.integers(0, 2**60, n, dtype=np.uint64)) | np.uint64(3 << 60)  # of one range
+    values = [g.integers(1, 4, len(h)), np.where(g.random(len(h)) < 0.1, g.integers(250, 2**40, len(h)), 7)]
+    file = kneserney.HashFile(np.frombuffer(kneserney.array_file(h, values, ranges) + b"\n", np.uint8), ranges)
+    assert (file.find(h) == np.arange(len(h))).all()
+    assert all((file.value(k, np.arange(len(h))) == v).all() for k, v in enumerate(values))
+    assert (file.find(h ^ np.uint64(1 << 40)) == -1).all()

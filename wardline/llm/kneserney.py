@@ -6,8 +6,8 @@ out by their hash (so a frequent word or context does not fill one task), and su
 n-grams of one order come its contexts' statistics and the continuation counts of the order below.
 
 Each order is a folder of raw files, one for each range of hashes. A file has its sorted hashes as a directory of
-their next bits, with BUCKET of them in an entry on average, and the 32 bits after those; then the values, integers
-of as few bytes as the file's largest needs. Spark writes the files to the shared folder; workers map those that
+their next bits, with BUCKET of them in an entry on average, and the 32 bits after those; then the values, a byte each,
+with a list of the few that need more. Spark writes the files to the shared folder; workers map those that
 they are asked for into memory, OPEN_FILES at most at a time, and look up sorted queries. Where that folder is not a
 mounted file system, Spark hands the files to each executor first (addFile), which needs local disk for the model.
 
@@ -68,30 +68,46 @@ def _slots(h: np.ndarray, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarra
 
 
 def array_file(h: np.ndarray, values: list[np.ndarray], ranges: int) -> bytes:
-    """The file of a range's sorted hashes and their values: n, the directory's bits and the values' widths, then all of those."""
+    """The file of a range's sorted hashes and their values.
+
+    n, the directory's bits and the number of values as u64; the directory and the hashes' 32 bits as u32; for each value
+    a byte each, 255 for those in its list: their number as u64, their places as u32, and they as u64.
+    """
     bits = max(0, (len(h) // BUCKET).bit_length() - 1)
     slot, tail = _slots(h, ranges, bits)
     directory = np.searchsorted(slot, np.arange((1 << bits) + 1)).astype("<u4")
-    narrow = [v.astype(np.min_scalar_type(int(v.max(initial=0)))) for v in values]
-    widths = bytes(v.itemsize for v in narrow).ljust(8, b"\0")
-    return struct.pack("<QQ", len(h), bits) + widths + directory.tobytes() + tail.tobytes() + b"".join(v.tobytes() for v in narrow)
+    out = [struct.pack("<3Q", len(h), bits, len(values)), directory.tobytes(), tail.tobytes()]
+    for v in values:
+        large = np.flatnonzero(v >= 255)
+        out += [np.minimum(v, 255).astype(np.uint8).tobytes(), struct.pack("<Q", len(large)), large.astype("<u4").tobytes(), v[large].astype("<u8").tobytes()]
+    return b"".join(out)
 
 
 class HashFile:
     """A file mapped into memory."""
 
     def __init__(self, raw: np.ndarray, ranges: int):
-        self.n, self.bits = (int(x) for x in raw[:16].view("<u8"))
-        self.ranges, at = ranges, 24
-        self.directory = raw[at : at + 4 * ((1 << self.bits) + 1)].view("<u4")
-        at += self.directory.nbytes
-        self.tail = raw[at : at + 4 * self.n].view("<u4")
-        at += self.tail.nbytes
+        self.raw, self.at, self.ranges = raw, 0, ranges
+        self.n, self.bits, columns = (int(x) for x in self._next(3, "<u8"))
+        self.directory, self.tail = self._next((1 << self.bits) + 1, "<u4"), self._next(self.n, "<u4")
         self.values = []
-        for width in raw[16:24].tolist():
-            if width:
-                self.values.append(raw[at : at + width * self.n].view(f"<u{width}"))
-                at += width * self.n
+        for _ in range(columns):
+            small = self._next(self.n, "u1")
+            (large,) = self._next(1, "<u8").tolist()
+            self.values.append((small, self._next(large, "<u4"), self._next(large, "<u8")))
+
+    def _next(self, n: int, kind: str) -> np.ndarray:
+        size = n * np.dtype(kind).itemsize
+        self.at += size
+        return self.raw[self.at - size : self.at].view(kind)
+
+    def value(self, column: int, places: np.ndarray) -> np.ndarray:
+        small, where, large = self.values[column]
+        out = small[places].astype(np.int64)
+        more = np.flatnonzero(out == 255)
+        if len(more):
+            out[more] = large[np.searchsorted(where, places[more])]
+        return out
 
     def find(self, q: np.ndarray) -> np.ndarray:
         """The places of hashes, -1 where they are absent."""
@@ -137,8 +153,8 @@ class HashArrays:
             at = file.find(q[a:b])
             hit = at >= 0
             place[a:b][hit] = at[hit] + self.before[r]
-            for o, c in zip(out, file.values):
-                o[a:b][hit] = c[at[hit]]
+            for k, o in enumerate(out):
+                o[a:b][hit] = file.value(k, at[hit])
         return place, out
 
     def get(self, q: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -267,26 +283,27 @@ def _padded(ids: np.ndarray, first: np.ndarray, end: np.uint64, order: int) -> t
     return [flat[at - k] for k in range(order - 1, -1, -1)], tokens
 
 
-_GRAMS = {"range": pa.int32(), "ids": pa.list_(pa.binary()), "c": pa.binary()}
-_GRAM_SCHEMA = "range int, ids array<binary>, c binary"
+_GRAMS = {"range": pa.int32(), "ids": pa.list_(pa.binary()), "c": pa.list_(pa.binary())}
+_GRAM_SCHEMA = "range int, ids array<binary>, c array<binary>"
 
 
-def _gram_rows(columns: list[np.ndarray], c: np.ndarray, ranges: int) -> tuple[dict[str, list], np.ndarray]:
-    """Rows for each range of hashes, the grams summed by hash."""
-    h = gram_hashes(columns)
-    u, first, back = np.unique(h, return_index=True, return_inverse=True)
-    c = np.bincount(back, c).astype(np.uint64)
+def _gram_rows(columns: list[np.ndarray], values: list[np.ndarray], ranges: int) -> dict[str, list]:
+    """Rows for each range of hashes, the values of equal grams summed."""
+    u, first, back = np.unique(gram_hashes(columns), return_index=True, return_inverse=True)
+    sums = [np.bincount(back, v).astype(np.uint64) for v in values]
     cuts = _cuts(u, ranges)
     some = np.flatnonzero(np.diff(cuts))
     # in a range by their first words, which then take few bytes
     order = np.lexsort((*[x[first] for x in columns[1::-1]], np.repeat(np.arange(ranges), np.diff(cuts))))
-    columns, c = [x[first[order]] for x in columns], c[order]
-    return {"range": some, "ids": [[pack(x[cuts[r] : cuts[r + 1]], k == 0) for k, x in enumerate(columns)] for r in some], "c": [pack(c[cuts[r] : cuts[r + 1]], False) for r in some]}, u
+    columns, sums = [x[first[order]] for x in columns], [v[order] for v in sums]
+    packed = lambda parts, r, ascending: [pack(x[cuts[r] : cuts[r + 1]], ascending and k == 0) for k, x in enumerate(parts)]
+    return {"range": some, "ids": [packed(columns, r, True) for r in some], "c": [packed(sums, r, False) for r in some]}
 
 
-def _read_grams(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+def _read_grams(rows: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
     ids = [[unpack(b, "<u8", k == 0) for k, b in enumerate(row)] for row in rows.column("ids").to_pylist()]
-    return [np.concatenate(x) for x in zip(*ids)], np.concatenate([unpack(b, "<u8", False) for b in rows.column("c").to_pylist()])
+    values = [[unpack(b, "<u8", False) for b in row] for row in rows.column("c").to_pylist()]
+    return [np.concatenate(x) for x in zip(*ids)], [np.concatenate(x) for x in zip(*values)]
 
 
 def _grams(docs: DataFrame, vocabulary_path: str, word_sizes: np.ndarray, ranges: int, order: int) -> DataFrame:
@@ -298,7 +315,7 @@ def _grams(docs: DataFrame, vocabulary_path: str, word_sizes: np.ndarray, ranges
 
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*parts)]
-            return _rows(_gram_rows(columns, np.ones(len(columns[0])), ranges)[0], _GRAMS)
+            return _rows(_gram_rows(columns, [np.ones(len(columns[0]))], ranges), _GRAMS)
 
         for _, texts in doc_chunks(batches):
             h, first = hashed_words([t.lower() for t in texts])
@@ -320,28 +337,23 @@ def _count_grams(grams: DataFrame, order: int, ranges: int, path: str) -> None:
     def merge(rows: pa.Table) -> pa.Table:
         import pickle
 
-        columns, c = _read_grams(rows)
+        columns, (c,) = _read_grams(rows)
         u, first, back = np.unique(gram_hashes(columns), return_index=True, return_inverse=True)
-        c = np.bincount(back, c)
+        c = np.bincount(back, c).astype(np.int64)
         columns = [x[first] for x in columns]
         stat = [int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), int(c.sum())]
         out = [("counts", array_file(u, [c], ranges)), ("stats", json.dumps(stat).encode())]
         if order > 1:
-            prefix, at = np.unique(gram_hashes(columns[:-1]), return_inverse=True)
-            sums = [np.bincount(at, w).astype(np.uint64) for w in (c, c == 1, c == 2, c >= 3)]
-            cuts = _cuts(prefix, ranges)
-            out.append(("contexts", pickle.dumps([(int(r), pack(prefix[cuts[r] : cuts[r + 1]]), [pack(s[cuts[r] : cuts[r + 1]], False) for s in sums]) for r in np.flatnonzero(np.diff(cuts))])))
             # a suffix at the start of a text can't be preceded by other words: its own count stands
-            weight = np.where(columns[1] == START, c, 1)
-            below, _ = _gram_rows(columns[1:], weight, ranges)
-            out.append(("suffixes", pickle.dumps([(int(r), i, x) for r, i, x in zip(below["range"], below["ids"], below["c"])])))
+            below = {"contexts": _gram_rows(columns[:-1], [c, c == 1, c == 2, c >= 3], ranges), "suffixes": _gram_rows(columns[1:], [np.where(columns[1] == START, c, 1)], ranges)}
+            out += [(kind, pickle.dumps([(int(r), i, x) for r, i, x in zip(part["range"], part["ids"], part["c"])])) for kind, part in below.items()]
         r = rows.column("range")[0].as_py()
         return pa.table({"kind": [k for k, _ in out], "range": pa.array([r] * len(out), pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
 
     raw_files(grams.groupBy("range").applyInArrow(merge, "kind string, range int, data binary"), "data", "kind", "range", path=path)
 
 
-def _sent(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+def _sent(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """The rows that the tasks of _count_grams() left for the next deal."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,23 +362,21 @@ def _sent(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
         for batch in batches:
             for data in batch.column("content").to_pylist():
                 rows = pickle.loads(data)  # written by this job a step before
-                columns = {"range": [r[0] for r in rows], ("h" if kind == "contexts" else "ids"): [r[1] for r in rows], "c": [r[2] for r in rows]}
-                yield _rows(columns, {"range": pa.int32(), "h": pa.binary(), "c": pa.list_(pa.binary())} if kind == "contexts" else _GRAMS)
+                yield _rows({k: [r[i] for r in rows] for i, k in enumerate(_GRAMS)}, _GRAMS)
 
-    return spark.read.format("binaryFile").load(f"{path}/kind={kind}/*/*.txt").select("content").mapInArrow(read, schema)
+    return spark.read.format("binaryFile").load(f"{path}/kind={kind}/*/*.txt").select("content").mapInArrow(read, _GRAM_SCHEMA)
 
 
 def _count_contexts(spark: SparkSession, path: str, to: str, ranges: int) -> None:
     """Files of contexts: hash, the total of their counts, and how many n-grams that begin with them have counts 1, 2 and more."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        h = np.concatenate([unpack(b, "<u8") for b in rows.column("h").to_pylist()])
-        u, back = np.unique(h, return_inverse=True)
-        parts = rows.column("c").to_pylist()
-        sums = [np.bincount(back, np.concatenate([unpack(p[k], "<u8", False) for p in parts])).astype(np.int64) for k in range(4)]
+        columns, values = _read_grams(rows)
+        u, back = np.unique(gram_hashes(columns), return_inverse=True)
+        sums = [np.bincount(back, v).astype(np.int64) for v in values]
         return pa.table({"range": pa.array([rows.column("range")[0].as_py()], pa.int32()), "data": pa.array([array_file(u, sums, ranges)], pa.binary())})
 
-    raw_files(_sent(spark, path, "contexts", "range int, h binary, c array<binary>").groupBy("range").applyInArrow(merge, "range int, data binary"), "data", "range", path=to)
+    raw_files(_sent(spark, path, "contexts").groupBy("range").applyInArrow(merge, "range int, data binary"), "data", "range", path=to)
 
 
 def fit(training: DataFrame, order: int = 2) -> Model:
@@ -396,7 +406,7 @@ def fit(training: DataFrame, order: int = 2) -> Model:
             _count_contexts(spark, f"{path}-order{k}", f"{path}-contexts{k}", ranges)
             remove(spark, f"{path}-order{k}/kind=contexts")
             collect_garbage(spark)
-            grams = _sent(spark, f"{path}-order{k}", "suffixes", _GRAM_SCHEMA)
+            grams = _sent(spark, f"{path}-order{k}", "suffixes")
     d = found[1]
     return Model(path, order, word_ranges, sizes, ranges, tokens, int(sizes.sum()), found, float(total), (d[0] * n1 + d[1] * n2 + d[2] * more) / total)
 
@@ -408,7 +418,7 @@ def _vocabulary_size(spark: SparkSession, path: str, ranges: int) -> tuple[np.nd
         for batch in batches:
             for r, data in zip(batch.column("range").to_pylist(), batch.column("content")):
                 file = HashFile(np.frombuffer(data.as_buffer(), np.uint8), ranges)
-                yield _rows({"range": [r], "words": [file.n], "tokens": [int(file.values[0].sum(dtype=np.uint64))]}, {"range": pa.int32(), "words": pa.int64(), "tokens": pa.int64()})
+                yield _rows({"range": [r], "words": [file.n], "tokens": [int(file.value(0, np.arange(file.n)).sum())]}, {"range": pa.int32(), "words": pa.int64(), "tokens": pa.int64()})
 
     files = spark.read.format("binaryFile").load(f"{path}/*/*.txt").select(F.regexp_extract("path", r"range=(\d+)", 1).cast("int").alias("range"), "content")
     sizes, tokens = np.zeros(ranges, np.int64), 0
