@@ -68,6 +68,16 @@ EVENTS_B = [
     ('{"toolName": "x", "params": {"command": "git reset --hard"}}', "ask", "git_destructive"), ('{"params": {"filePath": "a.pem"}}', "ask", "key_cert"), ('{"params": {"command": 1, "path": ".openclaw/.env"}}', "deny", "openclaw_env"),
     ('{"derivedPaths": ["x/.claude/settings.json"]}', "deny", "claude_settings_json"), ("{}", "allow", None), ("", "allow", None),
 ]
+#: JSON held against SHAPE's schema, and its errors.
+SHAPED = [
+    ('{"tags": ["a", "b"], "who": 7, "mode": "fast", "sizes": {"x": 1}, "code": "ab"}', ""),
+    ('{"tags": [], "who": "me", "mode": 2, "sizes": {}, "code": "abc"}', "$.tags: length 0 below minimum 1"),
+    ('{"tags": ["a", 2], "who": null, "mode": "slow", "sizes": {"z": "1", "a": true}, "code": "Ab"}', "$.tags[1]: expected string, got integer|$.who: expected one of (integer | string), got null|$.mode: 'slow' is not an allowed value (expected one of ['fast', 2])|$.sizes.a: expected integer, got boolean|$.sizes.z: expected integer, got string|$.code: does not match required pattern"),
+    ('{"tags": "a", "who": 1.5, "sizes": [1]}', "$.tags: expected array, got string|$.who: expected one of (integer | string), got number|$.mode: missing required key|$.sizes: expected object, got array"),
+    ('{"tags": ["a", "b", "c", "d"], "who": 1, "mode": "fast", "sizes": {}, "code": "abcde", "more": 1}', "$.tags: length 4 above maximum 3|$.code: length 5 above maximum 4|$.more: unexpected key"),
+    ('[1]', "$: expected a JSON object, got array"),
+    ('{"tags": ', "$: invalid JSON"),
+]
 ANCHOR_EVERY = 5
 
 
@@ -332,6 +342,15 @@ def _enforced_sql() -> str:
         SELECT event_id, errors = '' AS ok, errors, CASE WHEN errors = '' THEN v ELSE -1 END AS k FROM y"""
 
 
+def shaped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, maps, unions, literals and constraints."""
+    from typing import Literal
+
+    schema = shapes.Schema({"tags": shapes.Field(list[str], min_len=1, max_len=3), "who": int | str, "mode": Literal["fast", 2], "sizes": dict[str, int], "code": shapes.Field(str, default="none", pattern="[a-z]+", max_len=4)})
+    rows = _read(spark, sf_dir, "events").select("event_id", _pick(F.col("event_id"), [j for j, _ in SHAPED]).alias("j"))
+    return rows.select("event_id", shapes.enforce(F.col("j"), schema).alias("e")).select("event_id", "e.ok", F.array_join("e.errors", "|").alias("errors"))
+
+
 def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id") * 31 + F.col("turn")).withColumn("j", _pick(F.col("key"), [j for j, _, _ in EMBEDDED]))
     calm = F.replace("text", F.lit("{"), F.lit("("))
@@ -494,6 +513,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "vet_verdicts": (vet_verdicts, _verdicts_sql()),
     "typosquats": (typosquats, _typosquats_sql()),
     "enforced_props": (enforced_props, _enforced_sql()),
+    "shaped_values": (shaped_values, f"SELECT event_id, errors = '' AS ok, errors FROM events JOIN {_values([(i, e) for i, (_, e) in enumerate(SHAPED)], 'id, errors')} ON event_id % {len(SHAPED)} = id"),
     "embedded_json": (embedded_json, _embedded_sql()),
     "audit_chain": (audit_chain, _chain_sql("SELECT user_id AS log_id, n AS seq, prev_hash, h AS entry_hash FROM c")),
     "audit_verify": (audit_verify, _verify_sql()),
