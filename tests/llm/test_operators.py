@@ -394,6 +394,14 @@ def test_tables_of_pre_tokens(monkeypatch):
             assert list(a) == b.ids, repr(t)
 
 
+def test_clashing_names_and_hostile_rows(docs):
+    found = langid.language_id(docs)
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score", "coverage"] and found.count() == len(TEXTS)
+    assert langid.accepted(docs, langid.trained(docs)).columns == docs.columns
+    assert by_row(r.doc_id for r in secrets.secret_digest(docs).collect()) == by_row(i for i, _ in TEXTS)
+    assert secrets.secret_spans(docs).count() == len(TEXTS)
+
+
 def plain_links(text):
     """The weak parts of a text that are linked, all pairs held against each other."""
     base, short = secrets.base_spans(text)
