@@ -29,7 +29,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +162,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.sizes, self.first, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.sizes, self.first, self.ids, self.n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"), 0
 
     @classmethod
     def of(cls, spec: str) -> Encoder:
@@ -181,7 +181,7 @@ class Encoder:
         for w in words:
             (plain if self.spaced.fullmatch(w) else rest).append(w)
         # words that begin with a space are pre-tokens one by one in a line of many, which costs the library less
-        sizes, ids, done = [], [self.ids], []
+        sizes, ids, done = [], [], []
         for i in range(0, len(plain), LINE_WORDS):
             line = plain[i : i + LINE_WORDS]
             e = self.tokenizer.encode("".join(line), add_special_tokens=False)
@@ -194,10 +194,18 @@ class Encoder:
             done += line
         parts = self._whole(rest)
         words = done + rest
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
-        self.sizes = np.concatenate([self.sizes, *sizes, np.array([len(p) for p in parts], np.int64)])
-        self.ids = np.concatenate([*ids, *parts])
-        self.first = np.cumsum(self.sizes) - self.sizes
+        sizes, ids = np.concatenate([*sizes, np.array([len(p) for p in parts], np.int64)]), np.concatenate([np.zeros(0, "<u4"), *ids, *parts])
+        n, upto = len(self.place), self.n_ids + len(ids)
+        self.place.update(zip(words, range(n, n + len(words))))
+        # room for as much again, so that few calls move what is there
+        if n + len(words) > len(self.sizes):
+            self.sizes, self.first = (np.concatenate([x[:n], np.zeros(n + 2 * len(words), np.int64)]) for x in (self.sizes, self.first))
+        if upto > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(upto + len(ids), "<u4")])
+        self.sizes[n : n + len(words)] = sizes
+        self.first[n : n + len(words)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.ids[self.n_ids : upto] = ids
+        self.n_ids = upto
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         apart = [self.apart and _RARE.search(t) is None and not any(s in t for s in self.special) for t in texts]
@@ -206,11 +214,10 @@ class Encoder:
         if len(self.place) > TABLE_ROWS:
             self._clear()
         flat = list(chain.from_iterable(found))
-        places = list(map(self.place.get, flat))
-        if None in places:
-            self._learn(list({w: 0 for w, k in zip(flat, places) if k is None}))
-            places = [self.place[w] if k is None else k for w, k in zip(flat, places)]
-        words = np.fromiter(places, np.int64, len(places))
+        words = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(new := np.flatnonzero(words < 0).tolist()):
+            self._learn(list(dict.fromkeys(flat[k] for k in new)))
+            words[new] = [self.place[flat[k]] for k in new]
         sizes = self.sizes[words]
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[words] - (ends - sizes), sizes)
