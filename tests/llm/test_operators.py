@@ -595,6 +595,52 @@ def test_near_dedup_against_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in root.items() if i == r)
 
 
+@pytest.mark.parametrize("rows", [4_096, 40])
+def test_near_dedup_candidates_are_simhash_prints(spark, rows, monkeypatch):
+    """The prints against their definition, and the index of their heads against all pairs, also with divided groups."""
+    monkeypatch.setattr(simhash, "WIDE_ROWS", rows)
+    monkeypatch.setattr(simhash, "WIDE_LEAF", 8)
+    g = np.random.default_rng(5)
+    sets = [g.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 2, 5, 254, 255, 256, 700)]
+    prints = simhash.wide_prints(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for x, got in zip(sets, prints):
+        for k in range(simhash.WORDS):
+            words = simhash.mix(x + simhash.mix(np.full(1, k + 1, np.uint64)))
+            assert int(got[k]) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in words) > len(words))
+    base = g.integers(0, 2**63, (30, simhash.WORDS), dtype=np.uint64)
+    near = np.repeat(base, 20, axis=0)
+    for k in range(len(near)):  # copies with up to 300 of 1,024 bits changed, so heads on both sides of the limit
+        for b in g.choice(1024, g.integers(0, 300), replace=False):
+            near[k, b // 64] ^= np.uint64(1 << int(b % 64))
+    nodes = spark.createDataFrame([(k, k % 7 if k % 3 else k, x.view(np.int64).tolist()) for k, x in enumerate(near)], "whole bigint, root bigint, print array<bigint>")
+    root = [k % 7 if k % 3 else k for k in range(len(near))]
+    heads = near[:, : simhash.HEAD]
+    parts = np.ascontiguousarray(heads).view(np.uint8)
+    want = {(i, j) for i in range(len(near)) for j in range(i + 1, len(near)) if root[i] != root[j] and (parts[i] == parts[j]).any() and np.bitwise_count(heads[i] ^ heads[j]).sum() <= simhash.HEAD_BITS}
+    met = [tuple(r) for r in simhash.near_heads(nodes, nearest=False).collect()]
+    assert len(met) == len(set(met)) and set(met) <= want
+    if rows == 4_096:
+        assert set(met) == want
+    else:  # a divided group has those pairs that agree on two parts
+        assert set(met) >= {(i, j) for i, j in want if (parts[i] == parts[j]).sum() > 1}
+    first = {tuple(r) for r in simhash.near_heads(nodes, nearest=True).collect()}
+    assert {tuple(sorted(p)) for p in first} <= want and {x for x, _ in first} >= {k for p in met for k in p}
+
+
+def test_near_prints_recall():
+    """Pairs of sets at a similarity of just 0.8: their heads meet in the index and their whole prints are near."""
+    g = np.random.default_rng(8)
+    for common, a, b in ((8, 1, 1), (12, 0, 3), (36, 0, 9), (80, 10, 10), (400, 0, 100), (400, 50, 50)):
+        h = g.integers(0, 2**63, (300, common + a + b), dtype=np.uint64)
+        ends = [simhash.wide_prints(x.reshape(-1), np.arange(301) * x.shape[1]) for x in (h[:, : common + a], np.delete(h, np.s_[common : common + a], axis=1))]
+        x, y = ends
+        differ = np.bitwise_count(x ^ y).sum(axis=1)
+        assert (differ <= (simhash.NEAR_BITS if common + min(a, b) >= simhash.MANY else simhash.NEAR_BITS_SHORT)).all()
+        x, y = (np.ascontiguousarray(e[:, : simhash.HEAD]) for e in ends)
+        assert (np.bitwise_count(x ^ y).sum(axis=1) <= simhash.HEAD_BITS).all()
+        assert (x.view(np.uint8) == y.view(np.uint8)).any(axis=1).mean() > 0.995
+
+
 def test_templates_of_any_case():
     item = "a train leaves Paris at 9 and drives 120 km in 2 hours so how fast does the train from Paris go"
     numbers = "7 19 23 4 88 61 5 301 42 96 13 77 250 8 64 31"
