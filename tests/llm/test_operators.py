@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wardline.llm import directcodes, langid, lineruns, passages, postings, secrets, sentencepieces, simhash, templates
@@ -556,6 +557,23 @@ def test_neighbours_with_repeated_ids_and_names(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(20, 1, 21)]
 
 
+def test_direct_codes_table_stays_small():
+    """A worker's table is halved, keeps what was met first and gives the library's ids; texts go in runs of few bytes."""
+    encoder = directcodes.Encoder(open(f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8").read())
+    most = 0
+    for k in range(12):
+        text = "the first words " + " ".join(f"{chr(97 + k)}{i}" if i % 2 else f"{chr(97 + k)}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}{i // 1000 * 'q'}" for i in range(60_000))
+        got = encoder.encode([text, "the first words"])
+        most = max(most, len(encoder.place))
+        assert got[1].tolist() == encoder.tokenizer.encode("the first words").ids
+        assert k not in (0, 5, 11) or got[0].tolist() == encoder.tokenizer.encode(text).ids
+    assert "the" in encoder.place and most <= 500_000
+    texts = pa.array(["a" * 900_000] * 5 + [None] * 1_200 + ["b" * 3_000_000, ""])
+    runs = list(directcodes._runs(texts))
+    assert [i for i, _ in runs] == [0, *[j for _, j in runs[:-1]]] and runs[-1][1] == len(texts)
+    assert all(j - i == 1 or j - i <= directcodes.RUN_ROWS and sum(len(t or "") for t in texts[i:j].to_pylist()) <= directcodes.RUN_BYTES for i, j in runs)
+
+
 def test_near_dedup_joins_links(spark):
     rows = [(i, prose(120)) for i in range(20)]
     rows += [(100 + i, t.upper()) for i, t in rows[:10]] + [(200 + i, t.replace(" ", "  \n")) for i, t in rows[5:15]] + [(300, rows[3][1].rsplit(" ", 1)[0])]

@@ -29,10 +29,11 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +41,23 @@ from wardline.llm.common import new_path, raw_files
 
 MAGIC = 0x3343414457  # "WDAC3"
 #: Characters of text that go to one range of doc_ids, and tokens after which a range starts another file.
-RANGE_CHARS, FILE_TOKENS = 16 << 20, 8 << 20
+RANGE_CHARS, FILE_TOKENS = 8 << 20, 4 << 20
 _BLOCK = 512
-#: Characters beyond which a text is encoded whole, and distinct pre-tokens that a worker's table holds.
+#: Characters beyond which a text is encoded whole, and distinct pre-tokens beyond which a worker's table is halved.
 _RARE = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]")
-TABLE_ROWS = 700_000
+TABLE_ROWS = 400_000
 #: Words that the library encodes at a time.
 LINE_WORDS = 2_000
+#: Texts that are encoded at a time, and their bytes (a longer text is alone).
+RUN_ROWS, RUN_BYTES = 500, 2 << 20
 
 
 def encode_file(doc_ids: np.ndarray, starts: np.ndarray, ids: np.ndarray, without: int = 0) -> bytes:
     """The file of ``ids``; document k has ``ids[starts[k]:starts[k + 1]]``, and the last ``without`` have no doc_id."""
-    count = np.bincount(ids)  # as long as the vocabulary
+    count = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    for k in range(0, len(ids), 1 << 18):  # bincount() copies what it counts to longer integers
+        part = np.bincount(ids[k : k + (1 << 18)])  # as long as the vocabulary
+        count[: len(part)] += part
     names = np.flatnonzero(count)
     by_count = np.argsort(-count[names], kind="stable")
     code = np.zeros(len(count), np.uint32)
@@ -158,11 +164,15 @@ class Encoder:
         self.apart = model["type"] == "BPE" and parts["pre_tokenizer"] == split and not any(options)
         self.pattern = _pre_tokens()
         self.spaced = re.compile(f" [{_kinds('L')}]+")
-        self._clear()
-
-    def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.sizes, self.first, self.ids, self.n_ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"), 0
+        self.sizes, self.first, self.ids, self.n_ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<u4"), 0
+
+    def _shrink(self) -> None:
+        """Keep the pre-tokens that were met first, which are the most frequent, and forget as many others."""
+        n = TABLE_ROWS // 2
+        self.n_ids = int(self.first[n])
+        self.place = dict(islice(self.place.items(), n))
+        self.sizes, self.first, self.ids = self.sizes[:n].copy(), self.first[:n].copy(), self.ids[: self.n_ids].copy()
 
     @classmethod
     def of(cls, spec: str) -> Encoder:
@@ -199,7 +209,7 @@ class Encoder:
         self.place.update(zip(words, range(n, n + len(words))))
         # room for as much again, so that few calls move what is there
         if n + len(words) > len(self.sizes):
-            self.sizes, self.first = (np.concatenate([x[:n], np.zeros(n + 2 * len(words), np.int64)]) for x in (self.sizes, self.first))
+            self.sizes, self.first = (np.concatenate([x[:n], np.zeros(n + 2 * len(words), np.int32)]) for x in (self.sizes, self.first))
         if upto > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(upto + len(ids), "<u4")])
         self.sizes[n : n + len(words)] = sizes
@@ -212,13 +222,13 @@ class Encoder:
         others = iter(self._whole([t for t, ok in zip(texts, apart) if not ok]))
         found = [self.pattern.findall(t) if ok else [] for t, ok in zip(texts, apart)]
         if len(self.place) > TABLE_ROWS:
-            self._clear()
+            self._shrink()
         flat = list(chain.from_iterable(found))
         words = np.fromiter(map(self.place.get, flat, repeat(-1)), np.int64, len(flat))
         if len(new := np.flatnonzero(words < 0).tolist()):
             self._learn(list(dict.fromkeys(flat[k] for k in new)))
             words[new] = [self.place[flat[k]] for k in new]
-        sizes = self.sizes[words]
+        sizes = self.sizes[words].astype(np.int64)
         ends = np.cumsum(sizes)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[words] - (ends - sizes), sizes)
         ids = self.ids[at].astype("<u4")
@@ -226,6 +236,19 @@ class Encoder:
         return [ids[a:b] if ok else next(others) for a, b, ok in zip(upto[:-1], upto[1:], apart)]
 
 
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where the runs of texts begin and end that are encoded at a time."""
+    sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
+    i = 0
+    while i < len(sizes):
+        j, size = i + 1, sizes[i]
+        while j < len(sizes) and j - i < RUN_ROWS and size + sizes[j] <= RUN_BYTES:
+            size += sizes[j]
+            j += 1
+        yield i, j
+        i = j
+
+
 def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
     """Encode ``docs(doc_id, text)`` and write the files below ``path``, in ascending doc_id order."""
     spark = docs.sparkSession
@@ -251,8 +274,8 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
 
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
+            for i, j in _runs(batch.column("text")):
+                rows = batch.slice(i, j - i)
                 for d, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode([t or "" for t in rows.column("text").to_pylist()])):
                     doc_ids.append(d)
                     parts.append(np.concatenate([ids, end]))
@@ -262,6 +285,7 @@ def write_codes(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) ->
                         doc_ids, parts, tokens, shard = [], [], 0, shard + 1
         if doc_ids:
             yield file()
+        pa.default_memory_pool().release_unused()
 
     raw_files(dealt.select("doc_id", "text").mapInArrow(run, "shard bigint, tokens bigint, data binary"), "data", "shard", "tokens", path=path)
 
