@@ -3,7 +3,7 @@
 A chunk is a run of whitespace markers with the characters up to the next marker. Where no piece of
 the model has a marker behind another character, no merge crosses a chunk's start, so a text's ids are
 its chunks' ids in order: each distinct chunk is segmented once (a table that a worker keeps, bounded
-by TABLE_ROWS and started anew beyond it), and ids are joined back by position. A model that breaks
+by TABLE_ROWS and halved beyond it), and ids are joined back by position. A model that breaks
 the condition is served by whole texts.
 
 Null text: empty. An empty text has the end id alone. Every input row gives one row.
@@ -14,14 +14,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wardline.functions.shipping import ship
 
-#: Rows that a worker's chunk table holds at most; beyond it starts anew, which changes no result.
-TABLE_ROWS = 250_000
+#: Rows that a worker's chunk table holds at most between batches; beyond it is halved, which changes no result.
+TABLE_ROWS = 150_000
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -66,7 +67,8 @@ class Pieces:
     def learn(self, texts: list[list[str]]) -> None:
         """Segment the chunks of these texts that the table lacks."""
         if len(self.table) > TABLE_ROWS:
-            self.table.clear()
+            # the chunks met first are the most frequent
+            self.table = dict(islice(self.table.items(), TABLE_ROWS // 2))
         new = {c for t in texts for c in t}.difference(self.table)
         if "" in new:  # a marker alone: the library would take it for an empty text
             new.remove("")
