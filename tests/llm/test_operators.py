@@ -679,3 +679,57 @@ def test_single_lines_that_are_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {r.doc_id: r.text for r in lineruns.without_copies(docs).collect()}
     assert got == {1: long, 2: "", 3: "its own line\nanother line", 4: fifty, 5: fifty, 6: "x"}
+
+
+def test_near_misses_make_no_rows_of_pairs(spark, monkeypatch):
+    """A large group of texts of which most pairs are near, but not near enough: rows in proportion to the texts, and all links."""
+    g = random.Random(21)
+    base = [f"w{g.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for at in g.sample(range(300), g.choice((3, 5, 6, 6))):
+            w[at] = f"new{g.randrange(10**9)}"
+        rows.append((k, " ".join(w)))
+    parts = [{tuple(t.split()[j : j + 5]) for j in range(296)} for _, t in rows]
+    root, links, near = list(range(400)), 0, 0
+    for a in range(400):
+        for b in range(a):
+            common = len(parts[a] & parts[b])
+            near += common >= 0.6 * (592 - common)
+            if common >= 0.8 * (592 - common):
+                links += 1
+                least, most = sorted((root[a], root[b]))
+                root = [least if r == most else r for r in root]
+    assert near > 60_000 and 0 < links < 20_000 and len(set(root)) > 20
+    made, pairs, clusters = [], simhash._likely, simhash.near_clusters
+    monkeypatch.setattr(simhash, "_likely", lambda p, *a: made.append(p.count()) or pairs(p, *a))
+    monkeypatch.setattr(simhash, "near_clusters", lambda *a: made.append((c := clusters(*a)).count()) or c)
+    kept = sorted(r.doc_id for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert kept == sorted(set(root))
+    assert sum(made) <= 400 * simhash.PARTS
+
+
+def test_blocks_hold_all_pairs():
+    g = np.random.default_rng(3)
+    for n in (np.ones(256, int), np.full(257, 100), np.full(10_000, 3), g.integers(1, 40_000, 700), np.array([9_000_000, 1, 1, 9_000_000]), np.array([1])):
+        blocks = simhash._blocks(n)
+        assert np.array_equal(np.concatenate(blocks), np.arange(len(n)))  # each two of them are a cluster
+        assert all(len(b) == 1 or n[b[:-1]].sum() <= simhash.HALF_HASHES for b in blocks) or len(blocks) == 1
+        assert len(blocks) <= simhash.BLOCKS + n.sum() // simhash.HALF_HASHES
+        assert len(blocks) > 1 or len(n) <= 2 * simhash.HALF_TEXTS
+
+
+def test_set_links_against_brute_force():
+    g = np.random.default_rng(4)
+    sets = [np.unique(np.where(g.random(40) < 0.12, g.integers(0, 2**63, 40), base)).astype(np.uint64) for base in g.integers(0, 2**63, (6, 40)) for _ in range(15)]
+    sets += [sets[0], sets[1][:2], sets[1][:2]]
+    root = list(range(len(sets)))
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            common = len(np.intersect1d(x, y))
+            if common >= 0.8 * (len(x) + len(y) - common):
+                least, most = sorted((root[a], root[b]))
+                root = [least if r == most else r for r in root]
+    assert 10 < len(set(root)) < len(sets)
+    assert simhash.set_links(sets, 0.8).tolist() == root

@@ -12,6 +12,7 @@ pairs. Components grow by alternating large-star and small-star rounds over writ
 
 near_dedup() is for a similarity that 64 bits do not tell. Its prints are longer and their index has the same form with wide
 nodes: groups by the parts of a print, Gray order and leaves with the bits that all below share, differences accumulated.
+What it finds leaves the tasks as clusters of texts, not as pairs, and clusters are confirmed by exact sets.
 
 Null text: empty (fingerprint zero, linked like any other). Rows with a null doc_id get a fingerprint and
 a null component and link nothing. Every input row gives one row; repeated doc_ids share a component only
@@ -45,6 +46,9 @@ PARTS = HEAD * 64 // PART
 NEAR_BITS, NEAR_BITS_SHORT, MANY = 212, 240, 32
 #: Prints of a leaf of the index of heads, and of a group beyond which it is divided by the other parts.
 WIDE_LEAF, WIDE_ROWS = 64, 4_096
+#: A cluster that is confirmed at a time has two blocks. A block has HALF_TEXTS texts, or more where it would take over BLOCKS of them, but no
+#: more than HALF_HASHES shingle hashes (or one text). One task of near_clusters() takes CLUSTER_ROWS prints on average.
+HALF_TEXTS, BLOCKS, HALF_HASHES, CLUSTER_ROWS = 128, 16, 1 << 20, 50_000
 
 
 
@@ -375,24 +379,36 @@ def _group_pairs(f: np.ndarray, root: np.ndarray, t: int) -> Iterator[tuple[np.n
                     yield from ((at[i], at[j]) for i, j in wide_pairs(f[at], root[at], HEAD_BITS))
 
 
+def _by_part(nodes: DataFrame, task_rows: int, least_tasks: int) -> DataFrame:
+    """Each row of ``nodes`` for each part ``t`` of its ``print``, with the ``task`` that takes all rows of the same part and bits."""
+    part = lambda t: F.shiftrightunsigned(F.get("print", F.lit(t * PART // 64)), t * PART % 64).bitwiseAND(F.lit((1 << PART) - 1))
+    keyed = nodes.select("*", F.posexplode(F.array(*[part(t) for t in range(PARTS)])).alias("t", "key"))
+    tasks = max(least_tasks, -(-nodes.count() * PARTS // task_rows))
+    return keyed.withColumn("task", F.pmod(F.xxhash64("t", "key"), F.lit(tasks)).cast("int"))
+
+
+def _in_order(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A task's ``rows`` by part, bits and Gray rank, their prints, heads and bytes of heads, and where each group begins (one more entry: the end)."""
+    f = rows.column("print").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+    t = rows.column("t").to_numpy()
+    key = np.ascontiguousarray(f[:, :HEAD]).astype("<u8").view(np.uint8).reshape(len(f), -1)[np.arange(len(f)), t]
+    order = np.lexsort((gray_rank(f[:, 0]), key, t))
+    f, t, key = (x[order] for x in (f, t, key))
+    head = np.ascontiguousarray(f[:, :HEAD])
+    edges = np.append(np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])), len(f))
+    return rows.drop_columns(["print"]).take(pa.array(order)), f, head, head.astype("<u8").view(np.uint8).reshape(len(f), -1), edges
+
+
 def near_heads(nodes: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``x``, ``y`` of ``nodes(whole, root, print)`` of different roots whose heads agree on a part and differ in at most HEAD_BITS, written.
 
-    All of them, each once; or with ``nearest`` for each node that is in such a pair the smallest other one that a task has met.
+    All of them, each once, for small tables (near_clusters() holds them without a row a pair); or with ``nearest`` for each node that is in such a pair the smallest other one that a task has met.
     """
-    part = lambda t: F.shiftrightunsigned(F.get("print", F.lit(t * PART // 64)), t * PART % 64).bitwiseAND(F.lit((1 << PART) - 1))
-    keyed = nodes.select("whole", "root", F.slice("print", 1, HEAD).alias("head"), F.posexplode(F.array(*[part(t) for t in range(PARTS)])).alias("t", "key"))
-    tasks = max(24, -(-nodes.count() * PARTS // TASK_ROWS))
-    dealt = keyed.withColumn("task", F.pmod(F.xxhash64("t", "key"), F.lit(tasks)).cast("int")).select("task", "t", "whole", "root", "head")
+    dealt = _by_part(nodes.select("whole", "root", F.slice("print", 1, HEAD).alias("print")), TASK_ROWS, 24).select("task", "t", "whole", "root", "print")
 
     def run(rows: pa.Table) -> pa.Table:
-        f = rows.column("head").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, HEAD)
+        rows, _, f, bytes_, edges = _in_order(rows)
         t, whole, root = (rows.column(c).to_numpy() for c in ("t", "whole", "root"))
-        bytes_ = f.astype("<u8").view(np.uint8).reshape(len(f), -1)
-        key = bytes_[np.arange(len(f)), t]
-        order = np.lexsort((gray_rank(f[:, 0]), key, t))
-        f, t, whole, root, bytes_, key = (x[order] for x in (f, t, whole, root, bytes_, key))
-        edges = np.append(np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1])])), len(f))
         ends: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         names, place = np.unique(whole, return_inverse=True)
         least = np.full(len(names), len(names))
@@ -418,6 +434,66 @@ def near_heads(nodes: DataFrame, nearest: bool) -> DataFrame:
     return table(dealt.groupBy("task").applyInArrow(run, "x bigint, y bigint").distinct(), "heads")
 
 
+def _near_clusters(p: np.ndarray, head: np.ndarray, bytes_: np.ndarray, root: np.ndarray, n: np.ndarray, t: int, similarity: float) -> np.ndarray:
+    """For each print ``p`` of a group that agrees on part ``t``, the first place of its cluster.
+
+    Clusters are connected by pairs of different ``root`` whose sizes ``n`` allow the similarity, whose heads and whole prints are near,
+    and which agree on no part before this one. Pairs are met a slice at a time and those within a cluster are not looked at again.
+    """
+    label = np.arange(len(p))
+    for x, y in _group_pairs(head, root, t):
+        for k in range(0, len(x), OPEN):
+            i, j = x[k : k + OPEN], y[k : k + OPEN]
+            least = np.minimum(n[i], n[j])
+            ok = (label[i] != label[j]) & (least >= similarity * np.maximum(n[i], n[j]))
+            i, j, least = i[ok], j[ok], least[ok]
+            ok = ~(bytes_[i, :t] == bytes_[j, :t]).any(axis=1)
+            i, j, least = i[ok], j[ok], least[ok]
+            ok = np.bitwise_count(p[i] ^ p[j]).sum(axis=1, dtype=np.int64) <= np.where(least < MANY, NEAR_BITS_SHORT, NEAR_BITS)
+            if ok.any():
+                label = forest(np.append(i[ok], np.arange(len(p))), np.append(j[ok], label), len(p))
+    return label
+
+
+def near_clusters(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``t``, ``least``, ``block``, ``w``, ``node``: the members of clusters that hold each pair of ``nodes(whole, root, node, n, print)`` that the index finds and _likely() leaves, written.
+
+    A cluster has its texts as rows, not its pairs, and a node is in one cluster of a part at most. A large one is cut into
+    blocks and each two of them are a cluster, so that its texts are BLOCKS - 1 rows each, more only where HALF_HASHES asks for it.
+    """
+    dealt = _by_part(nodes.select("whole", "root", "node", "n", "print"), CLUSTER_ROWS, 64).select("task", "t", "whole", "root", "node", "n", "print")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows, p, head, bytes_, edges = _in_order(rows)
+        t, whole, root, node, n = (rows.column(c).to_numpy() for c in ("t", "whole", "root", "node", "n"))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.empty(0, np.int64),) * 3]  # places, the first of each one's cluster, blocks
+        for a, b in zip(edges[:-1], edges[1:]):
+            label = _near_clusters(p[a:b], head[a:b], bytes_[a:b], root[a:b], n[a:b], int(t[a]), similarity)
+            linked = np.flatnonzero(np.bincount(label)[label] > 1)
+            if not len(linked):
+                continue
+            linked = linked[np.argsort(label[linked], kind="stable")]
+            for own in np.split(linked + a, np.flatnonzero(np.diff(label[linked])) + 1):
+                blocks = _blocks(n[own])
+                for x in range(len(blocks)):
+                    for y in range(x + 1, len(blocks)) if len(blocks) > 1 else [x]:
+                        both = own[np.union1d(blocks[x], blocks[y])]
+                        found.append((both, np.full(len(both), own[0]), np.full(len(both), x * len(blocks) + y)))
+        at, first, block = (np.concatenate([x[k] for x in found]) for k in range(3))
+        return pa.table({"t": pa.array(t[at], pa.int32()), "least": whole[first], "block": block, "w": whole[at], "node": node[at]})
+
+    return table(dealt.groupBy("task").applyInArrow(run, "t int, least bigint, block bigint, w bigint, node bigint"), "clusters")
+
+
+def _blocks(n: np.ndarray) -> list[np.ndarray]:
+    """Places of texts of ``n`` hashes: all of them if they can be confirmed at a time, else in blocks of half as many."""
+    at = np.arange(len(n))
+    if len(n) <= 2 * HALF_TEXTS and n.sum() <= 2 * HALF_HASHES:
+        return [at]
+    by_text, by_hash = at // max(HALF_TEXTS, -(-len(n) // BLOCKS)), (np.cumsum(n) - n) // HALF_HASHES
+    return np.split(at, np.flatnonzero((np.diff(by_text) != 0) | (np.diff(by_hash) != 0)) + 1)
+
+
 def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """``a``, ``aw``, ``b``, ``bw`` (nodes and hashes of the words) of the ``pairs(x, y)`` whose sizes allow the similarity and whose whole prints are near."""
     of = lambda end: nodes.select(F.col("whole").alias(f"{end}w"), F.col("node").alias(end), F.col("n").alias(f"{end}n"), F.col("print").alias(f"{end}p"))
@@ -428,10 +504,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.where(near).select("a", "aw", "b", "bw")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """``a``, ``b`` of the ``pairs(a, aw, b, bw)`` (doc_ids and hashes of the words) whose texts' sets of shingles have that Jaccard similarity, written."""
-    pairs = table(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """``w`` (the hash of the words) and ``s`` (the sorted hashes of the shingles) of the texts whose doc_id is among ``ids(id)``, written."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in doc_chunks(batches, limit=1 << 20):
@@ -439,6 +513,14 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: in
             found = [np.unique(h[a:b]).tobytes() for a, b in zip(offset[:-1], offset[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(found, pa.binary())], ["w", "s"])
 
+    of = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids.distinct(), "id", "left_semi").select("id", "text")
+    return table(of.mapInArrow(sets, "w bigint, s binary").dropDuplicates(["w"]), "sets")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``a``, ``b`` of the ``pairs(a, aw, b, bw)`` (doc_ids and hashes of the words) whose texts' sets of shingles have that Jaccard similarity, written."""
+    pairs = table(pairs, "pairs")
+
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -448,8 +530,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: in
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(ids, "id", "left_semi").select("id", "text")
-    of = table(of.mapInArrow(sets, "w bigint, s binary").dropDuplicates(["w"]), "sets")
+    of = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), shingle)
     both = pairs.join(of.toDF("bw", "y"), "bw").join(of.toDF("aw", "x"), "aw").select("a", "b", "x", "y")
     links = table(both.mapInArrow(near, "a bigint, b bigint"), "links")
     drop(pairs, of)
@@ -457,11 +538,45 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, similarity: float, shingle: in
     return links
 
 
+def set_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each of the ``sets`` of hashes the first place that it is connected to by pairs of that Jaccard similarity; all pairs count."""
+    n = np.array([len(x) for x in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    count = np.bincount(ids)
+    first, holder = np.cumsum(count) - count, np.repeat(np.arange(len(sets)), n)[np.argsort(ids, kind="stable")]
+    ends: list[tuple[np.ndarray, np.ndarray]] = []
+    for x, own in enumerate(np.split(ids, np.cumsum(n)[:-1])):
+        own = own[count[own] > 1]
+        size = count[own]
+        at = np.repeat(first[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(holder[at], minlength=len(sets))
+        y = np.flatnonzero((common > 0) & (common >= similarity * (n[x] + n - common)))
+        ends.append((np.full(len(y), x), y))
+    return forest(*(np.concatenate([e[k] for e in ends]) for k in (0, 1)), len(sets))
+
+
+def _confirmed_clusters(docs: DataFrame, clusters: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links ``a``, ``b`` (doc_ids) that connect the texts of each of the ``clusters(t, least, block, w, node)`` as all pairs with the similarity do, written."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        node = rows.column("node").to_numpy()
+        label = set_links([np.frombuffer(v.as_buffer(), np.uint64) for c in rows.column("s").chunks for v in c], similarity)
+        linked = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"a": node[linked], "b": node[label[linked]]})
+
+    of = _sets(docs, clusters.select(F.col("node").alias("id")), shingle)
+    links = table(clusters.join(of, "w").select("t", "least", "block", "node", "s").groupBy("t", "least", "block").applyInArrow(run, "a bigint, b bigint"), "links")
+    drop(clusters, of)
+    collect_garbage(docs.sparkSession)
+    return links
+
+
 def near_links(docs: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Links ``a``, ``b`` that connect the same nodes as all pairs that the index of heads finds and that have the similarity do.
 
     ``nodes``: ``whole``, its ``node``, ``n`` and ``print``. Each node is first held against one of those near it; then, of
-    the nodes with any near, all pairs that are not yet connected.
+    the nodes with any near, all pairs that are not yet connected, in clusters: pairs of texts that are near but not near
+    enough grow with the square of a group, so they are never rows.
     """
     worded = nodes.where("n > 0")
     met = near_heads(worded.select("whole", F.col("whole").alias("root"), "print"), nearest=True)
@@ -469,10 +584,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, similarity: float, shingle: in
     links = _confirmed(docs, _likely(ends, nodes, similarity), similarity, shingle)
     roots = components(links)
     of = worded.join(met.select(F.col("x").alias("whole")).distinct(), "whole", "left_semi").join(roots, "node", "left")
-    apart = table(of.select("whole", F.coalesce("root", "node").alias("root"), "print"), "apart")
+    apart = table(of.select("whole", F.coalesce("root", "node").alias("root"), "node", "n", "print"), "apart")
     if apart.isEmpty():
         return links
-    return links.union(_confirmed(docs, _likely(near_heads(apart, nearest=False), nodes, similarity), similarity, shingle))
+    return links.union(_confirmed_clusters(docs, near_clusters(apart, similarity), similarity, shingle))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
