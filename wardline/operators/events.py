@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.rules import let
 from wardline.operators import guards, policy
 from wardline.operators.audit import entries_from
 from wardline.plans.catalog import ALLOW, ASK, DENY, INPUT_OVER_CAP, MAX_CHARS, Names
@@ -37,15 +38,20 @@ def _string(variant: Column, path: str) -> Column:
 
 def command_and_path(event: Column, host: str) -> tuple[Column, Column]:
     """What a host's event (JSON text) asks to run and to write; null where it does not."""
-    v = F.try_parse_json(event)
-    if host == "A":
-        tool = _string(v, "$.tool_name")
-        return F.when(tool == "Bash", _string(v, "$.tool_input.command")), F.when(tool.isin(*WRITE_TOOLS), _string(v, "$.tool_input.file_path"))
-    if host == "B":
-        command = _string(v, "$.params.command")
-        path = F.coalesce(*[_string(v, f"$.params.{k}") for k in PATH_KEYS], _string(v, "$.derivedPaths[0]"))
-        return command, F.when(command.isNull(), path)
-    raise ValueError("host must be A or B")
+    if host not in ("A", "B"):
+        raise ValueError("host must be A or B")
+
+    def of_host(v: Column) -> Column:
+        if host == "A":
+            tool = _string(v, "$.tool_name")
+            command, path = F.when(tool == "Bash", _string(v, "$.tool_input.command")), F.when(tool.isin(*WRITE_TOOLS), _string(v, "$.tool_input.file_path"))
+        else:
+            command = _string(v, "$.params.command")
+            path = F.when(command.isNull(), F.coalesce(*[_string(v, f"$.params.{k}") for k in PATH_KEYS], _string(v, "$.derivedPaths[0]")))
+        return F.struct(command.alias("command"), path.alias("path"))
+
+    both = let(F.try_parse_json(event), of_host)  # parsed once
+    return both["command"], both["path"]
 
 
 def decide(rows: DataFrame, event: str, host: str, out: str = "result", trigger: str | None = None, error_policy: str | None = None, attended: str | None = None, names: Names = Names()) -> DataFrame:

@@ -62,13 +62,18 @@ def self_repair_commands(names: Names = Names(), distribution: str = "wardline",
 def is_self_repair(raw: Column, home: str | None = None, names: Names = Names(), distribution: str = "wardline") -> Column:
     """True for commands and paths that repair the guard itself; null and blank inputs are none."""
     home = (home if home is not None else os.path.expanduser("~")).rstrip("/")
+    # what repairs names the guard or begins at home; nothing else is brought into a form and matched
+    given = {n.lower() for n in (names.plugin, names.package, names.policy, distribution, "wardline")}
+    words = ["~", *sorted(n for n in given if not any(m in n for m in given - {n}))]
+    likely = let(folded(raw), lambda low: has_any(low, words)) if all(map(str.isascii, given)) else F.lit(True)
+    raw = F.when(likely, raw)
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), f"(?d)^{_BLANK}+|{_BLANK}+\\z", "")
     # a long text is no repair command, and could recurse too deep in the JVM's engine
     commands = "|".join(f"(?:{c})" for c in self_repair_commands(names, distribution))
     command = F.coalesce(F.when(F.length(text) <= NATIVE_CHARS, text).rlike(f"(?iud)^(?:{commands})\\z"), F.lit(False))
     line = let(F.split(text, _LINE_ENDS, 2)[0], lambda x: F.when(x.rlike(r"^~(/|\z)"), F.concat(F.lit(home), F.substr(x, F.lit(2)))).otherwise(x))
     folders = "|".join(re.escape(f) for f in (f"{home.lower()}/.{names.policy}", f"/opt/{names.policy}", f"/usr/local/{names.policy}"))
-    return command | F.coalesce(normalize_path(line).rlike(f"(?s)^(?:{folders})(?:/|\\z)"), F.lit(False))
+    return F.when(raw.isNull(), False).otherwise(command | F.coalesce(normalize_path(F.when(raw.isNotNull(), line)).rlike(f"(?s)^(?:{folders})(?:/|\\z)"), F.lit(False)))
 
 
 # --- redaction -----------------------------------------------------------------------------------
